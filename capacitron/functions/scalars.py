@@ -116,7 +116,7 @@ def numeric_or_null(c) -> Column:
     """KPI text -> double; empty, booleans, literals and non-numeric text -> NULL (N11)."""
     s = F.lower(F.trim(col_(c).cast("string")))
     ok = s.rlike(NUMERIC_RE)
-    v = F.when(ok, F.try_cast(s, "double"))
+    v = F.when(ok, (s).try_cast("double"))
     return F.when(~F.isnan(v), v)   # 'nan' parses but is not a KPI value
 
 
@@ -148,7 +148,7 @@ def skipped_folder(name) -> Column:
 def json_first(json_col, aliases) -> Column:
     """First present alias in a JSON object, as double (sc_param_alias)."""
     j = col_(json_col)
-    return F.coalesce(*[F.try_cast(F.get_json_object(j, f"$.{a}"), "double") for a in aliases])
+    return F.coalesce(*[F.get_json_object(j, f"$.{a}").try_cast("double") for a in aliases])
 
 
 def slot_of(ts) -> Column:

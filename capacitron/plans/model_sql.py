@@ -103,3 +103,16 @@ def with_(*ctes: str) -> str:
 
 MODEL = (GRP, CONFIGS, KPIS)
 BENEFIT_CTES = (GRP, CONFIGS, KPIS, BASELINE, WIDE, BENEFITS)
+
+SUBMISSIONS = """subs AS (
+  SELECT o_orderkey AS submission_id, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS battery_capacity,
+         CAST(floor(o_totalprice / 4000) AS DOUBLE) AS battery_power, CAST(365.0 AS DOUBLE) AS list_battery_num_annual_cycles,
+         CASE WHEN o_orderstatus <> 'O' THEN round(o_totalprice / 10000, 2) END AS pv_peak_power,
+         CASE WHEN o_orderstatus <> 'F' THEN round(o_totalprice / 100000, 3) END AS pv_annual_total,
+         CASE WHEN starts_with(o_orderpriority, '1') THEN CAST(80.0 AS DOUBLE) WHEN starts_with(o_orderpriority, '2') THEN 150.0
+              WHEN starts_with(o_orderpriority, '3') THEN -0.2 ELSE 0.33 END AS pv_consumed_percentage,
+         CASE WHEN NOT starts_with(o_orderpriority, '5')
+              THEN CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) * 3.5 END AS arbeitspreis,
+         CASE WHEN starts_with(o_orderpriority, '4') THEN 0.0
+              ELSE 100 + CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) * 10 END AS leistungspreis
+  FROM orders)"""

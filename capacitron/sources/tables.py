@@ -166,3 +166,22 @@ def series_shipments(spark, sf_dir) -> DataFrame:
         F.col("l_quantity").alias("load_kwh"),
         F.col("l_extendedprice").alias("grid_load_kwh"),
     )
+
+
+def submissions(spark, sf_dir) -> DataFrame:
+    """Scoring submissions (direct inputs as the UI sends them), one per order."""
+    o = read(spark, sf_dir, "orders")
+    pr = F.col("o_orderpriority")
+    digit = F.substring(pr, 1, 1).cast("double")
+    return o.select(
+        F.col("o_orderkey").alias("submission_id"),
+        F.floor(F.col("o_totalprice") / 1000).cast("double").alias("battery_capacity"),
+        F.floor(F.col("o_totalprice") / 4000).cast("double").alias("battery_power"),
+        F.lit(365.0).alias("list_battery_num_annual_cycles"),
+        F.when(F.col("o_orderstatus") != "O", F.round(F.col("o_totalprice") / 10000, 2)).alias("pv_peak_power"),
+        F.when(F.col("o_orderstatus") != "F", F.round(F.col("o_totalprice") / 100000, 3)).alias("pv_annual_total"),
+        F.when(pr.startswith("1"), F.lit(80.0)).when(pr.startswith("2"), F.lit(150.0))
+         .when(pr.startswith("3"), F.lit(-0.2)).otherwise(F.lit(0.33)).alias("pv_consumed_percentage"),
+        F.when(~pr.startswith("5"), digit * 3.5).alias("arbeitspreis"),
+        F.when(pr.startswith("4"), F.lit(0.0)).otherwise(100 + digit * 10).alias("leistungspreis"),
+    )
