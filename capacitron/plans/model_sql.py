@@ -116,3 +116,29 @@ SUBMISSIONS = """subs AS (
          CASE WHEN starts_with(o_orderpriority, '4') THEN 0.0
               ELSE 100 + CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) * 10 END AS leistungspreis
   FROM orders)"""
+
+LOAD_PROFILE = """lp AS (
+  SELECT user_id AS site_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, sum(value) AS grid_load_kwh
+  FROM events GROUP BY 1, 2)"""
+
+PV_PROFILE = """pv AS (
+  SELECT user_id AS site_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, sum(value) AS pv_generation_kwh
+  FROM events WHERE event_type = 'view' GROUP BY 1, 2)"""
+
+# weekday scaling with a consumed share of 0.33 (the sample submission's value)
+PV_SCALED = """wl AS (SELECT site_id, isodow(timestamp_utc) - 1 AS wd, sum(grid_load_kwh) AS s FROM lp GROUP BY 1, 2),
+wt AS (SELECT site_id, sum(s) AS total FROM wl GROUP BY 1),
+pvs AS (SELECT site_id, timestamp_utc, isodow(timestamp_utc) - 1 AS wd, pv_generation_kwh * 0.33 AS self_kwh FROM pv),
+pw AS (SELECT site_id, wd, sum(self_kwh) AS s FROM pvs GROUP BY 1, 2),
+pt AS (SELECT site_id, sum(self_kwh) AS total FROM pvs GROUP BY 1),
+fac AS (SELECT pw.site_id, pw.wd,
+               CASE WHEN pw.s > 0 THEN pt.total * coalesce(wl.s / wt.total, 0) / pw.s ELSE 0 END AS factor
+        FROM pw JOIN pt ON pw.site_id = pt.site_id
+        LEFT JOIN wl ON wl.site_id = pw.site_id AND wl.wd = pw.wd
+        LEFT JOIN wt ON wt.site_id = pw.site_id),
+scaled AS (SELECT p.site_id, p.timestamp_utc, p.self_kwh * f.factor AS pv_scaled_kwh
+           FROM pvs p JOIN fac f ON p.site_id = f.site_id AND p.wd = f.wd),
+merged AS (SELECT l.site_id, l.timestamp_utc, l.grid_load_kwh,
+                  l.grid_load_kwh + coalesce(s.pv_scaled_kwh, 0) AS consumption_kwh,
+                  coalesce(s.pv_scaled_kwh, 0) AS pv_load_kwh
+           FROM lp l LEFT JOIN scaled s ON l.site_id = s.site_id AND l.timestamp_utc = s.timestamp_utc)"""

@@ -185,3 +185,22 @@ def submissions(spark, sf_dir) -> DataFrame:
         F.when(~pr.startswith("5"), digit * 3.5).alias("arbeitspreis"),
         F.when(pr.startswith("4"), F.lit(0.0)).otherwise(100 + digit * 10).alias("leistungspreis"),
     )
+
+
+def _quarter_hour(ts):
+    return F.date_trunc("hour", ts) + F.make_dt_interval(
+        F.lit(0), F.lit(0), (F.floor(F.minute(ts) / 15) * 15).cast("int"), F.lit(0))
+
+
+def load_profile(spark, sf_dir) -> DataFrame:
+    """15-minute grid-load profile per site (site = user) summed from ``events``."""
+    e = read(spark, sf_dir, "events")
+    return (e.groupBy(F.col("user_id").alias("site_id"), _quarter_hour(F.col("ts")).alias("timestamp_utc"))
+            .agg(F.sum("value").alias("grid_load_kwh")))
+
+
+def pv_profile(spark, sf_dir) -> DataFrame:
+    """15-minute PV generation profile per site from the ``view`` events."""
+    e = read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    return (e.groupBy(F.col("user_id").alias("site_id"), _quarter_hour(F.col("ts")).alias("timestamp_utc"))
+            .agg(F.sum("value").alias("pv_generation_kwh")))
