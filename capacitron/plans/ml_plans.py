@@ -1 +1,277 @@
-"""Placeholder."""
+"""Model queries (SURVEY §2.11, §2.5 agg_importance_*, agg_effect_pivot, §2.8 top_*,
+§2.9 set_shared/unique_features, §2.7 win_importance_rank)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import features as FT
+from ..operators import ml as ML
+from ..session import scratch_path
+from .common import rounded
+from .feature_plans import _MAT_COLS, _MATRIX_SQL, _matrix
+from .registry import register
+
+TARGETS = ["target_peak_shaving_benefit", "target_energy_procurement_optimization", "target_trading_revenue"]
+MODELS = [t.replace("target_", "") for t in TARGETS]
+FEATURES = list(_MAT_COLS)
+FIT_FEATURE = "battery_capacity_kwh"
+
+
+def _long(spark, sf):
+    mat = _matrix(spark, sf)
+    return ML.long_xy(mat, FEATURES, TARGETS).withColumn("target", F.regexp_replace("target", "^target_", ""))
+
+
+def _contrib(spark, sf):
+    lg = _long(spark, sf)
+    return ML.contributions(lg, ML.ols_fit(lg))
+
+
+# --- oracle building blocks -------------------------------------------------
+_T = " UNION ALL ".join(
+    f"SELECT config_id, client_name, '{m}' AS target, {t} AS y, * EXCLUDE (config_id, client_name) FROM mat WHERE {t} IS NOT NULL"
+    for t, m in zip(TARGETS, MODELS))
+_LONG = _MATRIX_SQL + f""",
+ty AS ({_T}),
+lg AS (SELECT config_id, client_name, target, y, feature, x FROM
+       (UNPIVOT (SELECT config_id, client_name, target, y, {", ".join(FEATURES)} FROM ty)
+        ON {", ".join(FEATURES)} INTO NAME feature VALUE x)),
+fit AS (SELECT target, feature, count(x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+               avg(x) AS mean_x FROM lg GROUP BY target, feature),
+con AS (SELECT lg.config_id, lg.client_name, lg.target, lg.feature, lg.x, lg.y,
+               fit.slope * (lg.x - fit.mean_x) AS contribution
+        FROM lg JOIN fit ON lg.target = fit.target AND lg.feature = fit.feature),
+st AS (SELECT target, feature, avg(abs(contribution)) AS mean_abs, stddev_pop(abs(contribution)) AS std_abs,
+              avg(contribution) AS mean_contribution FROM con GROUP BY target, feature),
+imp AS (SELECT st.target AS model, st.feature, coalesce(st.mean_abs / t.s, 0) AS importance
+        FROM st JOIN (SELECT target, sum(mean_abs) AS s FROM st GROUP BY target) t ON st.target = t.target)
+"""
+# DuckDB's UNPIVOT drops NULL values; contributions of NULL x are NULL and skipped by
+# every aggregate, so both sides agree on all aggregated outputs.
+
+
+@register("ml_contributions", _LONG + """
+SELECT config_id, target, feature, round(contribution, 4) AS contribution FROM con""")
+def ml_contributions(spark, sf):
+    """Per-row linear contributions slope·(x − mean) for every target and feature."""
+    return rounded(_contrib(spark, sf).filter(F.col("x").isNotNull())
+                   .select("config_id", "target", "feature", "contribution"))
+
+
+@register("ml_contribution_stats", _LONG + """
+SELECT target, feature, round(mean_abs, 4) AS mean_abs, round(std_abs, 4) AS std_abs,
+       round(mean_contribution, 2) + 0.0 AS mean_contribution,
+       CASE WHEN round(mean_contribution, 6) > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM st WHERE mean_abs IS NOT NULL""")
+def ml_contribution_stats(spark, sf):
+    """Mean |c|, std |c| (ddof 0), mean c (0 for centred linear contributions) and sign."""
+    st = ML.contribution_stats(_contrib(spark, sf)).filter(F.col("mean_abs").isNotNull())
+    return rounded(st.withColumn("mean_contribution", F.round("mean_contribution", 2) + F.lit(0.0)))
+
+
+@register("win_importance_rank", _LONG + """
+SELECT target, feature, row_number() OVER (PARTITION BY target ORDER BY mean_abs DESC NULLS LAST, feature) AS rank FROM st""")
+def win_importance_rank(spark, sf):
+    return ML.rank_features(ML.contribution_stats(_contrib(spark, sf))).select("target", "feature", "rank")
+
+
+@register("ml_effect_type", _LONG + """,
+r AS (SELECT target, feature, row_number() OVER (PARTITION BY target ORDER BY mean_abs DESC NULLS LAST, feature) AS rank FROM st),
+c AS (SELECT target, feature, CASE WHEN stddev_pop(x) = 0 OR stddev_pop(contribution) = 0 THEN NULL
+                                   ELSE corr(x, contribution) END AS corr
+      FROM con WHERE x IS NOT NULL AND contribution IS NOT NULL GROUP BY target, feature)
+SELECT r.target, r.feature, r.rank, round(c.corr, 4) AS corr,
+       CASE WHEN c.corr > 0.5 THEN 'linear_positive' WHEN c.corr < -0.5 THEN 'linear_negative' ELSE 'nonlinear' END AS effect_type
+FROM r JOIN c ON r.target = c.target AND r.feature = c.feature WHERE r.rank <= 5""")
+def ml_effect_type(spark, sf):
+    return rounded(ML.effect_type(_contrib(spark, sf)))
+
+
+@register("top_contributions", _LONG + """
+SELECT config_id, target, feature, round(contribution, 4) AS contribution, rank,
+       CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction FROM (
+  SELECT *, row_number() OVER (PARTITION BY target, config_id ORDER BY round(abs(contribution), 6) DESC, feature) AS rank
+  FROM con WHERE contribution IS NOT NULL) WHERE rank <= 3""")
+def top_contributions(spark, sf):
+    return rounded(ML.top_contributions(_contrib(spark, sf), 3).select(
+        "config_id", "target", "feature", "contribution", "rank", "direction"))
+
+
+@register("ml_explain_row", _LONG + """,
+base AS (SELECT target, avg(y) AS base_value FROM (SELECT DISTINCT target, config_id, y FROM lg) GROUP BY target),
+tot AS (SELECT target, config_id, sum(contribution) AS s FROM con GROUP BY target, config_id),
+top1 AS (SELECT target, config_id, feature AS top_feature FROM (
+  SELECT *, row_number() OVER (PARTITION BY target, config_id ORDER BY round(abs(contribution), 6) DESC, feature) AS rk
+  FROM con WHERE contribution IS NOT NULL) WHERE rk = 1)
+SELECT tot.target, tot.config_id, round(base.base_value, 4) AS base_value,
+       round(base.base_value + coalesce(tot.s, 0), 2) AS prediction, top1.top_feature
+FROM tot JOIN base ON tot.target = base.target
+LEFT JOIN top1 ON top1.target = tot.target AND top1.config_id = tot.config_id""")
+def ml_explain_row(spark, sf):
+    """Base value, additive prediction and leading feature for every row at once."""
+    c = _contrib(spark, sf)
+    base = (c.select("target", "config_id", "y").distinct().groupBy("target")
+            .agg(F.avg("y").alias("base_value")))
+    tot = c.groupBy("target", "config_id").agg(F.sum("contribution").alias("s"))
+    top1 = (ML.top_contributions(c, 1).select("target", "config_id", F.col("feature").alias("top_feature")))
+    out = (tot.join(base, "target").join(top1, ["target", "config_id"], "left")
+           .select("target", "config_id", "base_value",
+                   (F.col("base_value") + F.coalesce("s", F.lit(0.0))).alias("prediction"), "top_feature"))
+    # the prediction sums ~13 contributions of magnitude 1e4: report it at 1e-2
+    return rounded(out).withColumn("prediction", F.round("prediction", 2))
+
+
+@register("ml_dependence", _LONG + """
+SELECT a.config_id, a.target, round(a.x, 4) AS value, round(a.contribution, 4) AS contribution,
+       round(b.x, 4) AS interaction_value
+FROM con a LEFT JOIN con b ON a.config_id = b.config_id AND a.target = b.target AND b.feature = 'ts__load_kwh_mean'
+WHERE a.feature = 'battery_capacity_kwh'""")
+def ml_dependence(spark, sf):
+    """(value, contribution, interaction value) of one feature for every row."""
+    c = _contrib(spark, sf).filter(F.col("x").isNotNull())
+    a = c.filter(F.col("feature") == "battery_capacity_kwh")
+    b = c.filter(F.col("feature") == "ts__load_kwh_mean").select("config_id", "target",
+                                                                  F.col("x").alias("interaction_value"))
+    return rounded(a.join(b, ["config_id", "target"], "left").select(
+        "config_id", "target", F.col("x").alias("value"), "contribution", "interaction_value"))
+
+
+_PIV = ", ".join(f"round(max(CASE WHEN target = '{m}' THEN mean_abs END), 4) AS {m}" for m in MODELS)
+
+
+@register("agg_effect_pivot", _LONG + f"""
+SELECT feature, {_PIV}, round(sum(mean_abs), 4) AS total FROM st GROUP BY feature
+ORDER BY sum(mean_abs) DESC NULLS LAST, feature LIMIT 10""")
+def agg_effect_pivot(spark, sf):
+    """Mean |contribution| per feature × target (fixed pivot list), total, top 10."""
+    st = ML.contribution_stats(_contrib(spark, sf))
+    p = st.groupBy("feature").pivot("target", MODELS).agg(F.max("mean_abs"))
+    p = p.join(st.groupBy("feature").agg(F.sum("mean_abs").alias("total")), "feature")
+    return rounded(p.orderBy(F.col("total").desc_nulls_last(), "feature").limit(10))
+
+
+_MODELS_ARR = ", ".join(f"coalesce(max(CASE WHEN model = '{m}' THEN importance END), 0)" for m in MODELS)
+
+
+@register("agg_importance_wide", _LONG + f""",
+w AS (SELECT feature, {", ".join(f"coalesce(max(CASE WHEN model = '{m}' THEN importance END), 0) AS {m}" for m in MODELS)}
+      FROM imp GROUP BY feature),
+s AS (SELECT *, greatest({", ".join(MODELS)}) AS mx, ({" + ".join(MODELS)}) / 3.0 AS mean FROM w)
+SELECT feature, {", ".join(f"round({m}, 4) AS {m}" for m in MODELS)}, round(mean, 4) AS mean_importance,
+       round(mx, 4) AS max_importance,
+       round(sqrt(({" + ".join(f"({m} - mean) * ({m} - mean)" for m in MODELS)}) / 2), 4) AS std_importance,
+       CASE WHEN mx = 0 THEN 'none' ELSE concat_ws(', ', {", ".join(f"CASE WHEN {m} >= mx * 0.95 THEN '{m}' END" for m in MODELS)}) END
+         AS dominant_model
+FROM s""")
+def agg_importance_wide(spark, sf):
+    return rounded(ML.importance_wide(ML.importance(_contrib(spark, sf)), MODELS))
+
+
+@register("agg_importance_category", _LONG + """
+SELECT model, category, round(CASE WHEN t > 0 THEN s / t * 100 ELSE 0 END, 4) AS pct FROM (
+  SELECT model, category, sum(importance) AS s, max(t) AS t FROM (
+    SELECT imp.*, CASE WHEN starts_with(feature, 'list_battery_') OR feature IN ('pv_annual_total', 'pv_consumed_percentage')
+                            OR starts_with(feature, 'battery_') THEN 'direct'
+                       WHEN starts_with(feature, 'ts__') THEN 'load_profile' ELSE 'other' END AS category,
+           sum(importance) OVER (PARTITION BY model) AS t FROM imp) GROUP BY model, category)""")
+def agg_importance_category(spark, sf):
+    return rounded(ML.importance_category(ML.importance(_contrib(spark, sf))))
+
+
+@register("set_shared_features", _LONG + """
+SELECT feature FROM imp WHERE importance > 0.01 GROUP BY feature HAVING count(DISTINCT model) = 3""")
+def set_shared_features(spark, sf):
+    return ML.shared_features(ML.importance(_contrib(spark, sf)), len(MODELS))
+
+
+@register("set_unique_features", _LONG + """
+SELECT feature FROM imp WHERE model = 'trading_revenue' AND importance > 0.02
+EXCEPT SELECT feature FROM imp WHERE model <> 'trading_revenue' AND importance > 0.01""")
+def set_unique_features(spark, sf):
+    return ML.unique_features(ML.importance(_contrib(spark, sf)), "trading_revenue")
+
+
+@register("top_features", _LONG + """
+SELECT feature, round(avg(importance), 4) AS mean_importance FROM imp GROUP BY feature
+ORDER BY avg(importance) DESC, feature LIMIT 5""")
+def top_features(spark, sf):
+    imp = ML.importance(_contrib(spark, sf))
+    return rounded(imp.groupBy("feature").agg(F.avg("importance").alias("mean_importance"))
+                   .orderBy(F.col("mean_importance").desc(), "feature").limit(5))
+
+
+# --- exact linear fits, metrics, CV ----------------------------------------------
+_FIT1 = _LONG + f""",
+f1 AS (SELECT * FROM fit WHERE feature = '{FIT_FEATURE}'),
+pred AS (SELECT lg.config_id, lg.target, lg.y, f1.intercept + f1.slope * lg.x AS prediction
+         FROM lg JOIN f1 ON lg.target = f1.target AND lg.feature = f1.feature)
+"""
+
+
+def _pred(spark, sf):
+    lg = _long(spark, sf).filter(F.col("feature") == FIT_FEATURE)
+    fit = ML.ols_fit(lg)
+    return (lg.join(fit, ["target", "feature"])
+            .select("config_id", "target", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("prediction")))
+
+
+@register("ml_predict", _FIT1 + "SELECT config_id, target, round(prediction, 4) AS prediction FROM pred")
+def ml_predict(spark, sf):
+    """pred_<target> from an exactly fitted linear model (capacity -> benefit)."""
+    return rounded(_pred(spark, sf).filter(F.col("prediction").isNotNull())
+                   .select("config_id", "target", "prediction"))
+
+
+_MET = """SELECT target, count(*) AS n, round(1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(*)), 4) AS r2,
+       round(avg(abs(y - prediction)), 4) AS mae, round(sqrt(sum((y - prediction) * (y - prediction)) / count(*)), 4) AS rmse"""
+
+
+@register("ml_metrics", _FIT1 + _MET + " FROM pred WHERE prediction IS NOT NULL GROUP BY target")
+def ml_metrics(spark, sf):
+    return rounded(ML.metrics(_pred(spark, sf)).select("target", "n", "r2", "mae", "rmse"))
+
+
+@register("ml_evaluate", _FIT1 + _MET + """, round(avg(y), 4) AS mean_actual, round(avg(prediction), 4) AS mean_predicted
+FROM pred WHERE prediction IS NOT NULL GROUP BY target""")
+def ml_evaluate(spark, sf):
+    return rounded(ML.metrics(_pred(spark, sf)))
+
+
+@register("top_best_model", _FIT1 + """
+SELECT target AS model, round(r2, 4) AS r2 FROM (""" + _MET + """ FROM pred WHERE prediction IS NOT NULL GROUP BY target)
+ORDER BY r2 DESC, model LIMIT 1""")
+def top_best_model(spark, sf):
+    """Model with the highest R² via ``max_by`` (one aggregate, no sort)."""
+    m = ML.metrics(_pred(spark, sf))
+    return rounded(m.agg(F.max_by("target", F.struct("r2", F.lit(0))).alias("model"), F.max("r2").alias("r2")))
+
+
+_FOLD_SQL = "CAST(regexp_extract(client_name, '#(\\d+)', 1) AS BIGINT) % 5"
+
+
+def _fold_col():
+    return (F.regexp_extract("client_name", r"#(\d+)", 1).cast("long") % 5).cast("int")
+
+
+@register("ml_cv_summary", _LONG + f""",
+folds AS (SELECT DISTINCT {_FOLD_SQL} AS fold FROM lg),
+cvfit AS (SELECT k.fold, lg.target, lg.feature, regr_slope(lg.y, lg.x) AS b, regr_intercept(lg.y, lg.x) AS a
+          FROM folds k JOIN lg ON {_FOLD_SQL.replace('client_name', 'lg.client_name')} <> k.fold
+          GROUP BY k.fold, lg.target, lg.feature),
+sc AS (SELECT {_FOLD_SQL.replace('client_name', 'lg.client_name')} AS fold, lg.target, lg.feature,
+              1 - sum((lg.y - (c.a + c.b * lg.x)) * (lg.y - (c.a + c.b * lg.x)))
+                  / sum((lg.y - m.my) * (lg.y - m.my)) AS r2
+       FROM lg JOIN cvfit c ON c.fold = {_FOLD_SQL.replace('client_name', 'lg.client_name')} AND c.target = lg.target
+                           AND c.feature = lg.feature
+       JOIN (SELECT {_FOLD_SQL} AS fold, target, feature, avg(y) AS my FROM lg WHERE x IS NOT NULL GROUP BY 1, 2, 3) m
+         ON m.fold = c.fold AND m.target = lg.target AND m.feature = lg.feature
+       WHERE lg.x IS NOT NULL GROUP BY 1, 2, 3)
+SELECT target, feature, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std, count(r2) AS n_folds
+FROM sc WHERE feature = '{FIT_FEATURE}' GROUP BY target, feature""")
+def ml_cv_summary(spark, sf):
+    """Grouped 5-fold CV of the linear fit (folds by client), mean ± std (ddof 0) of R²."""
+    lg = _long(spark, sf).filter(F.col("feature") == FIT_FEATURE)
+    return rounded(ML.cv_summary(ML.grouped_cv_r2(lg, _fold_col())))

@@ -27,5 +27,6 @@ def register(name: str, sql: str | None = None):
 def load_all():
     """Import every plan module so its @register decorators run."""
     from . import (warehouse_plans, benefit_plans, series_plans, profile_plans, feature_plans,  # noqa: F401
-                   scalar_plans, ml_plans, extra_plans)
+                   ml_plans, mllib_plans,
+                   scalar_plans, extra_plans)
     return QUERIES, ORACLE

@@ -372,14 +372,3 @@ def win_diff(spark, sf):
     w = Window.partitionBy("config_id").orderBy("timestamp")
     return rounded(s.select("config_id", "timestamp",
                             (F.col("load_kwh") - F.lag("load_kwh").over(w)).alias("load_diff")))
-
-
-@register("top_best_model", FULL + """
-SELECT run_id AS model, round(run_value, 4) AS r2 FROM runs ORDER BY run_value DESC, run_id LIMIT 1""")
-def top_best_model(spark, sf):
-    """Entity with the highest score via ``max_by`` — one partial aggregate, no sort."""
-    r = Model(spark, sf).runs
-    return rounded(r.agg(F.max_by("run_id", F.struct("run_value", -F.col("run_id"))).alias("model"),
-                         F.max("run_value").alias("r2")))
-
-
