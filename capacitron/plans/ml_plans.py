@@ -121,7 +121,7 @@ def ml_explain_row(spark, sf):
            .select("target", "config_id", "base_value",
                    (F.col("base_value") + F.coalesce("s", F.lit(0.0))).alias("prediction"), "top_feature"))
     # the prediction sums ~13 contributions of magnitude 1e4: report it at 1e-2
-    return rounded(out).withColumn("prediction", F.round("prediction", 2))
+    return rounded(out.withColumn("prediction", F.round("prediction", 2)))
 
 
 @register("ml_dependence", _LONG + """
