@@ -103,7 +103,7 @@ def dx_kpi_relative(spark, sf):
 
 @register("dx_feature_sets", _MATRIX_SQL + """,
 m2 AS (SELECT config_id, """ + ", ".join(_MAT_COLS) + """ FROM mat),
-lg AS (SELECT * FROM (UNPIVOT INCLUDE NULLS m2 ON """ + ", ".join(_MAT_COLS) + """ INTO NAME feature VALUE x))
+lg AS (SELECT * FROM m2 UNPIVOT INCLUDE NULLS (x FOR feature IN (""" + ", ".join(_MAT_COLS) + """)))
 SELECT CASE WHEN starts_with(feature, 'ts__') THEN 'load_profile' ELSE 'direct' END AS feature_set, feature,
        count(x) AS n_known, count(*) - count(x) AS n_missing
 FROM lg GROUP BY feature""")
