@@ -28,5 +28,5 @@ def load_all():
     """Import every plan module so its @register decorators run."""
     from . import (warehouse_plans, benefit_plans, series_plans, profile_plans, feature_plans,  # noqa: F401
                    ml_plans, mllib_plans,
-                   scalar_plans, extra_plans)
+                   scalar_plans, extra_plans, source_plans)
     return QUERIES, ORACLE
