@@ -127,3 +127,24 @@ def sql_adhoc(spark, sf):
     m.clients.createOrReplaceTempView("clients")
     return spark.sql("SELECT kpi_name, count(*) AS n, round(avg(kpi_value), 4) AS avg_value "
                      "FROM kpi_summary WHERE kpi_value > :min_value GROUP BY kpi_name", args={"min_value": 1000})
+
+
+@register("jn_feature_sets", _MATRIX_SQL + """,
+m2 AS (SELECT config_id, """ + ", ".join(_MAT_COLS) + """ FROM mat),
+lg AS (SELECT * FROM m2 UNPIVOT INCLUDE NULLS (x FOR feature IN (""" + ", ".join(_MAT_COLS) + """))),
+sets AS (SELECT * FROM (VALUES ('direct'), ('load_profile'), ('kpi_relative')) t(feature_set)),
+f AS (SELECT CASE WHEN starts_with(feature, 'ts__') THEN 'load_profile' ELSE 'direct' END AS feature_set, feature,
+             count(x) AS n_known FROM lg GROUP BY feature)
+SELECT s.feature_set, count(f.feature) AS n_features, coalesce(sum(f.n_known), 0) AS n_values
+FROM sets s LEFT JOIN f ON f.feature_set = s.feature_set GROUP BY s.feature_set""")
+def jn_feature_sets(spark, sf):
+    """Feature sets ⟕ features of our matrix, grouped: features and known values per set
+    (a set without features keeps a zero row)."""
+    mat = _matrix(spark, sf)
+    lg = ML.unpivot(mat, ["config_id"], list(_MAT_COLS))
+    f = lg.groupBy(F.when(F.col("feature").startswith("ts__"), "load_profile").otherwise("direct")
+                   .alias("feature_set"), "feature").agg(F.count("x").alias("n_known"))
+    sets = spark.createDataFrame([("direct",), ("load_profile",), ("kpi_relative",)], "feature_set string")
+    return (F.broadcast(sets).join(f, "feature_set", "left").groupBy("feature_set")
+            .agg(F.count("feature").alias("n_features"),
+                 F.coalesce(F.sum("n_known"), F.lit(0)).cast("long").alias("n_values")))

@@ -219,3 +219,48 @@ SELECT config_id,
     AS temporal__weekend_load_ratio
 FROM ship GROUP BY config_id""")(_ts({}, ["temporal__summer_winter_ratio", "temporal__peak_load_ratio",
                                           "temporal__weekend_load_ratio"], ship=True))
+
+
+# ---------------------------------------------------------------------------
+# Per-id views of the combined statistics queries above (one entry per §2 id).
+# ---------------------------------------------------------------------------
+from .registry import ORACLE as _ORACLE, QUERIES as _QUERIES  # noqa: E402
+
+_ALIASES = {
+    "ts_min": ("ts_mean", ["load_kwh_min", "generation_kwh_min"]),
+    "ts_max": ("ts_mean", ["load_kwh_max", "generation_kwh_max"]),
+    "ts_sum": ("ts_mean", ["load_kwh_sum", "generation_kwh_sum"]),
+    "ts_var": ("ts_std", ["load_kwh_var", "price_eur_mwh_var"]),
+    "ts_peak_to_average": ("ts_peak_to_mean", ["grid_import_kwh_peak_to_average"]),
+    "ts_price_volatility": ("ts_cv", ["price_eur_mwh_price_volatility"]),
+    "ts_price_spread": ("ts_range", ["price_eur_mwh_price_spread"]),
+    "ts_time_above_80pct": ("ts_time_below_20pct", ["soc_percent_time_above_80pct"]),
+    "ts_discharge_energy": ("ts_charge_energy", ["power_kw_discharge_energy"]),
+}
+
+
+def _view(parent, cols):
+    def run(spark, sf):
+        return _QUERIES[parent](spark, sf).select("config_id", *cols)
+    run.__doc__ = f"Columns {', '.join(cols)} of {parent}."
+    return run
+
+
+for _name, (_parent, _cols) in _ALIASES.items():
+    register(_name, f"SELECT config_id, {', '.join(_cols)} FROM ({_ORACLE[_parent]}) t")(_view(_parent, _cols))
+
+
+@register("ts_feature_names")
+def ts_feature_names(spark, sf):
+    """Configured feature names (column and cross-column), sorted, with the number of
+    series for which each one has a value."""
+    from pyspark.sql import functions as F
+    feats = S.extract(Model(spark, sf).series, S.SIMULATION_COLUMN_SPECS, S.DF_FEATURE_NAMES)
+    listed = S.list_all_features(S.SIMULATION_COLUMN_SPECS, S.DF_FEATURE_NAMES)
+    names = listed["column_features"] + listed["custom_features"]
+    kinds = {n: "column" for n in listed["column_features"]} | {n: "custom" for n in listed["custom_features"]}
+    counts = feats.agg(*[F.count(F.col(n)).alias(n) for n in names])
+    long = counts.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.lit(kinds[n]).alias("kind"), F.col(n).alias("n_series"))
+        for n in names])))
+    return long.orderBy("kind", "feature")
