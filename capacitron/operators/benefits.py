@@ -90,14 +90,30 @@ def baseline_priority(strict_reference_order: bool = False):
             .when(is_baseline_name(F.col("config_name")), F.lit(3)))
 
 
+ID_BITS = 59   # configuration ids are non-negative longs below 2^59 (checked at run time)
+
+
+def rank_key(prio, config_id) -> F.Column:
+    """(priority, config_id) packed into one long so ``min`` runs as a HashAggregate
+    (a struct minimum would fall back to a sort-based aggregate).  Ids outside
+    [0, 2^59) raise instead of silently mis-ordering."""
+    cid = F.col(config_id) if isinstance(config_id, str) else config_id
+    ok = (cid >= 0) & (cid < F.lit(1 << ID_BITS))
+    return F.when(ok, F.shiftleft(prio.cast("long"), ID_BITS) + cid).otherwise(
+        F.raise_error(F.lit("config_id outside [0, 2^59)")).cast("long"))
+
+
+def unrank(key) -> F.Column:
+    return F.col(key).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+
+
 def pick_baselines(configs: DataFrame, strict_reference_order: bool = False) -> DataFrame:
     """(run_id, baseline_config_id): one baseline per run, runs without one omitted."""
     cand = (configs.select("run_id", "config_id",
                            baseline_priority(strict_reference_order).alias("prio"))
             .filter(F.col("prio").isNotNull()))
-    best = F.min(F.struct("prio", "config_id"))
-    return (cand.groupBy("run_id").agg(best.alias("b"))
-            .select("run_id", F.col("b.config_id").alias("baseline_config_id")))
+    return (cand.groupBy("run_id").agg(F.min(rank_key(F.col("prio"), "config_id")).alias("k"))
+            .select("run_id", unrank("k").alias("baseline_config_id")))
 
 
 def kpi_wide(kpis: DataFrame, names) -> DataFrame:
@@ -125,21 +141,30 @@ def benefits(configs: DataFrame, kpis: DataFrame, runs: DataFrame | None = None,
              clients: DataFrame | None = None, book: BenefitBook | None = None,
              include_baseline: bool = False,
              strict_reference_order: bool = False) -> DataFrame:
-    """bn_all: benefits of every configuration of every run that has a baseline."""
+    """bn_all: benefits of every configuration of every run that has a baseline.
+
+    Plan: KPI rows -> one wide row per configuration (partial aggregate on config_id),
+    joined to the configurations once; the baseline of each run *and its KPI values*
+    come from a single per-run aggregate (``min`` / ``min_by`` on a packed rank key,
+    a HashAggregate with map-side combine); configurations then join their run's
+    baseline row on run_id.  Four exchanges; no join back to the KPI table.
+    """
     book = book or BenefitBook()
-    base = pick_baselines(configs, strict_reference_order)
-    wide = kpi_wide(kpis, book.kpis)
-    cfg = configs.select("config_id", "run_id", "config_name", "battery_capacity_kwh",
-                         "battery_power_kw", "is_baseline")
-    if not include_baseline:
-        cfg = cfg.filter(~F.col("is_baseline"))
     names = book.kpis
-    bat = wide.select("config_id", *[F.col(k).alias(f"bat__{k}") for k in names])
-    basew = wide.select(F.col("config_id").alias("baseline_config_id"),
-                        *[F.col(k).alias(f"base__{k}") for k in names])
-    j = (cfg.join(base, "run_id")
-         .join(bat, "config_id", "left")
-         .join(basew, "baseline_config_id", "left"))
+    wide = kpi_wide(kpis, names)
+    cfgk = (configs.select("config_id", "run_id", "config_name", "battery_capacity_kwh",
+                           "battery_power_kw", "is_baseline")
+            .join(wide, "config_id", "left"))
+    key = rank_key(baseline_priority(strict_reference_order), "config_id")
+    cand = cfgk.withColumn("_k", key).filter(F.col("_k").isNotNull())
+    base = cand.groupBy("run_id").agg(
+        F.min("_k").alias("_k"), *[F.min_by(F.col(k), F.col("_k")).alias(f"base__{k}") for k in names])
+    base = base.select("run_id", unrank("_k").alias("baseline_config_id"), *[f"base__{k}" for k in names])
+    cfg = cfgk if include_baseline else cfgk.filter(~F.col("is_baseline"))
+    cfg = cfg.select(*[F.col(c) for c in ("config_id", "run_id", "config_name", "battery_capacity_kwh",
+                                          "battery_power_kw", "is_baseline")],
+                     *[F.col(k).alias(f"bat__{k}") for k in names])
+    j = cfg.join(base, "run_id")
     vals = [F.when(F.col("is_baseline"), F.lit(0.0)).otherwise(_benefit_expr(b)).alias(b.name)
             for b in book.items]
     out = j.select("config_id", "run_id", "config_name", "battery_capacity_kwh",

@@ -49,8 +49,9 @@ def matrix(configs, kpis, runs, clients, series, spec=None, df_features=None,
     spec = spec or MATRIX_SERIES_SPEC
     df_features = MATRIX_DF_FEATURES if df_features is None else df_features
     ben = B.benefits(configs, kpis, include_baseline=include_baseline)
-    bkpis = B.benefits_as_kpis(ben)
-    tg = targets(bkpis)
+    # targets straight from the benefit columns (equal to pivoting the saved KPI rows,
+    # without the unpivot/pivot round trip)
+    tg = ben.select("config_id", *[F.col(t).alias(f"target_{t}") for t in TARGET_KPIS])
     ts = S.extract(series, spec, df_features, key="config_id", prefix="ts__")
     ts = ts.select(F.col("config_id").alias("client_id"),
                    *[F.col(c).alias(c if c.startswith("ts__") else f"ts__{c}") for c in ts.columns if c != "config_id"])

@@ -124,7 +124,8 @@ def cv_summary(folds: DataFrame, keys=("target", "feature")) -> DataFrame:
 # ---------------------------------------------------------------------------
 def contributions(long: DataFrame, fit: DataFrame) -> DataFrame:
     """ml_contributions: c = slope·(x − mean_x) per row, target and feature (long table)."""
-    return (long.join(fit.select("target", "feature", "slope", "mean_x"), ["target", "feature"])
+    # the fit has one row per (target, feature): bounded by the model, not the data
+    return (long.join(F.broadcast(fit.select("target", "feature", "slope", "mean_x")), ["target", "feature"])
             .select("config_id", "client_name", "target", "feature", "x", "y",
                     (F.col("slope") * (F.col("x") - F.col("mean_x"))).alias("contribution")))
 
@@ -135,7 +136,7 @@ def contribution_stats(contrib: DataFrame) -> DataFrame:
     # the sign is read at 1e-6 resolution so float noise around 0 does not flip it
     return contrib.groupBy("target", "feature").agg(
         F.avg(F.abs(c)).alias("mean_abs"), F.stddev_pop(F.abs(c)).alias("std_abs"),
-        F.avg(c).alias("mean_contribution")).withColumn(
+        F.avg(c).alias("mean_contribution"), guarded_corr(F.col("x"), c).alias("corr")).withColumn(
         "direction", F.when(F.round("mean_contribution", 6) > 0, "positive").otherwise("negative"))
 
 
@@ -367,3 +368,12 @@ def registry_row(target: str, pm, features, metrics_row: dict, params: dict, pat
 
 REGISTRY_SCHEMA = ("target string, model_path string, metrics string, feature_importance map<string,double>, "
                    "hyperparameters string, n_samples long, n_features long")
+
+
+def importance_from_stats(stats: DataFrame) -> DataFrame:
+    """Normalised importance per model from contribution statistics (sums to 1)."""
+    s = stats.select("target", "feature", "mean_abs")
+    tot = s.groupBy("target").agg(F.sum("mean_abs").alias("_t"))
+    return (s.join(tot, "target").select(
+        F.col("target").alias("model"), "feature",
+        F.coalesce(F.try_divide(F.col("mean_abs"), F.col("_t")), F.lit(0.0)).alias("importance")))

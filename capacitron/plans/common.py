@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..sources import tables as T
+from ..sources.store import read_model
 
 
 class Model:
     """The storage-sizing model over one scale-factor directory.
 
-    ``groups`` is built once per query so configs and KPIs derived from it share one
-    lineitem aggregate (Spark reuses the exchange instead of scanning twice).
+    The four warehouse tables are stored Parquet derived once from the driver tables
+    (:mod:`capacitron.sources.store`); series and profiles are read from the driver
+    tables directly.
     """
 
     def __init__(self, spark, sf_dir):
@@ -24,25 +26,21 @@ class Model:
     def read(self, name):
         return T.read(self.spark, self.sf, name)
 
-    @cached_property
-    def groups(self) -> DataFrame:
-        return T.config_groups(self.spark, self.sf)
-
     @cached_property
     def configs(self) -> DataFrame:
-        return T.battery_configs(self.spark, self.sf, self.groups)
+        return read_model(self.spark, self.sf, "battery_configs")
 
     @cached_property
     def kpis(self) -> DataFrame:
-        return T.kpi_summary(self.spark, self.sf, self.groups)
+        return read_model(self.spark, self.sf, "kpi_summary")
 
     @cached_property
     def runs(self) -> DataFrame:
-        return T.runs(self.spark, self.sf)
+        return read_model(self.spark, self.sf, "runs")
 
     @cached_property
     def clients(self) -> DataFrame:
-        return T.clients(self.spark, self.sf)
+        return read_model(self.spark, self.sf, "clients")
 
     @cached_property
     def series(self) -> DataFrame:

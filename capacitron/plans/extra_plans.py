@@ -8,7 +8,7 @@ from ..functions.nulls import guarded_corr
 from ..operators import calendar as C
 from ..operators import ml as ML
 from .common import Model, rounded
-from .feature_plans import _MAT_COLS, _MATRIX_SQL, _matrix
+from .feature_plans import _MAT_COLS, _MATRIX_SQL, _stored_matrix as _matrix
 from .model_sql import CONFIGS, EVENTS_SERIES, GRP, KPIS, with_
 from .registry import register
 

@@ -11,7 +11,7 @@ from ..operators import features as FT
 from ..operators import ml as ML
 from ..session import scratch_path
 from .common import rounded
-from .feature_plans import _MAT_COLS, _MATRIX_SQL, _matrix
+from .feature_plans import _MAT_COLS, _MATRIX_SQL, _stored_matrix as _matrix
 from .registry import register
 
 TARGETS = ["target_peak_shaving_benefit", "target_energy_procurement_optimization", "target_trading_revenue"]
@@ -30,6 +30,15 @@ def _contrib(spark, sf):
     return ML.contributions(lg, ML.ols_fit(lg))
 
 
+def _stats(spark, sf):
+    """Contribution statistics per (target, feature), with corr(x, contribution)."""
+    return ML.contribution_stats(_contrib(spark, sf))
+
+
+def _imp(spark, sf):
+    return ML.importance_from_stats(_stats(spark, sf))
+
+
 # --- oracle building blocks -------------------------------------------------
 _T = " UNION ALL ".join(
     f"SELECT config_id, client_name, '{m}' AS target, {t} AS y, * EXCLUDE (config_id, client_name) FROM mat WHERE {t} IS NOT NULL"
@@ -68,14 +77,14 @@ SELECT target, feature, round(mean_abs, 4) AS mean_abs, round(std_abs, 4) AS std
 FROM st WHERE mean_abs IS NOT NULL""")
 def ml_contribution_stats(spark, sf):
     """Mean |c|, std |c| (ddof 0), mean c (0 for centred linear contributions) and sign."""
-    st = ML.contribution_stats(_contrib(spark, sf)).filter(F.col("mean_abs").isNotNull())
+    st = _stats(spark, sf).drop("corr").filter(F.col("mean_abs").isNotNull())
     return rounded(st.withColumn("mean_contribution", F.round("mean_contribution", 2) + F.lit(0.0)))
 
 
 @register("win_importance_rank", _LONG + """
 SELECT target, feature, row_number() OVER (PARTITION BY target ORDER BY mean_abs DESC NULLS LAST, feature) AS rank FROM st""")
 def win_importance_rank(spark, sf):
-    return ML.rank_features(ML.contribution_stats(_contrib(spark, sf))).select("target", "feature", "rank")
+    return ML.rank_features(_stats(spark, sf)).select("target", "feature", "rank")
 
 
 @register("ml_effect_type", _LONG + """,
@@ -87,7 +96,10 @@ SELECT r.target, r.feature, r.rank, round(c.corr, 4) AS corr,
        CASE WHEN c.corr > 0.5 THEN 'linear_positive' WHEN c.corr < -0.5 THEN 'linear_negative' ELSE 'nonlinear' END AS effect_type
 FROM r JOIN c ON r.target = c.target AND r.feature = c.feature WHERE r.rank <= 5""")
 def ml_effect_type(spark, sf):
-    return rounded(ML.effect_type(_contrib(spark, sf)))
+    st = ML.rank_features(_stats(spark, sf)).filter(F.col("rank") <= 5)
+    lab = (F.when(F.col("corr") > 0.5, "linear_positive").when(F.col("corr") < -0.5, "linear_negative")
+           .otherwise("nonlinear"))
+    return rounded(st.select("target", "feature", "rank", "corr", lab.alias("effect_type")))
 
 
 @register("top_contributions", _LONG + """
@@ -147,7 +159,7 @@ SELECT feature, {_PIV}, round(sum(mean_abs), 4) AS total FROM st GROUP BY featur
 ORDER BY sum(mean_abs) DESC NULLS LAST, feature LIMIT 10""")
 def agg_effect_pivot(spark, sf):
     """Mean |contribution| per feature × target (fixed pivot list), total, top 10."""
-    st = ML.contribution_stats(_contrib(spark, sf))
+    st = _stats(spark, sf)
     p = st.groupBy("feature").pivot("target", MODELS).agg(F.max("mean_abs"))
     p = p.join(st.groupBy("feature").agg(F.sum("mean_abs").alias("total")), "feature")
     return rounded(p.orderBy(F.col("total").desc_nulls_last(), "feature").limit(10))
@@ -167,7 +179,7 @@ SELECT feature, {", ".join(f"round({m}, 4) AS {m}" for m in MODELS)}, round(mean
          AS dominant_model
 FROM s""")
 def agg_importance_wide(spark, sf):
-    return rounded(ML.importance_wide(ML.importance(_contrib(spark, sf)), MODELS))
+    return rounded(ML.importance_wide(_imp(spark, sf), MODELS))
 
 
 @register("agg_importance_category", _LONG + """
@@ -178,27 +190,27 @@ SELECT model, category, round(CASE WHEN t > 0 THEN s / t * 100 ELSE 0 END, 4) AS
                        WHEN starts_with(feature, 'ts__') THEN 'load_profile' ELSE 'other' END AS category,
            sum(importance) OVER (PARTITION BY model) AS t FROM imp) GROUP BY model, category)""")
 def agg_importance_category(spark, sf):
-    return rounded(ML.importance_category(ML.importance(_contrib(spark, sf))))
+    return rounded(ML.importance_category(_imp(spark, sf)))
 
 
 @register("set_shared_features", _LONG + """
 SELECT feature FROM imp WHERE importance > 0.01 GROUP BY feature HAVING count(DISTINCT model) = 3""")
 def set_shared_features(spark, sf):
-    return ML.shared_features(ML.importance(_contrib(spark, sf)), len(MODELS))
+    return ML.shared_features(_imp(spark, sf), len(MODELS))
 
 
 @register("set_unique_features", _LONG + """
 SELECT feature FROM imp WHERE model = 'trading_revenue' AND importance > 0.02
 EXCEPT SELECT feature FROM imp WHERE model <> 'trading_revenue' AND importance > 0.01""")
 def set_unique_features(spark, sf):
-    return ML.unique_features(ML.importance(_contrib(spark, sf)), "trading_revenue")
+    return ML.unique_features(_imp(spark, sf), "trading_revenue")
 
 
 @register("top_features", _LONG + """
 SELECT feature, round(avg(importance), 4) AS mean_importance FROM imp GROUP BY feature
 ORDER BY avg(importance) DESC, feature LIMIT 5""")
 def top_features(spark, sf):
-    imp = ML.importance(_contrib(spark, sf))
+    imp = _imp(spark, sf)
     return rounded(imp.groupBy("feature").agg(F.avg("importance").alias("mean_importance"))
                    .orderBy(F.col("mean_importance").desc(), "feature").limit(5))
 

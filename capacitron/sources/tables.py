@@ -39,8 +39,17 @@ KPI_NAMES = (
 )
 
 
+_READERS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Lazy reader of one driver table.  The DataFrame (a plan, not data) is memoised
+    per session and path so repeated plan building skips file listing and footers."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
 
 
 def clients(spark, sf_dir) -> DataFrame:
