@@ -252,8 +252,9 @@ def timeseries(spark, root: str) -> DataFrame:
 def params_documents(spark, root: str) -> DataFrame:
     """src_params_json: per run the first of parameters.json, config.json, params.json,
     else the first YAML file — ``wholetext`` read, priority via ``min_by``."""
-    df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-          .text(root).select("value", decoded_path("_metadata.file_path").alias("path"),
+    # note: DataFrameReader.text() passes wholetext explicitly, so it must be an argument
+    df = (spark.read.option("recursiveFileLookup", "true")
+          .text(root, wholetext=True).select("value", decoded_path("_metadata.file_path").alias("path"),
                              F.col("_metadata.file_name").alias("name")))
     parts = F.split("path", "/")
     df = df.filter(F.element_at(parts, -2) == "Input")
