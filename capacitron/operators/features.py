@@ -143,16 +143,17 @@ class FeatureStore:
         cur = self.current()
         return self.spark.read.parquet(cur) if cur else None
 
-    def save(self, df: DataFrame, partition_by: str | None = "client_name") -> str:
+    def save(self, df: DataFrame, cluster_by: str | None = "client_name") -> str:
+        """Write a new snapshot.  Rows are range-partitioned and sorted by ``cluster_by``
+        (clients): each file covers a narrow client range, so Parquet min/max statistics
+        prune by client, without one directory per client (a client-partitioned layout
+        degenerates into millions of small files at scale; a hot client is split across
+        range partitions instead of landing in one file)."""
         v = self._versions()
         path = f"{self.root}/v{(v[-1] + 1) if v else 1}"
-        if partition_by and partition_by in df.columns:
-            # AQE rebalance: co-locate each client's rows, split hot clients, merge small
-            # partitions -> few files per client directory without a single-task hot spot
-            w = df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by)
-        else:
-            w = df.write.mode("overwrite")
-        w.parquet(path)
+        if cluster_by and cluster_by in df.columns:
+            df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+        df.write.mode("overwrite").parquet(path)
         return path
 
     def upsert(self, new: DataFrame) -> str:
@@ -171,4 +172,4 @@ class FeatureStore:
 
     def clear(self, schema) -> str:
         """set_clear_store: a new, empty snapshot."""
-        return self.save(self.spark.createDataFrame([], schema), partition_by=None)
+        return self.save(self.spark.createDataFrame([], schema), cluster_by=None)

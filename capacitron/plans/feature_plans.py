@@ -176,7 +176,7 @@ def ft_metadata(spark, sf):
 
 @register("snk_feature_parquet")
 def snk_feature_parquet(spark, sf):
-    """Write the matrix as Parquet partitioned by client, read the snapshot back."""
+    """Write the matrix as a Parquet snapshot clustered by client, read it back."""
     import uuid
     store = FT.FeatureStore(spark, scratch_path(spark, f"features-{uuid.uuid4().hex[:8]}"))
     store.save(_matrix(spark, sf))
