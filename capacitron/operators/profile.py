@@ -34,9 +34,12 @@ def weekday_totals(load: DataFrame, value="grid_load_kwh", key="site_id") -> Dat
     """agg_weekday_totals: Σ per weekday and its share of the site total, all 7 days."""
     per = (load.groupBy(key, F.weekday("timestamp_utc").alias("weekday"))
            .agg(F.sum(value).alias("total")))
-    site_total = per.groupBy(key).agg(F.sum("total").alias("_site"))
-    grid = load.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
-    return (grid.join(per, [key, "weekday"], "left").join(site_total, key, "left")
+    # site total as a window over the pre-aggregated table: at most 7 rows per site, so
+    # the window is bounded whatever the site's size (no extra aggregate + join)
+    per = per.withColumn("_site", F.sum("total").over(Window.partitionBy(key)))
+    grid = per.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    site = per.select(key, "_site").distinct()
+    return (grid.join(per.drop("_site"), [key, "weekday"], "left").join(site, key, "left")
             .select(key, "weekday", F.coalesce("total", F.lit(0.0)).alias("total"),
                     F.coalesce(F.try_divide(F.col("total"), F.col("_site")), F.lit(0.0)).alias("share")))
 
@@ -52,8 +55,9 @@ def weekday_scale(load: DataFrame, pv: DataFrame, consumed_share, key="site_id")
                     (F.col("pv_generation_kwh") * cs).alias("self_kwh"))
     shares = weekday_totals(load, key=key).select(key, "weekday", "share")
     pw = pvs.groupBy(key, "weekday").agg(F.sum("self_kwh").alias("pv_wd"))
-    pt = pw.groupBy(key).agg(F.sum("pv_wd").alias("pv_total"))
-    fac = (pw.join(pt, key).join(shares, [key, "weekday"], "left")
+    # ≤ 7 rows per site: a bounded window gives the site's PV total without a join
+    pw = pw.withColumn("pv_total", F.sum("pv_wd").over(Window.partitionBy(key)))
+    fac = (pw.join(shares, [key, "weekday"], "left")
            .select(key, "weekday",
                    F.when(F.col("pv_wd") > 0,
                           F.col("pv_total") * F.coalesce("share", F.lit(0.0)) / F.col("pv_wd"))

@@ -29,16 +29,16 @@ def materialize_model(spark, sf_dir: str) -> str:
     root = model_root(spark, sf_dir)
     if exists(root, "_SUCCESS"):
         return root
-    g = T.config_groups(spark, sf_dir).persist()
-    try:
-        T.clients(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/clients")
-        T.runs(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/runs")
-        (T.battery_configs(spark, sf_dir, g).repartitionByRange("run_id")
-         .write.mode("overwrite").parquet(f"{root}/battery_configs"))
-        (T.kpi_summary(spark, sf_dir, g).repartitionByRange("config_id").sortWithinPartitions("config_id")
-         .write.mode("overwrite").parquet(f"{root}/kpi_summary"))
-    finally:
-        g.unpersist()
+    # the lineitem aggregate feeds two tables: write it once (a lineage cut in the shared
+    # folder, recomputation-free after executor loss) instead of caching it
+    T.config_groups(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/_config_groups")
+    g = spark.read.parquet(f"{root}/_config_groups")
+    T.clients(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/clients")
+    T.runs(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/runs")
+    (T.battery_configs(spark, sf_dir, g).repartitionByRange("run_id")
+     .write.mode("overwrite").parquet(f"{root}/battery_configs"))
+    (T.kpi_summary(spark, sf_dir, g).repartitionByRange("config_id").sortWithinPartitions("config_id")
+     .write.mode("overwrite").parquet(f"{root}/kpi_summary"))
     touch(root, "_SUCCESS")
     return root
 
