@@ -7,21 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio_if_positive, share
-from .series import with_diffs, _diff_name
+from .series import _diff_name, distributed_percentiles, with_diffs
 
 LOAD_PERCENTILES = [10, 25, 50, 75, 90, 95]
 
 
 def load_profile_exprs(col: str = "load_kwh") -> list[Column]:
+    """Aggregate part of the load-profile extractor (percentiles are joined separately)."""
     c = F.col(col)
     gate = lambda e: F.when(F.count(c) > 0, e)  # noqa: E731  (empty -> features absent)
-    pct = F.percentile(c, F.array(*[F.lit(p / 100) for p in LOAD_PERCENTILES]))
     out = [gate(F.avg(c)).alias("load_mean"), gate(F.stddev_samp(c)).alias("load_std"),
            gate(F.min(c)).alias("load_min"), gate(F.max(c)).alias("load_max"),
            gate(F.coalesce(F.sum(c), F.lit(0.0))).alias("load_sum"),
            gate(ratio_if_positive(F.max(c), F.avg(c))).alias("load_peak_to_mean"),
            gate(F.when(F.avg(c) > 0, F.try_divide(F.stddev_samp(c), F.avg(c))).otherwise(0.0)).alias("load_cv")]
-    out += [gate(pct[i]).alias(f"load_p{p}") for i, p in enumerate(LOAD_PERCENTILES)]
     return out
 
 
@@ -97,4 +96,9 @@ def extract_legacy(series: DataFrame, which=("load_profile", "battery", "tempora
         exprs += temporal_exprs()
     if "grid" in which:
         exprs += grid_exprs(series.columns)
-    return df.groupBy(key).agg(*exprs)
+    out = df.groupBy(key).agg(*exprs)
+    if "load_profile" in which:
+        pct = distributed_percentiles(series, "load_kwh", LOAD_PERCENTILES, key)
+        out = out.join(pct.select(key, *[F.col(f"load_kwh_p{p}").alias(f"load_p{p}") for p in LOAD_PERCENTILES]),
+                       key, "left")
+    return out

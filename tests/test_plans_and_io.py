@@ -36,14 +36,21 @@ def test_benefits_plan_uses_hash_aggregates_only(spark):
 
 
 def test_series_features_single_exchange(spark):
-    """The lag window and the feature aggregate share one hash exchange on the key."""
+    """In-aggregate mode: the lag window and the feature aggregate share one exchange."""
     s = T.series_events(spark, SF_SMALL)
-    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES)
-    df._jdf.queryExecution().executedPlan()   # force planning
+    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES, percentiles="in_aggregate")
     p = df._jdf.queryExecution().executedPlan().toString()
     assert p.count("Exchange hashpartitioning") == 1, p
 
 
+def test_series_percentiles_never_buffer_a_group(spark):
+    """Default mode: no per-group percentile buffer (ObjectHashAggregate) in the plan."""
+    s = T.series_events(spark, SF_SMALL)
+    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in p and "ObjectHashAggregate" not in p
+
+
 def test_scan_prunes_columns_and_pushes_filters(spark):
     p = plan_of(Q["jn_compare_configs"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(kpi_name), EqualTo(kpi_name,annual_total_grid_fee_cost_ic)" in p

@@ -183,3 +183,27 @@ def test_ridge_equals_closed_form(spark):
     pm = ML.fit(df, ["a", "b", "c"], "ridge", regParam=reg)
     got = np.array([r.prediction for r in pm.transform(df).orderBy(F.monotonically_increasing_id()).collect()])
     assert np.allclose(got, expected, rtol=1e-3, atol=1e-3)
+
+
+@FAST
+@given(vals=st.lists(st.integers(min_value=-20, max_value=20), min_size=1, max_size=60),
+       other=st.lists(st.floats(min_value=0, max_value=9, allow_nan=False), min_size=1, max_size=10))
+def test_distributed_percentiles_equal_numpy(spark, vals, other):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, t0 + timedelta(minutes=i), float(v)) for i, v in enumerate(vals)]
+    rows += [(2, t0 + timedelta(minutes=i), float(v)) for i, v in enumerate(other)]
+    rows += [(3, t0, None)]
+    df = spark.createDataFrame(rows, "config_id int, timestamp timestamp, x double")
+    ps = [0, 10, 25, 50, 75, 90, 95, 100]
+    got = {r.config_id: r for r in SER.distributed_percentiles(df, "x", ps).collect()}
+    for k, data in ((1, vals), (2, other)):
+        for p in ps:
+            assert got[k][f"x_p{p}"] == pytest.approx(np.percentile(np.array(data, dtype=float), p), rel=1e-12, abs=1e-12)
+    assert 3 not in got
+    full = SER.extract(df, {"x": {"stats": ["mean"], "percentiles": [10, 90]}}, percentiles="distributed")
+    inagg = SER.extract(df, {"x": {"stats": ["mean"], "percentiles": [10, 90]}})
+    a = sorted(tuple(r) for r in full.select("config_id", "x_mean", "x_p10", "x_p90").collect())
+    b = sorted(tuple(r) for r in inagg.select("config_id", "x_mean", "x_p10", "x_p90").collect())
+    assert len(a) == len(b)
+    for ra, rb in zip(a, b):
+        assert ra[0] == rb[0] and all((x is None and y is None) or x == pytest.approx(y) for x, y in zip(ra[1:], rb[1:]))
