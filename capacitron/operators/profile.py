@@ -53,7 +53,12 @@ def weekday_scale(load: DataFrame, pv: DataFrame, consumed_share, key="site_id")
     cs = consumed_share if not isinstance(consumed_share, (int, float)) else F.lit(float(consumed_share))
     pvs = pv.select(key, "timestamp_utc", F.weekday("timestamp_utc").alias("weekday"),
                     (F.col("pv_generation_kwh") * cs).alias("self_kwh"))
-    shares = weekday_totals(load, key=key).select(key, "weekday", "share")
+    # load share per (site, weekday): a partial aggregate plus a bounded window (≤ 7 rows
+    # per site); weekdays without load simply have no row and get share 0 below
+    site = Window.partitionBy(key)
+    shares = (load.groupBy(key, F.weekday("timestamp_utc").alias("weekday"))
+              .agg(F.sum("grid_load_kwh").alias("_t"))
+              .select(key, "weekday", F.try_divide(F.col("_t"), F.sum("_t").over(site)).alias("share")))
     pw = pvs.groupBy(key, "weekday").agg(F.sum("self_kwh").alias("pv_wd"))
     # ≤ 7 rows per site: a bounded window gives the site's PV total without a join
     pw = pw.withColumn("pv_total", F.sum("pv_wd").over(Window.partitionBy(key)))
@@ -86,7 +91,8 @@ def average_week(profile: DataFrame, key="site_id", tz: str | None = None) -> Da
     pv = F.coalesce(F.col("pv_load_kwh"), F.lit(0.0)) if "pv_load_kwh" in cols else F.lit(0.0)
     agg = (profile.groupBy(key, slot_of(ts).alias("slot"))
            .agg(F.avg(val).alias("value"), F.avg(pv).alias("pv")))
-    grid = profile.select(key).distinct().select(
+    # sites taken from the (small) slot aggregate, not from the raw profile
+    grid = agg.select(key).distinct().select(
         key, F.explode(F.sequence(F.lit(0), F.lit(SLOTS_PER_WEEK - 1))).alias("slot"))
     return (grid.join(agg, [key, "slot"], "left")
             .select(key, F.col("slot").alias("global_index"), slot_label("slot").alias("label"),
