@@ -69,11 +69,23 @@ def decoded_path(c) -> "F.Column":
     return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:(//)?", "")
 
 
+_LISTINGS: dict = {}
+
+
 def list_files(spark, root: str, glob: str | None = None) -> DataFrame:
     """(path, rel, parts, name, modification_time, length) of every file under root.
 
-    Only path metadata is selected, so the binary content is pruned from the scan.
+    Only path metadata is selected, so the binary content is pruned from the scan.  The
+    listing (a lazy DataFrame whose file index is built once) is memoised per session,
+    root and glob: trees written here are immutable once published.
     """
+    key = (id(spark), root, glob)
+    if key not in _LISTINGS:
+        _LISTINGS[key] = _list_files(spark, root, glob)
+    return _LISTINGS[key]
+
+
+def _list_files(spark, root: str, glob: str | None = None) -> DataFrame:
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -205,6 +205,16 @@ def import_preview(spark, root: str, max_clients: int = 10, runs_shown: int = 5)
     return first.join(shown, "client_name", "left")
 
 
+_READS: dict = {}
+
+
+def _memo(spark, kind, root, build):
+    key = (id(spark), kind, root)
+    if key not in _READS:
+        _READS[key] = build()
+    return _READS[key]
+
+
 def kpi_sheets(spark, root: str, raw: bool = False) -> DataFrame:
     """src_kpi_sheets: every KPI sheet of the tree as long rows.
 
@@ -212,11 +222,12 @@ def kpi_sheets(spark, root: str, raw: bool = False) -> DataFrame:
     header lines of either variant are dropped; names are cleaned, values coerced
     (N11), and the last row of a duplicate KPI in a file wins (row order inside a
     small file is preserved by the scan, captured with monotonically_increasing_id)."""
-    df = (spark.read.option("header", "false").option("mode", "PERMISSIVE")
-          .schema("c0 string, c1 string, c2 string")
-          .option("recursiveFileLookup", "true").option("pathGlobFilter", "kpi_summary*.csv").csv(root)
-          .select("c0", "c1", "c2", decoded_path("_metadata.file_path").alias("path"),
-                  F.monotonically_increasing_id().alias("seq")))
+    df = _memo(spark, "kpi", root, lambda: (
+        spark.read.option("header", "false").option("mode", "PERMISSIVE")
+        .schema("c0 string, c1 string, c2 string")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "kpi_summary*.csv").csv(root)
+        .select("c0", "c1", "c2", decoded_path("_metadata.file_path").alias("path"),
+                F.monotonically_increasing_id().alias("seq"))))
     if raw:
         return df.drop("seq")
     hdr = F.lower(F.trim("c0")).isin("kpi_name", "name", "kpi") & F.lower(F.trim("c1")).isin("kpi_value", "value")
@@ -242,8 +253,9 @@ def timeseries(spark, root: str) -> DataFrame:
     """src_timeseries_csv: all series files in one scan, configuration from the path."""
     schema = ("timestamp timestamp, load_kwh double, generation_kwh double, soc_percent double, "
               "power_kw double, grid_import_kwh double, grid_export_kwh double")
-    df = (spark.read.option("header", "true").schema(schema).option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", "flex_timeseries*.csv").csv(root))
+    df = _memo(spark, "series", root, lambda: (
+        spark.read.option("header", "true").schema(schema).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "flex_timeseries*.csv").csv(root)))
     parts = F.split(decoded_path("_metadata.file_path"), "/")
     return df.select(F.element_at(parts, -3).alias("run_name"),
                      S.config_name_from_file(F.element_at(parts, -1)).alias("config_name"), *df.columns)
@@ -253,9 +265,10 @@ def params_documents(spark, root: str) -> DataFrame:
     """src_params_json: per run the first of parameters.json, config.json, params.json,
     else the first YAML file — ``wholetext`` read, priority via ``min_by``."""
     # note: DataFrameReader.text() passes wholetext explicitly, so it must be an argument
-    df = (spark.read.option("recursiveFileLookup", "true")
-          .text(root, wholetext=True).select("value", decoded_path("_metadata.file_path").alias("path"),
-                             F.col("_metadata.file_name").alias("name")))
+    raw = _memo(spark, "docs", root, lambda: spark.read.option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", "*.{json,yml,yaml}").text(root, wholetext=True))
+    df = raw.select("value", decoded_path("_metadata.file_path").alias("path"),
+                    F.col("_metadata.file_name").alias("name"))
     parts = F.split("path", "/")
     df = df.filter(F.element_at(parts, -2) == "Input")
     prio = F.lit(None).cast("int")
@@ -311,13 +324,13 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
 def import_stats(spark, root: str) -> DataFrame:
     """src_import_stats: found / imported counters and errors as one aggregate row."""
     s = scan(spark, root)
-    out = s.filter(F.col("kind").isin("kpi", "timeseries"))
     sheets = kpi_sheets(spark, root, raw=True)
     num = S.numeric_or_null("c1")
     hdr = F.lower(F.trim("c0")).isin("kpi_name", "name")
     def long(df):
         return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value"))
                                             for c in df.columns])))
+    out = s.filter(F.col("kind").isin("kpi", "timeseries"))
     found = s.agg(F.count_distinct("client_name").alias("clients_found"),
                   F.count_distinct("client_folder", "run_folder").alias("runs_found"))
     imp = out.agg(F.count_distinct("client_name").alias("clients_imported"),
