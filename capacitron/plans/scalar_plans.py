@@ -293,7 +293,7 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM eve
     lambda spark, sf: Model(spark, sf).read("events").select(
         "event_id", F.get_json_object("props", "$.k").cast("double").alias("k")))
 
-register("sc_null_to_zero", EVENTS_SERIES.join(["WITH ", ""]) + """
+register("sc_null_to_zero", with_(EVENTS_SERIES) + """
 SELECT config_id, "timestamp", coalesce(generation_kwh, 0.0) AS generation_kwh FROM series""")(
     lambda spark, sf: Model(spark, sf).series.select("config_id", "timestamp",
                                                      N.finite_or_zero("generation_kwh").alias("generation_kwh")))
