@@ -38,7 +38,8 @@ def test_benefits_plan_uses_hash_aggregates_only(spark):
 def test_series_features_single_exchange(spark):
     """In-aggregate mode: the lag window and the feature aggregate share one exchange."""
     s = T.series_events(spark, SF_SMALL)
-    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES, percentiles="in_aggregate")
+    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES, percentiles="in_aggregate",
+                     diffs="window")
     p = df._jdf.queryExecution().executedPlan().toString()
     assert p.count("Exchange hashpartitioning") == 1, p
 

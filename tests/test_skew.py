@@ -64,3 +64,18 @@ def test_percentiles_and_stats_with_a_hot_series(spark):
     assert r[1].x_std == pytest.approx(s.std())
     assert r[1].x_cycles_equivalent == pytest.approx(s.diff().abs().sum() / 200)
     assert len(r) == 11
+
+
+def test_distributed_diffs_equal_pandas_on_a_hot_series(spark):
+    rng = np.random.default_rng(9)
+    t0 = datetime(2024, 1, 1)
+    hot = rng.normal(50, 20, 5000).round(2)
+    rows = [(1, t0 + timedelta(minutes=15 * i), float(v) if i % 97 else None) for i, v in enumerate(hot)]
+    rows += [(2, t0 + timedelta(minutes=15 * i), float(v)) for i, v in enumerate([1.0, 1.05, 3.0])]
+    rows += [(3, t0, 4.0)]
+    df = spark.createDataFrame(rows, "config_id int, timestamp timestamp, x double")
+    got = {r.config_id: r for r in SER.distributed_diff_stats(df, "x", parts=7).collect()}
+    for k in (1, 2, 3):
+        s = pd.Series([v for (kk, _, v) in rows if kk == k and v is not None])
+        assert got[k].x__abs_diff_sum == pytest.approx(s.diff().abs().sum(), rel=1e-12)
+        assert got[k].x__big_diffs == int((s.diff().abs() > 0.1).sum())
