@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import sharding, url_filter
+from . import decontaminate, sharding, token_files, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -42,3 +42,25 @@ def op9(spark, sf):
 def op10(spark, sf):
     """Shard and slot of every document."""
     return sharding.shard_documents(table(spark, sf, "documents")).drop("row_number")
+
+
+@register("op2_warc")
+def op2(spark, sf):
+    """Write every page to seekable WARC bundles and read them all back."""
+    return warc.read_archives(warc.write_archives(table(spark, sf, "pages"))).drop("url")
+
+
+@register("op5_decontamination")
+def op5(spark, sf):
+    """Ten-word windows of the benchmark inside every whole document."""
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")) \
+        .drop("longest", "longest_item", "longest_at")
+
+
+@register("op6_token_files")
+def op6(spark, sf):
+    """Encode all documents to token files and read them back."""
+    import public_tokenizers
+    manifest = token_files.write_token_files(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_files.read_token_files(manifest)
