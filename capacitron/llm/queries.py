@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, sharding, token_files, url_filter, warc
+from . import decontaminate, sharding, token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -64,3 +64,11 @@ def op6(spark, sf):
     manifest = token_files.write_token_files(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return token_files.read_token_files(manifest)
+
+
+@register("op8_toxicity")
+def op8(spark, sf):
+    """Toxicity score of every whole document, learnt from the rows that are not held out."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf, "labels")))
+    return toxicity.score_documents(docs, model)
