@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, sharding, token_files, toxicity, url_filter, warc
+from . import decontaminate, piece_codec, sharding, token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -72,3 +72,10 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf, "labels")))
     return toxicity.score_documents(docs, model)
+
+
+@register("op4_sentencepiece")
+def op4(spark, sf):
+    """Piece ids of every whole document and the text decoded from them, as checksums."""
+    import public_tokenizers
+    return piece_codec.piece_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
