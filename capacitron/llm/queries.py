@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, piece_codec, sharding, token_files, toxicity, url_filter, warc
+from . import decontaminate, jaccard_join, piece_codec, sharding, token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -79,3 +79,9 @@ def op4(spark, sf):
     """Piece ids of every whole document and the text decoded from them, as checksums."""
     import public_tokenizers
     return piece_codec.piece_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op3_jaccard_join")
+def op3(spark, sf):
+    """Components of documents whose five-word shingle sets have a similarity of 0.8 or more."""
+    return jaccard_join.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
