@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, jaccard_join, piece_codec, sharding, token_files, toxicity, url_filter, warc
+from . import decontaminate, jaccard_join, piece_codec, sharding, suffix_dedup, token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -85,3 +85,9 @@ def op4(spark, sf):
 def op3(spark, sf):
     """Components of documents whose five-word shingle sets have a similarity of 0.8 or more."""
     return jaccard_join.near_duplicates(table(spark, sf, "documents")).drop("text_hash")
+
+
+@register("op7_suffix_dedup")
+def op7(spark, sf):
+    """Repeated 200-byte strings of all documents, removed."""
+    return suffix_dedup.removal_digests(table(spark, sf, "documents"))

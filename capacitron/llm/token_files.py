@@ -20,15 +20,16 @@ repeated attempts are never listed.  Files and documents are in ascending order
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,18 +39,41 @@ from .shared import file_system, shared_folder, written
 MAGIC = b"TIDRANK1"
 HEAD = "<8sQQQQ"
 BLOCK = 4096
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 #: Distinct pieces a task remembers the ids of; beyond that it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
-#: Characters whose classes in the pre-tokenizer's pattern do not depend on the Unicode version.
-_SETTLED = re.compile("[^\x00-԰‐-‧ぁ-ゖ一-龥]")
+#: Ranges of characters whose classes do not depend on the Unicode version in use.
+SETTLED = (("\x00", "\u0530"), ("\u2010", "\u2027"), ("\u3041", "\u3096"), ("\u4e00", "\u9fa5"))
 
 MANIFEST = "part int, seq int, path string, n_tokens long, n_docs long, n_bytes long"
 
 
 # --- encoding -------------------------------------------------------------------------------
 
+def _ranges(test) -> str:
+    """The settled characters that pass a test, as the inside of a character class."""
+    out, first, last = [], None, None
+    for low, high in SETTLED:
+        for c in range(ord(low), ord(high) + 2):
+            if c <= ord(high) and test(chr(c)):
+                first, last = (c if first is None else first), c
+            elif first is not None:
+                out.append(f"\\u{first:04x}-\\u{last:04x}")
+                first = None
+    return "".join(out)
+
+
+def settled_pattern(pattern: str) -> str:
+    r"""``pattern`` for Python's ``re``: ``\p{L}``, ``\p{N}`` and ``\s`` spelt out as ranges."""
+    kind = unicodedata.category
+    space = "\\t-\\r \\x85\\xa0"
+    letter, number = _ranges(lambda c: kind(c)[0] == "L"), _ranges(lambda c: kind(c)[0] == "N")
+    return (pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]")
+            .replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+            .replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
@@ -59,27 +83,42 @@ class Encoder:
     """
 
     def __init__(self, path: str, pattern: str):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # the task's core is all it may use
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cut = regex.compile(pattern).findall
+        self.cut = re.compile(settled_pattern(pattern)).findall
+        self.unsettled = re.compile("[^" + "".join(f"{a}-{b}" for a, b in SETTLED) + "]").search
+        vocab = self.library.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.opens[[k for t, k in vocab.items() if t[0] == "\u0120"]] = True
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces.  Pieces of a space and letters are encoded many in one
+        text: the library cuts it at the spaces again, and an id that opens with a space begins
+        the next piece."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        for k in range(0, len(words), 8192):
+            some = words[k:k + 8192]
+            raw = self._ids(["".join(some)])[0]
+            at = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist()
+            if len(at) != len(some):
+                raise ValueError("the tokenizer does not cut words at spaces")
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+        rest = [p for p in pieces if p not in self.known]
+        self.known.update(zip(rest, self._ids(rest)))
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
-                for e in self.library.encode_batch(texts, add_special_tokens=False)]
+                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.known = {}
-        cuts = [None if _SETTLED.search(t) else self.cut(t) for t in texts]
-        fresh: set[str] = set()
-        for c in cuts:
-            if c:
-                fresh.update(c)
-        fresh = [p for p in fresh if p not in self.known]
-        self.known.update(zip(fresh, self._ids(fresh)))
+        cuts = [None if self.unsettled(t) else self.cut(t) for t in texts]
+        fresh = list(set().union(*filter(None, cuts)).difference(self.known))
+        self._learn(fresh)
         whole = iter(self._ids([t for t, c in zip(texts, cuts) if c is None]))
         get = self.known.__getitem__
         return [np.frombuffer(next(whole) if c is None else b"".join(map(get, c)), "<u4") for c in cuts]
@@ -89,11 +128,12 @@ class Encoder:
 
 def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file of the ids of documents that follow one another."""
-    symbols, code, freq = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-freq, kind="stable")
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    rank = rank_of[code.reshape(-1)]
+    freq = np.bincount(ids)                                  # as long as the vocabulary at most
+    symbols = np.flatnonzero(freq)
+    symbols = symbols[np.argsort(-freq[symbols], kind="stable")]
+    rank_of = np.zeros(len(freq), np.uint32)
+    rank_of[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    rank = rank_of[ids]
     size = (1 + (rank > 0xFF) + (rank > 0xFFFF) + (rank > 0xFFFFFF)).astype(np.uint8)
     two = np.zeros(-(-len(rank) // 4) * 4, np.uint8)
     two[:len(rank)] = size - 1
@@ -107,7 +147,7 @@ def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
     return b"".join([
         struct.pack(HEAD, MAGIC, len(ids), len(doc_ids), len(symbols), len(data)),
-        symbols[order].astype("<u4").tobytes(), here.tobytes(), numbers.tobytes(),
+        symbols.astype("<u4").tobytes(), here.tobytes(), numbers.tobytes(),
         np.asarray(counts, "<u8").tobytes(), starts.astype("<u8").tobytes(),
         control.tobytes(), data.tobytes()])
 
@@ -154,11 +194,11 @@ def unpack(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 # --- Spark ----------------------------------------------------------------------------------
 
-def _writer(folder: str, path: str, pattern: str, end_id: int):
+def _writer(folder: str, held, path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, names, chunks, size = TaskContext.get().partitionId(), 0, [], [], 0
         fs, root = file_system(folder)
-        encoder, end = None, np.array([end_id], np.uint32)
+        end = np.array([end_id], np.uint32)
 
         def flush():
             nonlocal seq, names, chunks, size
@@ -173,7 +213,9 @@ def _writer(folder: str, path: str, pattern: str, end_id: int):
             return row
 
         for batch in batches:
-            encoder = encoder or Encoder(path, pattern)
+            # a worker keeps a broadcast value between its tasks, and with it the known pieces
+            encoder = held.value.get("encoder") or Encoder(path, pattern)
+            held.value["encoder"] = encoder
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
                 for doc, ids in zip(rows.column("doc_id").to_pylist(),
@@ -210,7 +252,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, pattern: str, end_id: int
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # whole ids stay in one range, so the order of repeated ids is settled inside a task
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ranged.mapInArrow(_writer(folder, tokenizer, pattern, end_id), MANIFEST), "manifest") \
+    return written(ranged.mapInArrow(_writer(folder, spark.sparkContext.broadcast({}), tokenizer, pattern, end_id), MANIFEST), "manifest") \
         .withColumn("uri", F.lit(folder))
 
 
