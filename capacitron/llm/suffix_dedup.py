@@ -279,6 +279,15 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _cut_rows(batches):
+        text = [None if null.as_py() else k.as_py().decode("utf-8", "ignore")
+                for k, null in zip(batch.column("kept"), batch.column("_null"))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_row"), pa.array(text, pa.string()), batch.column("n_bytes"), batch.column("n_removed")],
+            names=["_row", "text", "n_bytes", "n_removed"])
+
+
 def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
 
@@ -305,11 +314,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     row = packed.schema["_row"].dataType.simpleString()
     packed = packed.mapInArrow(_zip, f"key long, _row {row}, zip binary")
     cut = packed.join(spans, "key", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(
-        _cut_rows, f"key long, _row {row}, _null boolean, kept binary, n_bytes long, n_removed long, n_spans long")
-    text = F.when(~F.col("_null"), F.replace(F.decode("_kept_ok", "UTF-8"), F.lit("�"), F.lit("")))
-    cut = cut.where("n_bytes = 0 OR n_removed < n_bytes").withColumn("_kept_ok", F.col("kept"))
-    whole = F.when(~F.col("_null"), F.col("kept").cast("string"))
-    out = cut.withColumn("_text", F.when(F.col("n_removed") > 0, text).otherwise(whole))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else
-                        F.when(F.col("n_removed") > 0, F.char_length("_text")).otherwise(F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c)
-                        if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names])
+        _text_rows, f"_row {row}, text string, n_bytes long, n_removed long")
+    cut = cut.where("n_bytes = 0 OR n_removed < n_bytes")
+
+    def column(c):
+        if c == "text":
+            return F.col("text")
+        own = F.col(f"_row.`{c}`")
+        if c != "n_chars":
+            return own.alias(c)
+        return F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(own).cast(docs.schema[c].dataType).alias(c)
+
+    return cut.select(*[column(c) for c in names])

@@ -1,25 +1,61 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, leaks, token pieces.
 
 ``STAGES`` are applied in order by :func:`run`; every stage's rows are written as Parquet in the
-shared folder and read again as the next stage's documents.
+shared folder and read again as the next stage's documents.  Every stage works on all rows its
+predecessor kept; all but the last return the columns of the documents they were given.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from capacitron.llm import decontaminate as _decontaminate
+from capacitron.llm import jaccard_join as _jaccard_join
+from capacitron.llm import piece_codec as _piece_codec
 from capacitron.llm import quality as _quality
+from capacitron.llm import suffix_dedup as _suffix_dedup
 from capacitron.llm.shared import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts do not."""
     return _quality.kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the smallest id; null ids all stay."""
+    return _jaccard_join.one_of_each(docs)
 
-#: The stages on shingle graphs, suffix arrays and piece encodings have no SQL form.
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that occur again; those with nothing
+    left are dropped."""
+    return _suffix_dedup.without_repeats(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten-word window of the benchmark."""
+    return _decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, source, n_pieces, ids`` of every document; a null text has no pieces."""
+    keep = ["doc_id", "source"]
+    pieces = _piece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep)
+    return pieces.select(*keep, F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("token_pieces", token_pieces),
+]
+
+#: Shingle graphs, suffix arrays and piece encodings have no SQL form.
 ORACLE_SQL = None
 
 
