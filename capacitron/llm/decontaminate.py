@@ -239,7 +239,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes:
     benchmark finds nothing; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                        F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")) \
         .where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -284,6 +284,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> D
     A document with several rows is kept or removed by id and text; ids may be null."""
     bad = written(matches(docs, benchmark, width).where(F.size("hit") > 0)
                   .select("doc_id", "text_hash").distinct(), "leaking")
-    d = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    on = d["doc_id"].eqNullSafe(bad["doc_id"]) & (d["_h"] == bad["text_hash"])
-    return d.join(bad, on, "left_anti").drop("_h")
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                    F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash"))
+    return d.join(bad, on, "left_anti").select("_row.*")

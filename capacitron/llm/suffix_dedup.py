@@ -219,14 +219,16 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(left), gone, runs
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string")))
+def _keyed(docs: DataFrame, *keep) -> DataFrame:
+    """The key of every row, some of its columns, and its text."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.xxhash64(doc, text).alias("key"), *keep, text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``key, spans``: byte ranges of every document that repeated strings cover (they may
     overlap).  ``key`` is the hash of id and text."""
-    rows = _with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = _keyed(docs)
     found = rows.where(F.octet_length("text") >= length).select("key", "text") \
         .mapInArrow(_anchor_rows(length, gram), "anchor long, key long, low int, high int")
     again = found.repartition("anchor").sortWithinPartitions("anchor") \
@@ -295,8 +297,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows are occurrences of each other; an empty table gives an empty result; other columns are
     ignored."""
     spans = repeated_spans(docs, length, gram)
-    rows = _with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    packed = rows.select("key", "doc_id", "text").mapInArrow(_zip, "key long, doc_id long, zip binary")
+    packed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_zip, "key long, doc_id long, zip binary")
     return packed.join(spans, "key", "left").mapInArrow(
         _digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -310,7 +311,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spans = repeated_spans(docs, length, gram)
     names = docs.columns
     rest = [c for c in names if c != "text"]
-    packed = _with_key(docs).select("key", F.struct(*rest).alias("_row"), F.col("text").cast("string").alias("text"))
+    packed = _keyed(docs, F.struct(*rest).alias("_row"))
     row = packed.schema["_row"].dataType.simpleString()
     packed = packed.mapInArrow(_zip, f"key long, _row {row}, zip binary")
     cut = packed.join(spans, "key", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(
