@@ -22,6 +22,12 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def fold_nan(df, columns):
+    """N1 for whole columns: NaN becomes NULL in every floating column named."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: nan_to_null(c) for c in columns if kinds.get(c) in ("double", "float")})
+
+
 def safe_div(num, den) -> Column:
     """N6: NULL instead of a DIVIDE_BY_ZERO error."""
     return F.try_divide(col_(num), col_(den))

@@ -90,21 +90,18 @@ def baseline_priority(strict_reference_order: bool = False):
             .when(is_baseline_name(F.col("config_name")), F.lit(3)))
 
 
-ID_BITS = 59   # configuration ids are non-negative longs below 2^59 (checked at run time)
-
-
-def rank_key(prio, config_id) -> F.Column:
-    """(priority, config_id) packed into one long so ``min`` runs as a HashAggregate
-    (a struct minimum would fall back to a sort-based aggregate).  Ids outside
-    [0, 2^59) raise instead of silently mis-ordering."""
-    cid = F.col(config_id) if isinstance(config_id, str) else config_id
-    ok = (cid >= 0) & (cid < F.lit(1 << ID_BITS))
-    return F.when(ok, F.shiftleft(prio.cast("long"), ID_BITS) + cid).otherwise(
-        F.raise_error(F.lit("config_id outside [0, 2^59)")).cast("long"))
-
-
-def unrank(key) -> F.Column:
-    return F.col(key).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+def _first_of(prio, value=None) -> F.Column:
+    """The smallest candidate id of the best priority, or the value of that configuration.
+
+    One long minimum per priority (0..3), so any long is a valid id, negative hash keys
+    included, and the whole stays a HashAggregate."""
+    ids = [F.when(prio == p, F.col("config_id")) for p in range(4)]
+    if value is None:
+        return F.coalesce(*[F.min(i) for i in ids])
+    out = F.when(F.min(ids[0]).isNotNull(), F.min_by(F.col(value), ids[0]))
+    for i in ids[1:]:
+        out = out.when(F.min(i).isNotNull(), F.min_by(F.col(value), i))
+    return out
 
 
 def pick_baselines(configs: DataFrame, strict_reference_order: bool = False) -> DataFrame:
@@ -112,8 +109,7 @@ def pick_baselines(configs: DataFrame, strict_reference_order: bool = False) ->
     cand = (configs.select("run_id", "config_id",
                            baseline_priority(strict_reference_order).alias("prio"))
             .filter(F.col("prio").isNotNull()))
-    return (cand.groupBy("run_id").agg(F.min(rank_key(F.col("prio"), "config_id")).alias("k"))
-            .select("run_id", unrank("k").alias("baseline_config_id")))
+    return cand.groupBy("run_id").agg(_first_of(F.col("prio")).alias("baseline_config_id"))
 
 
 def kpi_wide(kpis: DataFrame, names) -> DataFrame:
@@ -145,8 +141,8 @@ def benefits(configs: DataFrame, kpis: DataFrame, runs: DataFrame | None = None,
 
     Plan: KPI rows -> one wide row per configuration (partial aggregate on config_id),
     joined to the configurations once; the baseline of each run *and its KPI values*
-    come from a single per-run aggregate (``min`` / ``min_by`` on a packed rank key,
-    a HashAggregate with map-side combine); configurations then join their run's
+    come from a single per-run aggregate (``min`` / ``min_by`` per priority, a HashAggregate
+    with map-side combine); configurations then join their run's
     baseline row on run_id.  Four exchanges; no join back to the KPI table.
     """
     book = book or BenefitBook()
@@ -155,11 +151,10 @@ def benefits(configs: DataFrame, kpis: DataFrame, runs: DataFrame | None = None,
     cfgk = (configs.select("config_id", "run_id", "config_name", "battery_capacity_kwh",
                            "battery_power_kw", "is_baseline")
             .join(wide, "config_id", "left"))
-    key = rank_key(baseline_priority(strict_reference_order), "config_id")
-    cand = cfgk.withColumn("_k", key).filter(F.col("_k").isNotNull())
+    cand = cfgk.withColumn("_p", baseline_priority(strict_reference_order)).filter(F.col("_p").isNotNull())
     base = cand.groupBy("run_id").agg(
-        F.min("_k").alias("_k"), *[F.min_by(F.col(k), F.col("_k")).alias(f"base__{k}") for k in names])
-    base = base.select("run_id", unrank("_k").alias("baseline_config_id"), *[f"base__{k}" for k in names])
+        _first_of(F.col("_p")).alias("baseline_config_id"),
+        *[_first_of(F.col("_p"), k).alias(f"base__{k}") for k in names])
     cfg = cfgk if include_baseline else cfgk.filter(~F.col("is_baseline"))
     cfg = cfg.select(*[F.col(c) for c in ("config_id", "run_id", "config_name", "battery_capacity_kwh",
                                           "battery_power_kw", "is_baseline")],

@@ -232,38 +232,45 @@ def usable_features(df: DataFrame, features) -> list[str]:
     return [c for c in features if counts[c] and counts[c] > 0]
 
 
-def group_split(df: DataFrame, group: str = "client_name", test_size: float = 0.2,
-                exact_limit: int = 100_000) -> DataFrame:
+def group_split(df: DataFrame, group: str = "client_name", test_size: float = 0.2) -> DataFrame:
     """ml_group_split: whole clients to test, ``is_test`` column.
 
-    With up to ``exact_limit`` distinct clients exactly ⌈test_size·n⌉ clients are drawn
-    (smallest hash first, a bounded ordered limit); beyond that the hash fraction decides,
-    which keeps the split fully distributed.  Fewer than 2 clients: random rows.
+    Exactly ⌈test_size·n⌉ clients of the smallest hashes, by one rule at every size: counts of
+    65,536 hash buckets (the only rows collected) tell which buckets lie below the cut, and
+    only the bucket that holds the cut is ordered.  Fewer than 2 clients: random rows.
     """
-    groups = df.select(group).distinct()
-    n = groups.count()
-    h = F.xxhash64(F.col(group), F.lit(SEED))
+    groups = df.select(group).distinct().withColumn("_h", F.xxhash64(F.col(group), F.lit(SEED))) \
+        .withColumn("_b", F.shiftrightunsigned("_h", 48))
+    counts = {r[0]: r[1] for r in groups.groupBy("_b").count().toLocalIterator()}
+    n = sum(counts.values())
     if n < 2:
         return df.withColumn("is_test", F.rand(SEED) < test_size)
-    if n <= exact_limit:
-        k = int(math.ceil(test_size * n))
-        test = groups.orderBy(h, F.col(group)).limit(k).withColumn("is_test", F.lit(True))
-        return df.join(test, group, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
-    frac = F.pmod(h, F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("is_test", frac < test_size)
+    left, cut = int(math.ceil(test_size * n)), -1
+    for cut in sorted(counts):
+        if left <= counts[cut]:
+            break
+        left -= counts[cut]
+    last = groups.where(F.col("_b") == cut).orderBy("_h", group).limit(left)
+    test = groups.where(F.col("_b") < cut).union(last).select(group).withColumn("is_test", F.lit(True))
+    return df.join(test, group, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
 
 
 def group_folds(df: DataFrame, group: str = "client_name", cv_folds: int = 5) -> DataFrame:
     """ml_group_folds: ≤ 5 clients -> one fold per client (leave-one-client-out), else
-    k = min(cv_folds, clients) hash folds; < 2 clients -> plain k-fold on rows."""
-    groups = df.select(group).distinct()
+    k = min(cv_folds, clients) folds; < 2 clients -> plain k-fold on rows.
+
+    Clients are ranked by size (hash among equals) and dealt out in snake order, so no fold
+    is empty and folds are of similar size.  The window runs over one row per client."""
+    groups = df.groupBy(group).agg(F.count("*").alias("_n"))
     n = groups.count()
     if n < 2:
         return df.withColumn("fold", (F.rand(SEED) * cv_folds).cast("int"))
-    if n <= 5:
-        ids = groups.withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)
-        return df.join(ids, group)
-    return df.withColumn("fold", client_fold(group, min(cv_folds, n)))
+    k = n if n <= 5 else min(cv_folds, n)
+    at = F.row_number().over(Window.orderBy(F.desc("_n"), F.xxhash64(group), group)) - 1
+    back = (F.expr(f"_at div {k}") % 2) == 1
+    ids = groups.withColumn("_at", at).select(
+        group, F.when(back, k - 1 - F.col("_at") % k).otherwise(F.col("_at") % k).cast("int").alias("fold"))
+    return df.join(ids, group)
 
 
 def pipeline(features, model: str = "gbt", label: str = "label", **params):

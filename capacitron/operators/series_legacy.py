@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import ratio_if_positive, share
+from ..functions.nulls import fold_nan, ratio_if_positive, share
 from .series import _diff_name, distributed_percentiles, with_diffs
 
 LOAD_PERCENTILES = [10, 25, 50, 75, 90, 95]
@@ -85,6 +85,7 @@ def extract_legacy(series: DataFrame, which=("load_profile", "battery", "tempora
                    key: str = "config_id") -> DataFrame:
     """FeatureExtractorRegistry.extract_all: chosen extractors in one aggregate."""
     exprs = []
+    series = fold_nan(series, [c for c in series.columns if c != key])
     df = series
     if "battery" in which:
         df = with_diffs(df, [c for c in ("soc_percent", "power_kw") if c in series.columns], key)

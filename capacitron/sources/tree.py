@@ -188,21 +188,15 @@ def case_counts(spark, root: str) -> DataFrame:
             .filter((F.col("n_kpi") + F.col("n_timeseries")) >= 1))
 
 
-def import_preview(spark, root: str, max_clients: int = 10, runs_shown: int = 5) -> DataFrame:
-    """src_import_preview: first N clients (by name) with totals and their first runs.
-
-    Run lists are the first ``runs_shown`` names per client (a per-client top-k), never a
-    collect of all of a client's runs."""
+def import_preview(spark, root: str, max_clients: int = 10) -> DataFrame:
+    """src_import_preview: a row per run of the first N clients (by name), with the client's
+    totals.  Runs are rows, so no list of a client's runs is ever collected."""
     cc = case_counts(spark, root)
     per = cc.groupBy("client_name").agg(F.count("*").alias("n_runs"),
                                         F.sum("n_kpi").alias("n_kpi_files"),
                                         F.sum("n_timeseries").alias("n_timeseries_files"))
     first = per.orderBy("client_name").limit(max_clients)
-    w = Window.partitionBy("client_name").orderBy("run_name")
-    shown = (cc.join(first.select("client_name"), "client_name")
-             .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= runs_shown)
-             .groupBy("client_name").agg(F.sort_array(F.collect_list("run_name")).alias("first_runs")))
-    return first.join(shown, "client_name", "left")
+    return cc.select("client_name", "run_name").join(first, "client_name")
 
 
 _READS: dict = {}
@@ -237,15 +231,15 @@ def kpi_sheets(spark, root: str, raw: bool = False) -> DataFrame:
     parts = F.split("path", "/")
     fname = F.element_at(parts, -1)
     out = rows.select(
-        "path",
+        "path", F.element_at(parts, -4).alias("client_name"),
         F.element_at(parts, -3).alias("run_name"),
         S.config_name_from_file(fname).alias("config_name"),
         name.alias("kpi_name"), S.numeric_or_null("c1").alias("kpi_value"),
         F.trim("c2").alias("kpi_unit"), "seq")
     out = out.filter(F.col("kpi_value").isNotNull())
     last = F.max_by(F.struct("kpi_value", "kpi_unit"), F.col("seq"))
-    return (out.groupBy("path", "run_name", "config_name", "kpi_name").agg(last.alias("v"))
-            .select("path", "run_name", "config_name", "kpi_name", F.col("v.kpi_value").alias("kpi_value"),
+    return (out.groupBy("path", "client_name", "run_name", "config_name", "kpi_name").agg(last.alias("v"))
+            .select("path", "client_name", "run_name", "config_name", "kpi_name", F.col("v.kpi_value").alias("kpi_value"),
                     F.col("v.kpi_unit").alias("kpi_unit")))
 
 
@@ -257,7 +251,7 @@ def timeseries(spark, root: str) -> DataFrame:
         spark.read.option("header", "true").schema(schema).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "flex_timeseries*.csv").csv(root)))
     parts = F.split(decoded_path("_metadata.file_path"), "/")
-    return df.select(F.element_at(parts, -3).alias("run_name"),
+    return df.select(F.element_at(parts, -4).alias("client_name"), F.element_at(parts, -3).alias("run_name"),
                      S.config_name_from_file(F.element_at(parts, -1)).alias("config_name"), *df.columns)
 
 
@@ -275,11 +269,11 @@ def params_documents(spark, root: str) -> DataFrame:
     for i, n in enumerate(PARAM_FILES):
         prio = F.when(F.col("name") == n, F.lit(i)).otherwise(prio)
     prio = F.coalesce(prio, F.when(F.col("name").rlike(r"\.ya?ml$"), F.lit(len(PARAM_FILES))))
-    cand = df.select(F.element_at(parts, -3).alias("run_name"), "name", "value", prio.alias("prio")).filter(
+    cand = df.select(F.element_at(parts, -4).alias("client_name"), F.element_at(parts, -3).alias("run_name"), "name", "value", prio.alias("prio")).filter(
         F.col("prio").isNotNull())
     best = F.min_by(F.struct("name", "value"), F.struct("prio", "name"))
-    return (cand.groupBy("run_name").agg(best.alias("b"))
-            .select("run_name", F.col("b.name").alias("source_file"), F.col("b.value").alias("document")))
+    return (cand.groupBy("client_name", "run_name").agg(best.alias("b"))
+            .select("client_name", "run_name", F.col("b.name").alias("source_file"), F.col("b.value").alias("document")))
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:
@@ -305,7 +299,7 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
         import yaml
         for pdf in it:
             rows = []
-            for run, doc in zip(pdf["run_name"], pdf["document"]):
+            for client, run, doc in zip(pdf["client_name"], pdf["run_name"], pdf["document"]):
                 try:
                     obj = yaml.safe_load(doc)           # JSON is a subset of YAML
                 except Exception:                       # unreadable document -> no rows
@@ -315,10 +309,11 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
                         continue
                 out = []
                 walk(obj, "", out)
-                rows += [(run, k, v) for k, v in out]
-            yield pd.DataFrame(rows, columns=["run_name", "key_path", "value"])
+                rows += [(client, run, k, v) for k, v in out]
+            yield pd.DataFrame(rows, columns=["client_name", "run_name", "key_path", "value"])
 
-    return docs.select("run_name", "document").mapInPandas(parse, "run_name string, key_path string, value string")
+    return docs.select("client_name", "run_name", "document").mapInPandas(
+        parse, "client_name string, run_name string, key_path string, value string")
 
 
 def import_stats(spark, root: str) -> DataFrame:
