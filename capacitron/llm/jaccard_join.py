@@ -33,7 +33,7 @@ from .shingles import BUCKETS, Shingler, bucket_counts, ordered, parity_distance
 
 WIDTH = 5
 #: A region of more members is joined by set pivots, ``PIVOTS`` in the first round, then more.
-REGION, PIVOTS = 32, 8
+REGION, PIVOTS = 32, 16
 
 
 def _need(a, b):
@@ -115,7 +115,8 @@ def _regions(held, width: int):
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of small regions; the members of large regions as they are (``b`` null).
+    """Pairs of small regions; the members of large regions as they are (``b`` null and the
+    place in ``nb``).
 
     Rows come sorted by region.  A region that goes on in the next batch is carried over; one
     that has outgrown ``REGION`` is passed on row by row, so no region is ever held."""
@@ -129,7 +130,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if large is not None:                                   # the rest of a large region
             same = key == large
             k = int(np.argmin(same)) if not same.all() else len(key)
-            out.append((key[:k], node[:k], None, n[:k], None))
+            out.append((key[:k], node[:k], None, n[:k], place[:k]))
             key, node, n, place = key[k:], node[k:], n[k:], place[k:]
             if len(key):
                 large = None
@@ -149,7 +150,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.repeat(size, size)
             big = each > REGION
             if big.any():
-                out.append((key[big], node[big], None, n[big], None))
+                out.append((key[big], node[big], None, n[big], place[big]))
             for off in range(1, REGION):
                 i = np.flatnonzero((key[off:] == key[:-off]) & ~big[off:]) if len(key) > off else np.zeros(0, np.int64)
                 if not len(i):
@@ -165,7 +166,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if y is None:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(nx, pa.int64()),
-                         pa.nulls(len(x), pa.int64())], names=empty.schema.names)
+                         pa.array(ny, pa.int64())], names=empty.schema.names)
                 else:
                     swap = x > y
                     yield pa.RecordBatch.from_arrays(
@@ -192,7 +193,9 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
         bound = np.array([parity_distance(x.as_py(), y.as_py()) for x, y in zip(batch.column("ma"), batch.column("mb"))], np.int64)
         keep = bound <= na + nb - 2 * _need(na, nb)
-        yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(bound), pa.array(keep, pa.bool_())],
+            names=["a", "b", "na", "nb", "bound", "ok"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +227,25 @@ class _Measure:
         self.holder = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node") \
             .agg(F.min(F.struct("doc_id", "text_hash")).alias("_d")).select("node", "_d.*")
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, na, nb, shared`` of the pairs that a lower bound does not exclude."""
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """The shingles of some nodes, from the texts of one holder each."""
+        texts = self.rows.join(nodes.select("node").distinct().join(self.holder, "node"), ["doc_id", "text_hash"])
+        return written(texts.select("node", "text").mapInArrow(_set_rows(self.width), "node long, shingles binary")
+                       .dropDuplicates(["node"]), "sets")
+
+    def __call__(self, pairs: DataFrame, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Lower bounds of the symmetric difference of all pairs (``a, b, na, nb, bound, ok``),
+        and ``a, b, na, nb, shared`` of the pairs that the bound does not exclude."""
         m = self.maps
         some = pairs.join(m.select(F.col("node").alias("a"), F.col("map").alias("ma")), "a") \
             .join(m.select(F.col("node").alias("b"), F.col("map").alias("mb")), "b")
-        some = written(some.mapInArrow(_plausible, "a long, b long, na long, nb long"), "plausible")
-        used = some.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.holder, "node")
-        texts = self.rows.join(used, ["doc_id", "text_hash"]).select("node", "text")
-        sets = written(texts.mapInArrow(_set_rows(self.width), "node long, shingles binary")
-                       .dropDuplicates(["node"]), "sets")
+        bounds = written(some.mapInArrow(_plausible, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
+        some = bounds.where("ok").drop("bound", "ok")
+        if sets is None:
+            sets = self.sets(some.select(F.explode(F.array("a", "b")).alias("node")))
         full = some.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a") \
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return written(full.mapInArrow(_shared, "a long, b long, na long, nb long, shared long"), "measured")
+        return bounds, written(full.mapInArrow(_shared, "a long, b long, na long, nb long, shared long"), "measured")
 
 
 _LINKED = "100 * shared >= 80 * (na + nb - shared)"
@@ -248,8 +257,11 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
     A member that has been a pivot has met the whole region.  Members of the region's largest
     group (by the links so far) need not meet each other.  So a region is finished when every
     other member has been a pivot."""
+    if members.isEmpty():
+        return links
+    sets = measure.sets(members)                               # texts are read once for all rounds
     done, pivots_now = None, PIVOTS
-    first = None                                                # (key, node, d): distance to the first pivot
+    first = None                           # (key, node, low, high): bounds of the distance to the first pivot
     while True:
         if done is None:
             left = members
@@ -258,32 +270,38 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
             named = members.join(group.withColumnRenamed("component", "_g"), "node", "left") \
                 .withColumn("_g", F.coalesce("_g", "node"))
             most = named.groupBy("key", "_g").count().groupBy("key").agg(F.max_by("_g", F.struct("count", "_g")).alias("_most"))
-            left = written(named.join(most, "key").where("_g <> _most").select("key", "node", "n")
+            left = written(named.join(most, "key").where("_g <> _most").select("key", "node", "n", "place")
                            .join(done, ["key", "node"], "left_anti"), "left")
         if left.isEmpty():
             return links
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
         pivots = written(left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots_now), "pivots")
-        met = members.join(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("np"), "_r"), "key") \
-            .where("node <> p AND 5 * least(n, np) >= 4 * greatest(n, np)")
+        # a linked pair's first common region passes the place test, so the other regions may go
+        met = members.join(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("np"),
+                                         F.col("place").alias("_pp"), "_r"), "key") \
+            .where("node <> p AND 5 * least(n, np) >= 4 * greatest(n, np)") \
+            .where("_r = 1 OR least(n - place, np - _pp) >= (4 * (n + np) + 8) div 9")
         if first is not None:
-            met = met.join(first.withColumnRenamed("d", "_x"), ["key", "node"], "left") \
-                .join(first.select("key", F.col("node").alias("p"), F.col("d").alias("_y")), ["key", "p"], "left") \
-                .where("_x IS NULL OR _y IS NULL OR abs(_x - _y) <= 0.2 + 1e-9")
+            met = met.join(first.selectExpr("key", "node", "low AS _xl", "high AS _xh"), ["key", "node"], "left") \
+                .join(first.selectExpr("key", "node AS p", "low AS _yl", "high AS _yh"), ["key", "p"], "left") \
+                .where("_xl IS NULL OR _yl IS NULL OR (_xl <= _yh + 0.2 + 1e-9 AND _yl <= _xh + 0.2 + 1e-9)")
         pairs = met.select(
             F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"),
             F.expr("CASE WHEN node < p THEN n ELSE np END").alias("na"),
             F.expr("CASE WHEN node < p THEN np ELSE n END").alias("nb")).distinct()
-        measured = measure(pairs)
+        bounds, measured = measure(pairs, sets)
         if first is None:
-            distance = measured.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-            ends = distance.union(distance.select("b", "a", "d")).toDF("node", "p", "d")
+            # distances to the first pivot of each region: exact, or at least a lower bound
+            exact = measured.selectExpr("a", "b", "1 - shared / (na + nb - shared) AS d")
+            distance = bounds.join(exact, ["a", "b"], "left") \
+                .selectExpr("a", "b", "coalesce(d, 2 * bound / (na + nb + bound)) AS low", "coalesce(d, 1D) AS high")
+            ends = distance.union(distance.select("b", "a", "low", "high")).toDF("node", "p", "low", "high")
             lead = pivots.where("_r = 1").select("key", F.col("node").alias("p"))
             first = written(members.select("key", "node").join(lead, "key").join(ends, ["node", "p"])
-                            .select("key", "node", "d")
-                            .union(lead.select("key", "p", F.lit(0.0))), "first-pivot")
+                            .select("key", "node", "low", "high")
+                            .union(lead.selectExpr("key", "p", "0D", "0D")), "first-pivot")
         links = written(links.union(measured.where(_LINKED).select("a", "b")).distinct(), "links")
-        pivots_now *= 8                                         # few rounds, however many are left
+        pivots_now *= 16                                        # few rounds, however many are left
         now = pivots.select("key", "node")
         done = written(now if done is None else done.union(now), "met")
 
@@ -305,9 +323,9 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
         .repartition("key").sortWithinPartitions("key", "node")
     found = written(joined.mapInArrow(_pairs, "key long, a long, b long, na long, nb long"), "regions")
     measure = _Measure(rows, nodes, maps, width)
-    measured = measure(found.where("b IS NOT NULL").select("a", "b", "na", "nb").distinct())
+    _, measured = measure(found.where("b IS NOT NULL").select("a", "b", "na", "nb").distinct())
     links = written(measured.where(_LINKED).select("a", "b"), "links")
-    large = found.where("b IS NULL").select("key", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
+    large = found.where("b IS NULL").select("key", F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("place")).distinct()
     large = written(large, "large-regions")
     links = _large_regions(large, links, measure)
     return nodes, connected_components(links, "a", "b")
@@ -342,6 +360,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     chosen = groups.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("component_id") \
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("_d")).select("_d.*")
     keep = written(single.union(chosen).distinct(), "kept")
-    d = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    on = d["doc_id"].eqNullSafe(keep["doc_id"]) & (d["_h"] == keep["text_hash"])
-    return d.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                    F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash"))
+    return d.join(keep, on, "left_semi").dropDuplicates(["_id", "_h"]).select("_row.*")

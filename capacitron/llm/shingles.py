@@ -66,8 +66,8 @@ def ordered(shingles: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def parity_map(shingles: np.ndarray) -> bytes:
-    """One parity bit per slot, with at least as many slots as shingles (a power of two)."""
-    slots = 1 << max(6, int(len(shingles) - 1).bit_length())
+    """One parity bit per slot, with at least twice as many slots as shingles (a power of two)."""
+    slots = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
     low = _mix(shingles)
     hits = np.bincount((low & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(hits.astype(np.uint8), bitorder="little").tobytes()
