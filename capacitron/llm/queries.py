@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, jaccard_join, piece_codec, sharding, suffix_dedup, token_files, toxicity, url_filter, warc
+from . import decontaminate, jaccard_join, oracles, piece_codec, sharding, suffix_dedup, token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op1_quality_rules")
+@register("op1_quality_rules", oracles.quality_sql())
 def op1(spark, sf):
     """Quality rules over every whole text of ``documents``."""
     return Q.quality(table(spark, sf, "documents")).select(
@@ -31,7 +31,7 @@ def op1(spark, sf):
         "base_failed", "kept")
 
 
-@register("op9_url_filters")
+@register("op9_url_filters", oracles.url_sql())
 def op9(spark, sf):
     """Verdict of every ``pages`` URL: its rule's, else its aliases'."""
     return url_filter.judge_urls(table(spark, sf, "pages")).select(
