@@ -256,9 +256,10 @@ def ml_evaluate(spark, sf):
 SELECT target AS model, round(r2, 4) AS r2 FROM (""" + _MET + """ FROM pred WHERE prediction IS NOT NULL GROUP BY target)
 ORDER BY r2 DESC, model LIMIT 1""")
 def top_best_model(spark, sf):
-    """Model with the highest R² via ``max_by`` (one aggregate, no sort)."""
+    """Model with the highest R², the first name among equals (one aggregate, no sort)."""
     m = ML.metrics(_pred(spark, sf))
-    return rounded(m.agg(F.max_by("target", F.struct("r2", F.lit(0))).alias("model"), F.max("r2").alias("r2")))
+    return rounded(m.agg(F.min_by("target", F.struct(-F.col("r2"), F.col("target"))).alias("model"),
+                         F.max("r2").alias("r2")))
 
 
 _FOLD_SQL = "CAST(regexp_extract(client_name, '#(\\d+)', 1) AS BIGINT) % 5"
