@@ -33,7 +33,7 @@ def measured(t):
 @pytest.mark.parametrize("clash", [False, True])
 def test_quality(spark, clash):
     docs = fx.rows()[0]
-    got = quality.quality(fx.frame(spark, clash=clash))
+    got = quality.quality(fx.frame(spark, clash=clash)).cache()
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert bag(got.select(cols).collect()) == bag((d[0], *measured(d[1])) for d in docs)
     assert not [r for r in got.collect() if r.base_failed and r.kept]
