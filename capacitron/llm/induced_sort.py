@@ -1,4 +1,4 @@
-"""Suffix arrays with common prefixes by induced sorting over disk-backed queues (numpy).
+"""Suffix arrays with common prefixes by induced sorting over queues (numpy).
 
 A text is classified into suffixes smaller (S) and larger (L) than their successor.  The
 leftmost S suffixes (LMS) are sorted through a reduced text of their substrings' names; from
@@ -8,8 +8,9 @@ queues together are a priority queue of (symbol, arrival).  Each entry carries i
 its common prefix with its predecessor; the common prefix of two induced neighbours is one more
 than the least value scanned between their sources.
 
-Queues move to a temporary file beyond ``MEMORY`` bytes and large arrays are mapped to files,
-so a shard may be larger than memory.  Common prefixes are kept up to ``CAP``.
+Waiting queue entries move to a temporary file beyond ``MEMORY`` bytes and the largest arrays are
+mapped to files, but scanned entries, kinds and names stay in memory: the caller bounds the text
+(:mod:`.suffix_dedup` by its shards).  Common prefixes are kept up to ``CAP``.
 """
 
 from __future__ import annotations

@@ -5,9 +5,15 @@ inside it (the leftmost of equals).  Equal strings have equal anchors, so the an
 shard key that never separates two occurrences.  A document's strings with the same anchor form
 one fragment.  Anchors that occur once in the whole input are dropped; fragments with the same
 content are counted before they travel on; the distinct fragments of a shard are suffix-sorted
-by external induced sorting (:mod:`.induced_sort`), and a string is repeated when it has a
-common prefix of ``length`` bytes with a neighbour in the suffix array or its fragment occurs
-more than once.
+by induced sorting (:mod:`.induced_sort`), and a string is repeated when it has a common prefix
+of ``length`` bytes with a neighbour in the suffix array or its fragment occurs more than once.
+
+All strings of an anchor share a core, at first the anchor itself.  An anchor whose distinct
+fragments exceed ``SHARD_BYTES`` is divided: a string reaches half of the free bytes beyond the
+core either to its right or to its left, and the core grown to that side is its new shard key,
+which equal strings share.  Fragments cut to one side are counted again, and groups that are
+still too large are divided further, at the latest until the core is the whole string.  So no
+sort takes more than twice ``SHARD_BYTES``.
 
 Rows are identified by a 64-bit hash of id and text; a row that is repeated whole counts as
 another occurrence.  Texts travel compressed.
@@ -27,7 +33,7 @@ from .induced_sort import suffix_array
 from .shared import written
 
 LENGTH, GRAM = 200, 64
-#: Fragments are suffix-sorted in shards of about so many bytes, always whole anchors.
+#: Fragments are suffix-sorted in shards of about so many bytes, always whole groups of no more.
 SHARD_BYTES = 4 << 20
 
 
@@ -41,13 +47,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int, gram: int):
-    """Hash of the anchor, first and last string start of every fragment of a text.
-
-    ``gram`` is a power of two below ``length``."""
-    none = np.zeros(0, np.int64)
-    if len(text) < length:
-        return none, none, none
+def _least_grams(text: bytes, length: int, gram: int):
+    """Hashes of a text's pieces, and the place of the anchor in each of its strings."""
     with np.errstate(over="ignore"):
         h, k = _byte_values()[np.frombuffer(text, np.uint8)], 1
         while k < gram:
@@ -61,9 +62,19 @@ def anchors(text: bytes, length: int, gram: int):
         k *= 2
     n = len(text) - length + 1
     low = np.minimum(low[:n], low[span - k:span - k + n])               # least hash in each string
-    first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    anchor = h[(low[first] & place).astype(np.int64)]
-    return anchor.view(np.int64), first, np.append(first[1:] - 1, n - 1)
+    return h, (low & place).astype(np.int64)
+
+
+def anchors(text: bytes, length: int, gram: int):
+    """Hash of the anchor, first and last string start of every fragment of a text.
+
+    ``gram`` is a power of two below ``length``."""
+    none = np.zeros(0, np.int64)
+    if len(text) < length:
+        return none, none, none
+    h, at = _least_grams(text, length, gram)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return h[at[first]].view(np.int64), first, np.append(first[1:] - 1, len(at) - 1)
 
 
 def _slices(sizes, limit: int):
@@ -204,6 +215,67 @@ def _sorted_shards(length: int):
     return run
 
 
+def halves(part: bytes, left: int, right: int, length: int):
+    """The strings of a fragment with the core ``part[left:right]``, divided by the side on which
+    they reach half of the free bytes beyond it: side, first string start, fragment, and the
+    grown core within it.  Equal strings reach to the same side and have the same grown core."""
+    free, last = length - (right - left), len(part) - length
+    half = free // 2
+    cut = left - half                                                  # first start that reaches to the right
+    if cut <= last:
+        a = max(0, cut)
+        yield 1, a, part[a:], left - a, right + free - half - a
+    if cut > 0:
+        b = min(last, cut - 1)
+        yield 0, 0, part[:b + length], left - half - 1, right
+
+
+def _divided(length: int, gram: int):
+    """Both halves of every fragment of a group that is too large for one sort.  ``left`` is null
+    where the core is still the anchor."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["anchor", "mark", "of_anchor", "of_mark", "low", "size", "left", "right", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, mark, left, right, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "mark", "left", "right", "part"))):
+                if left is None:
+                    left = int(_least_grams(part, length, gram)[1][0])
+                    right = left + gram
+                for side, low, piece, a, b in halves(part, left, right, length):
+                    key = hashlib.blake2b(b"%d %d " % (anchor, side) + piece[a:b], digest_size=8).digest()
+                    rows.append((int.from_bytes(key, "little", signed=True), hashlib.blake2b(piece, digest_size=16).digest(),
+                                 anchor, mark, low, len(piece), a, b, piece))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    return run
+
+
+def _repeated_in(one: DataFrame, length: int, gram: int) -> DataFrame:
+    """``anchor, mark, starts``: ranges of repeated string starts in distinct fragments."""
+    groups = written(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes"))
+                     .where("_n > 1"), "groups")
+    # groups with one content need no sorting; those of bounded size go to their shards
+    fit, hot = groups.where(F.col("_bytes") <= SHARD_BYTES), groups.where(F.col("_bytes") > SHARD_BYTES)
+    sorted_ = one.join(fit.select("anchor"), "anchor").select("anchor", "mark", "part") \
+        .repartition("anchor").sortWithinPartitions("anchor") \
+        .mapInArrow(_sorted_shards(length), "anchor long, mark binary, starts array<struct<a:int,b:int>>")
+    copies = one.where("times > 1").select("anchor", "mark", F.array(
+        F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b"))).alias("starts"))
+    starts = sorted_.where(F.size("starts") > 0).union(copies)
+    if hot.isEmpty():
+        return starts
+    divided = written(one.join(hot.select("anchor"), "anchor").select("anchor", "mark", "left", "right", "part").mapInArrow(
+        _divided(length, gram), "anchor long, mark binary, of_anchor long, of_mark binary, low int, size int, left int, right int, part binary"),
+        "divided-fragments")
+    again = written(divided.groupBy("anchor", "mark").agg(
+        F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("size", "left", "right", "part")]), "distinct-fragments")
+    found = divided.select("anchor", "mark", "of_anchor", "of_mark", "low").join(_repeated_in(again, length, gram), ["anchor", "mark"])
+    return starts.union(found.select(
+        F.col("of_anchor").alias("anchor"), F.col("of_mark").alias("mark"),
+        F.transform("starts", lambda s: F.struct((s.a + F.col("low")).alias("a"), (s.b + F.col("low")).alias("b"))).alias("starts")))
+
+
 def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     """What is left, bytes removed, and maximal removed runs."""
     left, at, runs, gone = [], 0, 0, 0
@@ -240,14 +312,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     one = parts.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("times"), F.max("size").alias("size"),
                                               F.first("part", ignorenulls=True).alias("part"))
     one = written(one, "distinct-fragments")
-    mixed = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
-    # anchors with one content need no sorting; the others go to their shards
-    sorted_ = one.join(mixed, "anchor").select("anchor", "mark", "part") \
-        .repartition("anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(_sorted_shards(length), "anchor long, mark binary, starts array<struct<a:int,b:int>>")
-    copies = one.where("times > 1").select("anchor", "mark", F.array(
-        F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b"))).alias("starts"))
-    starts = written(sorted_.where(F.size("starts") > 0).union(copies), "starts")
+    core = [F.lit(None).cast("int").alias(c) for c in ("left", "right")]
+    starts = written(_repeated_in(one.select("*", *core), length, gram), "starts")
     spans = parts.select("anchor", "mark", "key", "low").join(starts, ["anchor", "mark"]) \
         .select("key", "low", F.explode("starts").alias("s")) \
         .select("key", F.struct((F.col("low") + F.col("s.a")).alias("low"),

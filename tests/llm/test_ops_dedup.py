@@ -118,6 +118,61 @@ def test_suffix_dedup(spark, monkeypatch, length, gram):
     assert bag(got.collect()) == bag((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in removed(docs, length))
 
 
+@pytest.mark.parametrize("shared", [64, 150, 199])
+def test_hot_anchor_is_divided(spark, monkeypatch, tmp_path, shared):
+    """A passage that most documents share with other surroundings: no sort takes more than two
+    shards, and the strings that a few of them share are found on both sides of the passage."""
+    limit, sizes, sort = 20_000, str(tmp_path / "sizes"), suffix_dedup.repeated_starts
+
+    def watched(parts, length):
+        with open(sizes, "a") as f:
+            f.write(f"{sum(map(len, parts))}\n")
+        return sort(parts, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", watched)
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    # of many passages the one with the least hash, so that it is the anchor of what holds it
+    passage = min((some(shared) for _ in range(400)), key=lambda p: min(suffix_dedup.anchors(p.encode(), len(p), 64)[0].view(np.uint64)))
+    before, after = some(150), some(150)
+    texts = [some(220) + passage + some(220) for _ in range(400)]
+    for k in range(12):                                   # equal strings that reach over the passage
+        texts += [some(90) + before[k * 11:] + passage + some(200), some(200) + passage + after[:150 - k * 11] + some(90)]
+    texts += [some(70) + before[-70:] + passage + after[:70] + some(70) for _ in range(3)] + texts[:2]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = suffix_dedup.removal_digests(fx.frame(spark, docs))
+    exp = list(removed(docs, 200))
+    assert sum(x[2] > 0 for x in exp) > 10
+    assert bag(got.collect()) == bag((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in exp)
+    assert max(map(int, open(sizes))) <= 2 * limit
+
+
+def test_halves_keep_equal_strings_together():
+    """Every string start is in one half; equal strings with equal cores get equal new cores."""
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        length, gram = int(rng.integers(9, 40)), 8
+        text = bytes(rng.integers(97, 99, int(rng.integers(length, 2 * length - gram + 1))).astype(np.uint8))
+        at = int(rng.integers(len(text) - length, length - gram + 1))    # in every string of the fragment
+        todo, rounds, seen = [(0, text, at, at + gram)], 0, []
+        while todo:
+            low, part, a, b = todo.pop()
+            if b - a == length:
+                assert len(part) == length
+                seen.append(low)
+                continue
+            for _, shift, piece, x, y in suffix_dedup.halves(part, a, b, length):
+                assert piece == part[shift:shift + len(piece)] and 0 <= x < y <= len(piece) and y - x > b - a
+                n = len(piece) - length
+                assert n >= 0 and x >= n and y <= length                 # the core is in every string
+                todo.append((low + shift, piece, x, y))
+        assert sorted(seen) == list(range(len(text) - length + 1))
+
+
 def test_cut_texts(spark):
     docs = fx.rows()[0]
     got = suffix_dedup.without_repeats(fx.frame(spark, docs, clash=True))
