@@ -69,6 +69,13 @@ def decoded_path(c) -> "F.Column":
     return F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:(//)?", "")
 
 
+def relative_path(c, root: str) -> "F.Column":
+    """Decoded paths -> paths below ``root``."""
+    import re
+    base = re.sub("^file:/*", "/", root.rstrip("/"))
+    return F.regexp_replace(c, "^.*?" + _re_escape(base) + "/", "")
+
+
 _LISTINGS: dict = {}
 
 
@@ -90,9 +97,8 @@ def _list_files(spark, root: str, glob: str | None = None) -> DataFrame:
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root).select("path", "modificationTime", "length")
-    base = root.rstrip("/").replace("file:", "")
     df = df.withColumn("path", decoded_path("path"))
-    rel = F.regexp_replace("path", "^.*?" + _re_escape(base) + "/", "")
+    rel = relative_path("path", root)
     return df.select("path", rel.alias("rel"), F.split(rel, "/").alias("parts"),
                      F.element_at(F.split(rel, "/"), -1).alias("name"),
                      F.col("modificationTime").alias("modification_time"), "length")

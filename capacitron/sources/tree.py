@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..session import scratch_path
 from . import tables as T
-from .files import decoded_path, exists, list_files, touch, write_text_files
+from .files import decoded_path, exists, list_files, relative_path, touch, write_text_files
 
 NESTED_FOLDER = "02_Flex Offer Files"
 SERIES_HEADER = "timestamp,load_kwh,generation_kwh,soc_percent,power_kw,grid_import_kwh,grid_export_kwh"
@@ -143,6 +143,17 @@ def _layout(files: DataFrame) -> DataFrame:
                     F.when(nested, p[3]).otherwise(p[2]).alias("section")))
 
 
+def _client_run(path, root: str) -> tuple:
+    """Client folder and run folder of a file by the rule of :func:`_layout`; files above the
+    flat layout's depth have no client."""
+    p = F.split(relative_path(path, root), "/")
+    n = F.size(p)
+    nested = (n >= 5) & (F.get(p, F.lit(1)) == NESTED_FOLDER)
+    client = F.when(n >= 4, F.get(p, F.lit(0)))
+    run = F.when(nested, F.get(p, F.lit(2))).when(n >= 4, F.get(p, F.lit(1))).otherwise(F.get(p, n - 3))
+    return client.alias("client_name"), run.alias("run_name")
+
+
 def scan(spark, root: str) -> DataFrame:
     """All files of a tree with client / run / section / kind / config name."""
     f = _layout(list_files(spark, root))
@@ -228,11 +239,9 @@ def kpi_sheets(spark, root: str, raw: bool = False) -> DataFrame:
     rows = df.filter(~hdr)
     name = F.trim(F.col("c0"))
     rows = rows.filter(name.isNotNull() & (name != "") & (F.lower(name) != "nan"))
-    parts = F.split("path", "/")
-    fname = F.element_at(parts, -1)
+    fname = F.element_at(F.split("path", "/"), -1)
     out = rows.select(
-        "path", F.element_at(parts, -4).alias("client_name"),
-        F.element_at(parts, -3).alias("run_name"),
+        "path", *_client_run("path", root),
         S.config_name_from_file(fname).alias("config_name"),
         name.alias("kpi_name"), S.numeric_or_null("c1").alias("kpi_value"),
         F.trim("c2").alias("kpi_unit"), "seq")
@@ -250,9 +259,9 @@ def timeseries(spark, root: str) -> DataFrame:
     df = _memo(spark, "series", root, lambda: (
         spark.read.option("header", "true").schema(schema).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "flex_timeseries*.csv").csv(root)))
-    parts = F.split(decoded_path("_metadata.file_path"), "/")
-    return df.select(F.element_at(parts, -4).alias("client_name"), F.element_at(parts, -3).alias("run_name"),
-                     S.config_name_from_file(F.element_at(parts, -1)).alias("config_name"), *df.columns)
+    path = decoded_path("_metadata.file_path")
+    return df.select(*_client_run(path, root),
+                     S.config_name_from_file(F.element_at(F.split(path, "/"), -1)).alias("config_name"), *df.columns)
 
 
 def params_documents(spark, root: str) -> DataFrame:
@@ -269,7 +278,7 @@ def params_documents(spark, root: str) -> DataFrame:
     for i, n in enumerate(PARAM_FILES):
         prio = F.when(F.col("name") == n, F.lit(i)).otherwise(prio)
     prio = F.coalesce(prio, F.when(F.col("name").rlike(r"\.ya?ml$"), F.lit(len(PARAM_FILES))))
-    cand = df.select(F.element_at(parts, -4).alias("client_name"), F.element_at(parts, -3).alias("run_name"), "name", "value", prio.alias("prio")).filter(
+    cand = df.select(*_client_run("path", root), "name", "value", prio.alias("prio")).filter(
         F.col("prio").isNotNull())
     best = F.min_by(F.struct("name", "value"), F.struct("prio", "name"))
     return (cand.groupBy("client_name", "run_name").agg(best.alias("b"))

@@ -114,6 +114,28 @@ def test_series_and_params(spark, small_tree):
     assert flat[("Run 1 5.9.2025", "rte")] == "0.9"
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_nested_clients_keep_their_own_runs(spark, tmp_path, scheme):
+    root, rows = f"{tmp_path}/tree", []
+    for client, v in (("Beta (F)", 1), ("Gamma (F)", 2)):
+        base = f"{client}/02_Flex Offer Files/Run 1"
+        rows += [(f"{base}/Input/parameters.json", 0, f'{{"v": {v}}}'),
+                 (f"{base}/Output/kpi_summary_a.csv", 0, "kpi_name,kpi_value"), (f"{base}/Output/kpi_summary_a.csv", 1, f"k,{v}"),
+                 (f"{base}/Output/flex_timeseries_outputs_a.csv", 0, TR.SERIES_HEADER),
+                 (f"{base}/Output/flex_timeseries_outputs_a.csv", 1, f"2024-01-01 00:00:00,{v},0,0,0,0,0")]
+    rows.append(("Acme/Run 1/Input/parameters.json", 0, '{"v": 3}'))
+    write_text_files(spark.createDataFrame(rows, "path string, seq long, line string"), root)
+    root = scheme + root
+    docs = TR.params_documents(spark, root)
+    assert sorted((r.client_name, r.run_name) for r in docs.collect()) == [
+        ("Acme", "Run 1"), ("Beta (F)", "Run 1"), ("Gamma (F)", "Run 1")]
+    assert sorted((r.client_name, r.value) for r in TR.flatten_documents(docs).collect()) == [
+        ("Acme", "3"), ("Beta (F)", "1"), ("Gamma (F)", "2")]
+    both = [("Beta (F)", "Run 1", 1.0), ("Gamma (F)", "Run 1", 2.0)]
+    assert sorted((r.client_name, r.run_name, r.kpi_value) for r in TR.kpi_sheets(spark, root).collect()) == both
+    assert sorted((r.client_name, r.run_name, r.load_kwh) for r in TR.timeseries(spark, root).collect()) == both
+
+
 def test_incremental_feature_stream_is_restart_safe(spark, tmp_path):
     s = T.series_events(spark, SF_SMALL)
     landing, store, ckpt = str(tmp_path / "land"), str(tmp_path / "store"), str(tmp_path / "ckpt")
