@@ -62,3 +62,22 @@ def test_no_fold_is_empty(spark, n):
     f = ML.group_folds(df)
     assert f.select("fold").distinct().count() == (n if n <= 5 else 5) and f.count() == n * 3
     assert f.groupBy("client_name").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
+
+
+@pytest.mark.parametrize("query", ["ml_train_ridge", "ml_permutation"])
+def test_every_target_is_trained(spark, query):
+    from capacitron.plans import mllib_plans as MP
+    got = getattr(MP, query)(spark, "/root/testdata/sf0.001")
+    assert {r.target for r in got.select("target").distinct().collect()} == set(MP.TARGETS)
+
+
+@pytest.mark.parametrize("query", ["ml_train_gbt", "ml_importance", "ml_interval", "dx_model_types"])
+def test_every_target_is_trained_with_trees(spark, monkeypatch, query):
+    """Small trees: only the targets and columns are looked at."""
+    from capacitron.plans import mllib_plans as MP
+    real, seen = ML.fit, set()
+    small = {"gbt": {"maxIter": 2, "maxDepth": 2}, "random_forest": {"numTrees": 2}}
+    monkeypatch.setattr(ML, "fit", lambda d, f, kind, **p: real(d, f, kind, **{**p, **small.get(kind, {})}))
+    monkeypatch.setattr(MP, "_train", lambda s, sf, t, m, **p: seen.add(t) or MP._train_uncached(s, sf, t, m, **p))
+    got = getattr(MP, query)(spark, "/root/testdata/sf0.001")
+    assert {r.target for r in got.select("target").distinct().collect()} == set(MP.TARGETS) == seen
