@@ -82,3 +82,20 @@ alias AS (SELECT u AS node, bool_or({_rule('h', 'q', 0)} = 'block') AS blocked,
 SELECT page_id, host, path, {_rule('host', 'path', 1)} AS rule,
        coalesce({_rule('host', 'path', 0)}, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN alias USING (node)"""
+
+
+def fill_middle_sql() -> str:
+    number = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT doc_id, t, n, {number.format(1)} % (n + 1) AS x, {number.format(9)} % (n + 1) AS y,
+             t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+               OR {number.format(17)} % 100 >= 90 AS plain, {number.format(25)} % 100 < 20 AS spm FROM d),
+p AS (SELECT *, substring(t, 1, least(x, y)) AS prefix, substring(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle,
+             substring(t, greatest(x, y) + 1) AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN least(x, y) END AS prefix_chars, CASE WHEN NOT plain THEN greatest(x, y) - least(x, y) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from . import quality as Q
-from . import decontaminate, jaccard_join, oracles, piece_codec, sharding, suffix_dedup, token_files, toxicity, url_filter, warc
+from . import decontaminate, fill_middle, jaccard_join, lz_passages, oracles, piece_codec, sharding, spelling, suffix_dedup
+from . import token_files, toxicity, url_filter, warc
 from .shared import table
 
 QUERIES: dict[str, Callable] = {}
@@ -91,3 +92,24 @@ def op3(spark, sf):
 def op7(spark, sf):
     """Repeated 200-byte strings of all documents, removed."""
     return suffix_dedup.removal_digests(table(spark, sf, "documents"))
+
+
+@register("op11_fill_middle", oracles.fill_middle_sql())
+def op11(spark, sf):
+    """Fill-in-the-middle form of every whole document, and the text rebuilt from it."""
+    return fill_middle.fill_in_middle(table(spark, sf, "documents")).select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@register("op12_lz_passages")
+def op12(spark, sf):
+    """Passages of 50 words that documents of smaller ids have too, removed."""
+    return lz_passages.remove_passages(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op13_spelling")
+def op13(spark, sf):
+    """Frequent words, the frequent form each is a variant of, and its root."""
+    return spelling.spelling_variants(table(spark, sf, "documents"))
