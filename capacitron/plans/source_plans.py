@@ -40,12 +40,13 @@ register("src_case_counts")(lambda spark, sf: TR.case_counts(spark, _tree(spark,
 register("src_import_preview")(lambda spark, sf: TR.import_preview(spark, _tree(spark, sf)))
 register("src_import_stats")(lambda spark, sf: TR.import_stats(spark, _tree(spark, sf)))
 register("src_kpi_sheets")(lambda spark, sf: TR.kpi_sheets(spark, _tree(spark, sf)))
-register("src_kpi_csv_direct")(lambda spark, sf: TR.kpi_sheets(spark, _tree(spark, sf), raw=True))
+register("src_kpi_csv_direct")(lambda spark, sf: TR.kpi_csv_direct(spark, _tree(spark, sf)))
 register("src_timeseries_csv")(lambda spark, sf: TR.timeseries(spark, _tree(spark, sf)))
 register("src_params_json")(lambda spark, sf: TR.params_documents(spark, _tree(spark, sf)))
 register("src_config_flatten")(lambda spark, sf: TR.flatten_documents(TR.params_documents(spark, _tree(spark, sf))))
 register("src_load_file")(lambda spark, sf: U.load_files(spark, _up(spark, sf) + "/load"))
-register("flt_required_columns")(lambda spark, sf: U.invalid_load_files(spark, _up(spark, sf) + "/load"))
+register("flt_required_columns")(lambda spark, sf: U.invalid_files(spark, _up(spark, sf) + "/load", "load").unionByName(
+    U.invalid_files(spark, _up(spark, sf) + "/preprocessed", "preprocessed")))
 register("src_register_csv")(lambda spark, sf: U.register(spark, _up(spark, sf) + "/register/netzbetreiber.csv"))
 register("src_latest_file")(lambda spark, sf: U.latest_file(spark, _up(spark, sf) + "/preprocessed"))
 

@@ -15,12 +15,14 @@ over the whole glob, with ``_metadata.file_path`` naming the configuration.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import scratch_path
+from . import headers as H
 from . import tables as T
 from .files import decoded_path, exists, list_files, relative_path, touch, write_text_files
 
@@ -129,37 +131,50 @@ def materialize_tree(spark, sf_dir: str, root: str | None = None) -> str:
 # Walkers
 # ---------------------------------------------------------------------------
 def _layout(files: DataFrame) -> DataFrame:
-    """Classify listed files: flat (Client/Run/X/file) or nested (Client/02_.../Run/X/file)."""
+    """Every listed file with its client (first folder), run and section, at any depth.
+
+    A file belongs to a run when its folder is ``Input`` or ``Output``; the run is the folder
+    above (the client itself in ``Client/Output/file``).  ``layout`` is ``flat``
+    (``Client/Run/X/file``), ``nested`` (``Client/02_.../Run/X/file``) or ``other``; ``skipped``
+    says why a file is no part of a run (null if it is)."""
     p = F.col("parts")
     n = F.size(p)
-    nested = (n == 5) & (p[1] == NESTED_FOLDER)
-    flat = (n == 4)
+    section = F.when(n >= 3, F.get(p, n - 2))
+    in_run = F.coalesce(section.isin("Input", "Output"), F.lit(False))
     hidden = F.exists(p, lambda s: s.startswith("."))
-    return (files.filter((nested | flat) & ~hidden)
-            .select("path", "name", "modification_time", "length",
-                    F.when(nested, F.lit("nested")).otherwise(F.lit("flat")).alias("layout"),
-                    p[0].alias("client_folder"),
-                    F.when(nested, p[2]).otherwise(p[1]).alias("run_folder"),
-                    F.when(nested, p[3]).otherwise(p[2]).alias("section")))
+    run = F.when(in_run, F.get(p, F.greatest(n - 3, F.lit(0))))
+    return files.select(
+        "path", "name", "modification_time", "length",
+        F.when((n == 5) & (p[1] == NESTED_FOLDER), F.lit("nested")).when(n == 4, F.lit("flat")).otherwise(F.lit("other")).alias("layout"),
+        F.when(n >= 2, p[0]).alias("client_folder"), run.alias("run_folder"),
+        F.when(in_run, F.array_join(F.slice(p, F.lit(1), F.greatest(n - 2, F.lit(1))), "/")).alias("run_path"),
+        F.when(in_run, section).alias("section"),
+        F.when(hidden, F.lit("hidden")).when(~in_run, F.lit("outside a run folder")).alias("skipped"))
 
 
 def _client_run(path, root: str) -> tuple:
-    """Client folder and run folder of a file by the rule of :func:`_layout`; files above the
-    flat layout's depth have no client."""
+    """Client folder and run folder of a file by the rule of :func:`_layout`."""
     p = F.split(relative_path(path, root), "/")
     n = F.size(p)
-    nested = (n >= 5) & (F.get(p, F.lit(1)) == NESTED_FOLDER)
-    client = F.when(n >= 4, F.get(p, F.lit(0)))
-    run = F.when(nested, F.get(p, F.lit(2))).when(n >= 4, F.get(p, F.lit(1))).otherwise(F.get(p, n - 3))
-    return client.alias("client_name"), run.alias("run_name")
+    return (F.when(n >= 2, F.get(p, F.lit(0))).alias("client_name"),
+            F.when(n >= 3, F.get(p, F.greatest(n - 3, F.lit(0)))).alias("run_name"))
 
 
-def scan(spark, root: str) -> DataFrame:
-    """All files of a tree with client / run / section / kind / config name."""
+def classified(spark, root: str) -> DataFrame:
+    """All files of a tree, at any depth, with client / run / section / kind / config name; those
+    that are not imported with the reason (``skipped``)."""
     f = _layout(list_files(spark, root))
     kind = F.when(F.col("section") == "Output", S.output_kind("name")).when(F.col("section") == "Input", F.lit("input"))
-    return f.select("*", kind.alias("kind"), S.config_name_from_file("name").alias("config_name"),
-                    S.clean_client("client_folder").alias("client_name"))
+    f = f.select("*", kind.alias("kind"), S.config_name_from_file("name").alias("config_name"),
+                 S.clean_client("client_folder").alias("client_name"))
+    odd = F.when((F.col("section") == "Output") & ~F.coalesce(F.col("kind").isin("kpi", "timeseries"), F.lit(False)),
+                 F.lit("no KPI sheet or series"))
+    return f.withColumn("skipped", F.coalesce("skipped", odd))
+
+
+def scan(spark, root: str) -> DataFrame:
+    """The files of runs: :func:`classified` without those outside a run folder or hidden."""
+    return classified(spark, root).where("run_path IS NOT NULL AND NOT coalesce(skipped, '') = 'hidden'")
 
 
 def result_tree(spark, root: str) -> DataFrame:
@@ -179,24 +194,30 @@ def nested_tree(spark, root: str) -> DataFrame:
 
 
 def tree_profile(spark, root: str) -> DataFrame:
-    """src_tree_profile: per client runs, configs, file counts by kind, has-input flag."""
-    s = scan(spark, root)
-    return s.groupBy("client_name").agg(
-        F.count_distinct("run_folder").alias("n_runs"),
-        F.count_distinct(F.when(F.col("kind").isin("kpi", "timeseries"),
-                                F.concat_ws("/", "run_folder", "config_name"))).alias("n_configs"),
+    """src_tree_profile: per client runs, configs, file counts by kind, has-input flag, and the
+    number of files of every extension at any depth (those outside run folders included)."""
+    s = classified(spark, root).where("client_name IS NOT NULL AND NOT coalesce(skipped, '') = 'hidden'")
+    out = F.col("kind").isin("kpi", "timeseries")
+    per = s.groupBy("client_name").agg(
+        F.count_distinct("run_path").alias("n_runs"),
+        F.count_distinct(F.when(out, F.concat_ws("/", "run_path", "config_name"))).alias("n_configs"),
         F.count_if(F.col("kind") == "kpi").alias("n_kpi_files"),
         F.count_if(F.col("kind") == "timeseries").alias("n_timeseries_files"),
-        F.max((F.col("section") == "Input").cast("int")).cast("boolean").alias("has_input"))
+        F.count_if(F.col("run_path").isNull()).alias("n_outside_runs"),
+        F.coalesce(F.max((F.col("section") == "Input").cast("int")), F.lit(0)).cast("boolean").alias("has_input"))
+    extension = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
+    types = s.groupBy("client_name", extension.alias("ext")).agg(F.count("*").alias("n")).groupBy("client_name").agg(
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ext", "n"))))).alias("file_types"))
+    return per.join(types, "client_name")
 
 
 def case_counts(spark, root: str) -> DataFrame:
-    """src_case_counts: KPI and series files per client and run, runs with ≥ 1 only."""
+    """src_case_counts: KPI and series files per client and run at any depth, runs with ≥ 1 only."""
     s = scan(spark, root)
-    return (s.groupBy("client_name", F.col("run_folder").alias("run_name"))
+    return (s.groupBy("client_name", "run_path", F.col("run_folder").alias("run_name"))
             .agg(F.count_if(F.col("kind") == "kpi").alias("n_kpi"),
                  F.count_if(F.col("kind") == "timeseries").alias("n_timeseries"))
-            .filter((F.col("n_kpi") + F.col("n_timeseries")) >= 1))
+            .filter((F.col("n_kpi") + F.col("n_timeseries")) >= 1).drop("run_path"))
 
 
 def import_preview(spark, root: str, max_clients: int = 10) -> DataFrame:
@@ -210,66 +231,130 @@ def import_preview(spark, root: str, max_clients: int = 10) -> DataFrame:
     return cc.select("client_name", "run_name").join(first, "client_name")
 
 
-_READS: dict = {}
+# --- KPI sheets and series, columns by each file's header -----------------------------------
+_UNIT = H.first_where(lambda n: n.contains("unit"))
+_VALUE = H.first_where(lambda n: n.contains("value"), _UNIT)
+_ANY = H.first_where(lambda n: F.lit(True), _UNIT, _VALUE)
+_NAME = H.first_where(lambda n: n.contains("name"), _UNIT, _VALUE)
+_KPI = H.first_where(lambda n: n.contains("kpi"), _UNIT, _VALUE)
+
+
+def _kpi_name(names):
+    return F.coalesce(_NAME(names), _KPI(names), _ANY(names))
+
+
+def _kpi_value(names):
+    # without a value column the first one that is neither name nor unit
+    other = H.first_where(lambda n: F.lit(True), _UNIT, _kpi_name)
+    return F.coalesce(_VALUE(names), other(names))
 
 
-def _memo(spark, kind, root, build):
-    key = (id(spark), kind, root)
-    if key not in _READS:
-        _READS[key] = build()
-    return _READS[key]
+#: Columns of KPI sheets: by what their names contain, else by the first free place.
+KPI_COLUMNS = {"kpi_name": _kpi_name, "kpi_value": _kpi_value, "kpi_unit": _UNIT}
+_TIMES = ("timestamp", "timestamp_utc", "datetime", "time", "date")
+_SERIES = SERIES_HEADER.split(",")[1:]
+#: Columns of series files: the time by its usual names or what contains one, values by name.
+SERIES_COLUMNS = {"timestamp": lambda names: F.coalesce(
+    H.named(*_TIMES)(names), H.first_where(lambda n: n.contains("time") | n.contains("date"))(names))} | {
+    c: H.named(c) for c in _SERIES}
 
 
-def kpi_sheets(spark, root: str, raw: bool = False) -> DataFrame:
+def _kpi_rows(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(headers, rows)`` of all KPI sheets, rows with the reason why they are skipped."""
+    text = H.lines(spark, root, "kpi_summary*.csv")
+    head = H.headers(text, KPI_COLUMNS)
+    rows = H.by_header(text, head.where("size(names) >= 2"), KPI_COLUMNS)
+    name = F.trim("kpi_name")
+    number = S.numeric_or_null("kpi_value")
+    rows = rows.select("path", "block", "line", name.alias("kpi_name"), number.alias("kpi_value"), F.trim("kpi_unit").alias("kpi_unit"),
+                       F.when(name.isNull() | (name == "") | (F.lower(name) == "nan"), F.lit("no name"))
+                       .when(number.isNull(), F.lit("value not numeric")).alias("skipped"))
+    return head, rows
+
+
+def kpi_sheets(spark, root: str) -> DataFrame:
     """src_kpi_sheets: every KPI sheet of the tree as long rows.
 
-    Sheets are read positionally (name, value[, unit]) in one CSV scan over the glob;
-    header lines of either variant are dropped; names are cleaned, values coerced
-    (N11), and the last row of a duplicate KPI in a file wins (row order inside a
-    small file is preserved by the scan, captured with monotonically_increasing_id)."""
-    df = _memo(spark, "kpi", root, lambda: (
-        spark.read.option("header", "false").option("mode", "PERMISSIVE")
-        .schema("c0 string, c1 string, c2 string")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "kpi_summary*.csv").csv(root)
-        .select("c0", "c1", "c2", decoded_path("_metadata.file_path").alias("path"),
-                F.monotonically_increasing_id().alias("seq"))))
-    if raw:
-        return df.drop("seq")
-    hdr = F.lower(F.trim("c0")).isin("kpi_name", "name", "kpi") & F.lower(F.trim("c1")).isin("kpi_value", "value")
-    rows = df.filter(~hdr)
-    name = F.trim(F.col("c0"))
-    rows = rows.filter(name.isNotNull() & (name != "") & (F.lower(name) != "nan"))
-    fname = F.element_at(F.split("path", "/"), -1)
-    out = rows.select(
-        "path", *_client_run("path", root),
-        S.config_name_from_file(fname).alias("config_name"),
-        name.alias("kpi_name"), S.numeric_or_null("c1").alias("kpi_value"),
-        F.trim("c2").alias("kpi_unit"), "seq")
-    out = out.filter(F.col("kpi_value").isNotNull())
-    last = F.max_by(F.struct("kpi_value", "kpi_unit"), F.col("seq"))
-    return (out.groupBy("path", "client_name", "run_name", "config_name", "kpi_name").agg(last.alias("v"))
-            .select("path", "client_name", "run_name", "config_name", "kpi_name", F.col("v.kpi_value").alias("kpi_value"),
-                    F.col("v.kpi_unit").alias("kpi_unit")))
+    Name, value and unit are found by each sheet's header, in any order and among other
+    columns; names are trimmed, values coerced (N11), and the last row of a duplicate KPI in
+    a file wins.  Rows and sheets left out are counted by :func:`quarantine`."""
+    rows = _kpi_rows(spark, root)[1].where("skipped IS NULL")
+    last = F.max_by(F.struct("kpi_value", "kpi_unit"), F.struct("block", "line"))
+    return (rows.groupBy("path", "kpi_name").agg(last.alias("v"))
+            .select("path", *_client_run("path", root), S.config_name_from_file(F.element_at(F.split("path", "/"), -1)).alias("config_name"),
+                    "kpi_name", F.col("v.kpi_value").alias("kpi_value"), F.col("v.kpi_unit").alias("kpi_unit")))
+
+
+def kpi_csv_direct(spark, root: str) -> DataFrame:
+    """src_kpi_csv_direct: all rows of all sheets as they stand: the three known columns as text,
+    every further column in ``extra`` (JSON), headers applied and not repeated as rows."""
+    text = H.lines(spark, root, "kpi_summary*.csv")
+    head = H.headers(text, KPI_COLUMNS)
+    return H.by_header(text, head, KPI_COLUMNS, rest="extra").drop("block", "line")
+
+
+def _series_rows(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    text = H.lines(spark, root, "flex_timeseries*.csv")
+    head = H.headers(text, SERIES_COLUMNS)
+    rows = H.by_header(text, head.where("timestamp IS NOT NULL"), SERIES_COLUMNS, rest="extra")
+    return head, rows.withColumn("timestamp", H.read_time("timestamp"))
 
 
 def timeseries(spark, root: str) -> DataFrame:
-    """src_timeseries_csv: all series files in one scan, configuration from the path."""
-    schema = ("timestamp timestamp, load_kwh double, generation_kwh double, soc_percent double, "
-              "power_kw double, grid_import_kwh double, grid_export_kwh double")
-    df = _memo(spark, "series", root, lambda: (
-        spark.read.option("header", "true").schema(schema).option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "flex_timeseries*.csv").csv(root)))
-    path = decoded_path("_metadata.file_path")
-    return df.select(*_client_run(path, root),
-                     S.config_name_from_file(F.element_at(F.split(path, "/"), -1)).alias("config_name"), *df.columns)
+    """src_timeseries_csv: all series files, configuration from the path, columns by name.
+
+    A column that a file lacks is null, columns beyond the known ones are kept in ``extra``
+    (JSON).  Files without a time column and rows without a readable time are counted by
+    :func:`quarantine`."""
+    rows = _series_rows(spark, root)[1].where("timestamp IS NOT NULL")
+    return rows.select(*_client_run("path", root),
+                       S.config_name_from_file(F.element_at(F.split("path", "/"), -1)).alias("config_name"),
+                       "timestamp", *[S.numeric_or_null(c).alias(c) for c in _SERIES], "extra")
+
+
+def quarantine(spark, root: str) -> DataFrame:
+    """``scope, path, reason, n``: every file that is not imported, and the rows of imported files
+    that are not, counted by reason.  Written once (:func:`stored_quarantine`), it is the
+    record of an import."""
+    files = classified(spark, root)
+    bad = files.where("skipped IS NOT NULL").select(F.lit("file").alias("scope"), "path", F.col("skipped").alias("reason"), F.lit(1).cast("long").alias("n"))
+    run = files.where("skipped IS NULL")
+    khead, krows = _kpi_rows(spark, root)
+    shead, srows = _series_rows(spark, root)
+    parts = [bad]
+    for kind, glob, head, wrong, why in (
+            ("kpi", "kpi_summary", khead, "size(names) < 2", "fewer than two columns"),
+            ("timeseries", "flex_timeseries", shead, "timestamp IS NULL", "no time column")):
+        some = run.where(F.col("kind") == kind).select("path", "name")
+        read = F.lower("name").startswith(glob) & F.lower("name").endswith(".csv")
+        checked = some.join(head.select("path", F.expr(wrong).alias("_wrong")), "path", "left")
+        reason = F.when(~read, F.lit("not a readable sheet")).when(F.col("_wrong").isNull(), F.lit("empty")).when(F.col("_wrong"), F.lit(why))
+        parts.append(checked.select(F.lit("file").alias("scope"), "path", reason.alias("reason"), F.lit(1).cast("long").alias("n")).where("reason IS NOT NULL"))
+    of_run = run.select("path")
+    krow = krows.where("skipped IS NOT NULL").groupBy("path", F.col("skipped").alias("reason")).agg(F.count("*").alias("n"))
+    twice = krows.where("skipped IS NULL").groupBy("path", "kpi_name").agg((F.count("*") - 1).alias("n")).where("n > 0") \
+        .groupBy("path").agg(F.sum("n").alias("n")).select("path", F.lit("replaced by a later row").alias("reason"), "n")
+    srow = srows.where("timestamp IS NULL").groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit("time not readable").alias("reason"), "n")
+    for rows in (krow, twice, srow):
+        parts.append(rows.join(of_run, "path", "left_semi").select(F.lit("row").alias("scope"), "path", "reason", "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def stored_quarantine(spark, root: str) -> DataFrame:
+    """The quarantine of a tree as a table in the shared folder."""
+    path = scratch_path(spark, f"quarantine-{uuid.uuid4().hex}")
+    quarantine(spark, root).write.parquet(path)
+    return spark.read.schema("scope string, path string, reason string, n long").parquet(path)
 
 
 def params_documents(spark, root: str) -> DataFrame:
     """src_params_json: per run the first of parameters.json, config.json, params.json,
     else the first YAML file — ``wholetext`` read, priority via ``min_by``."""
     # note: DataFrameReader.text() passes wholetext explicitly, so it must be an argument
-    raw = _memo(spark, "docs", root, lambda: spark.read.option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", "*.{json,yml,yaml}").text(root, wholetext=True))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,yml,yaml}").text(root, wholetext=True)
     df = raw.select("value", decoded_path("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_name").alias("name"))
     parts = F.split("path", "/")
@@ -326,20 +411,36 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
 
 
 def import_stats(spark, root: str) -> DataFrame:
-    """src_import_stats: found / imported counters and errors as one aggregate row."""
-    s = scan(spark, root)
-    sheets = kpi_sheets(spark, root, raw=True)
-    num = S.numeric_or_null("c1")
-    hdr = F.lower(F.trim("c0")).isin("kpi_name", "name")
+    """src_import_stats: found, imported and skipped files, rows, runs and configurations, and the
+    number of skipped ones by reason (``metric, value``).  Found = imported + skipped, for files
+    as for rows."""
+    files = classified(spark, root)
+    bad = stored_quarantine(spark, root)
+
     def long(df):
         return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("value"))
                                             for c in df.columns])))
-    out = s.filter(F.col("kind").isin("kpi", "timeseries"))
-    found = s.agg(F.count_distinct("client_name").alias("clients_found"),
-                  F.count_distinct("client_folder", "run_folder").alias("runs_found"))
-    imp = out.agg(F.count_distinct("client_name").alias("clients_imported"),
-                  F.count_distinct("client_folder", "run_folder").alias("runs_imported"),
-                  F.count_distinct("client_folder", "run_folder", "config_name").alias("configs_imported"))
-    k = sheets.filter(~hdr).agg(F.count_if(num.isNotNull()).alias("kpis_imported"),
-                                F.count_if(num.isNull()).alias("kpi_values_skipped"))
-    return long(found).unionByName(long(imp)).unionByName(long(k))
+    good = files.join(bad.where("scope = 'file'").select("path"), "path", "left_anti")
+    run, out = F.col("run_path"), F.col("kind").isin("kpi", "timeseries")
+    found = files.agg(F.count("*").alias("files_found"), F.count_distinct("client_name").alias("clients_found"),
+                      F.count_distinct(run).alias("runs_found"))
+    imported = good.agg(
+        F.count("*").alias("files_imported"), F.count_distinct(F.when(out, F.col("client_name"))).alias("clients_imported"),
+        F.count_distinct(F.when(out, run)).alias("runs_imported"),
+        F.count_distinct(F.when(out, F.concat_ws("/", run, "config_name"))).alias("configs_imported"))
+    skipped = bad.agg(F.coalesce(F.sum(F.when(F.col("scope") == "file", F.col("n"))), F.lit(0)).alias("files_skipped"))
+    names = good.select("path")
+    rows = [long(found), long(imported), long(skipped)]
+    for what, lines_, ok in (("kpi", _kpi_rows(spark, root)[1], kpi_sheets(spark, root)),
+                             ("series", _series_rows(spark, root)[1], None)):
+        lines_ = lines_.join(names, "path", "left_semi")
+        kept = ok.join(names, "path", "left_semi").agg(F.count("*").alias(f"{what}_rows_imported")) if ok is not None \
+            else lines_.agg(F.count("timestamp").alias(f"{what}_rows_imported"))
+        rows += [long(lines_.agg(F.count("*").alias(f"{what}_rows_found"))), long(kept)]
+    why = bad.join(files.select("path", F.when(F.col("kind") == "kpi", "kpi").otherwise("series").alias("_k")), "path")
+    rows.append(why.where("scope = 'row'").groupBy(F.concat("_k", F.lit("_rows_skipped")).alias("metric")).agg(F.sum("n").alias("value")))
+    rows.append(bad.groupBy(F.concat(F.lit("skipped "), "scope", F.lit(": "), "reason").alias("metric")).agg(F.sum("n").alias("value")))
+    all_ = rows[0]
+    for r in rows[1:]:
+        all_ = all_.unionByName(r)
+    return all_

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import scratch_path
+from . import headers as H
 from . import tables as T
-from .files import decoded_path, exists, list_files, touch, write_text_files
+from .files import exists, list_files, touch, write_text_files
 
 # Accepted load-file headers, in order of preference.
 LOAD_COLUMN_VARIANTS = [("timestamp", "value kwh"), ("timestamp_utc", "value")]
+# Columns of preprocessed profiles, and the two names of the consumption.
+PREPROCESSED_COLUMNS = ("timestamp_utc", "grid_load_kwh", "pv_load_kwh")
+CONSUMPTION_NAMES = ("consumption_kwh", "consumption_load_kwh")
 REGISTER_COLUMNS = ["plz", "netzbetreiber", "ort", "bdew_code"]
 
 
@@ -61,35 +65,60 @@ def materialize_uploads(spark, sf_dir: str, root: str | None = None) -> str:
     return root
 
 
+def _pair(names, k: int):
+    """Position of one column of the first accepted pair that a header has whole."""
+    return F.coalesce(*[F.when(H.named(t)(names).isNotNull() & H.named(v)(names).isNotNull(), H.named((t, v)[k])(names))
+                        for t, v in LOAD_COLUMN_VARIANTS])
+
+
+LOAD_COLUMNS = {"time": lambda names: _pair(names, 0), "value": lambda names: _pair(names, 1)}
+
+
 def load_files(spark, folder: str) -> DataFrame:
     """src_load_file for a folder of uploads: (file, timestamp_utc, grid_load_kwh).
 
-    Each file's header must be one of the accepted variants (flt_required_columns);
-    files with another header are reported by :func:`invalid_load_files` and skipped.
-    Values: numeric text -> double, text -> NULL, negatives clipped to 0 (NULL kept).
-    """
-    raw = (spark.read.option("header", "false").schema("c0 string, c1 string").csv(folder)
-           .select("c0", "c1", decoded_path("_metadata.file_path").alias("file")))
-    hdr = raw.filter(F.col("c0").isin(*[t for t, _ in LOAD_COLUMN_VARIANTS]) |
-                     F.col("c0").isin("time", "timestamp", "timestamp_utc"))
-    ok = F.lit(False)
-    for t, v in LOAD_COLUMN_VARIANTS:
-        ok = ok | ((F.col("c0") == t) & (F.col("c1") == v))
-    good = hdr.filter(ok).select("file").distinct()
-    rows = raw.join(good, "file", "left_semi").filter(~F.col("c0").isin("timestamp", "timestamp_utc"))
-    return rows.select("file", F.to_timestamp("c0", "yyyy-MM-dd HH:mm:ss").alias("timestamp_utc"),
-                       S.nonneg(S.numeric_or_null("c1")).alias("grid_load_kwh"))
-
-
-def invalid_load_files(spark, folder: str) -> DataFrame:
-    raw = (spark.read.option("header", "false").schema("c0 string, c1 string").csv(folder)
-           .select("c0", "c1", decoded_path("_metadata.file_path").alias("file")))
-    ok = F.lit(False)
-    for t, v in LOAD_COLUMN_VARIANTS:
-        ok = ok | ((F.col("c0") == t) & (F.col("c1") == v))
-    files = raw.select("file").distinct()
-    good = raw.filter(ok).select("file").distinct()
-    return files.join(good, "file", "left_anti")
+    A file needs one of the accepted pairs of columns, in any order and among others; files
+    without one are reported by :func:`invalid_files` and left out.  Times are read in any of
+    the known forms (null if none fits).  Values: numeric text -> double, other text -> NULL,
+    negatives clipped to 0 (NULL kept)."""
+    text = H.lines(spark, folder)
+    head = H.headers(text, LOAD_COLUMNS).where("time IS NOT NULL")
+    rows = H.by_header(text, head, LOAD_COLUMNS)
+    return rows.select(F.col("path").alias("file"), H.read_time("time").alias("timestamp_utc"),
+                       S.nonneg(S.numeric_or_null("value")).alias("grid_load_kwh"))
+
+
+def invalid_files(spark, folder: str, kind: str) -> DataFrame:
+    """flt_required_columns: ``file, kind, missing, found`` of the files that lack a column.
+
+    ``load`` files need one of the accepted pairs (the pair with fewest columns missing is
+    named, the first among equals); ``preprocessed`` files need their base columns and the
+    consumption under either name.  An empty file lacks all."""
+    text = H.lines(spark, folder)
+    head = H.headers(text, {}).select("path", "names")
+    files = list_files(spark, folder).select("path").join(head, "path", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+    def lacks(wanted):
+        return F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: ~F.array_contains("names", w))
+    if kind == "load":
+        options = [lacks(pair) for pair in LOAD_COLUMN_VARIANTS]
+    else:
+        options = [lacks((*PREPROCESSED_COLUMNS, c)) for c in CONSUMPTION_NAMES]
+    fewest = F.least(*[F.size(o) for o in options])
+    missing = F.coalesce(*[F.when(F.size(o) == fewest, o) for o in options])
+    return files.where(fewest > 0).select(F.col("path").alias("file"), F.lit(kind).alias("kind"),
+                                          F.array_join(missing, ", ").alias("missing"), F.array_join("names", ", ").alias("found"))
+
+
+def preprocessed_files(spark, folder: str) -> DataFrame:
+    """Preprocessed profiles of a folder with every required column, by name; the consumption
+    under either of its names."""
+    columns = {c: H.named(c) for c in PREPROCESSED_COLUMNS} | {"consumption_kwh": H.named(*CONSUMPTION_NAMES)}
+    text = H.lines(spark, folder)
+    head = H.headers(text, columns).where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    rows = H.by_header(text, head, columns)
+    return rows.select(F.col("path").alias("file"), H.read_time("timestamp_utc").alias("timestamp_utc"),
+                       *[S.numeric_or_null(c).alias(c) for c in columns if c != "timestamp_utc"])
 
 
 def register(spark, path: str) -> DataFrame:
