@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import guarded_corr
+from .ranking import ranked
 
 SEED = 42
 
@@ -232,45 +233,64 @@ def usable_features(df: DataFrame, features) -> list[str]:
     return [c for c in features if counts[c] and counts[c] > 0]
 
 
-def group_split(df: DataFrame, group: str = "client_name", test_size: float = 0.2) -> DataFrame:
-    """ml_group_split: whole clients to test, ``is_test`` column.
+def _hashed(group) -> F.Column:
+    """A fixed order of groups: MD5 of seed and name."""
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.col(group).cast("string")))
+
+
+def group_split(df: DataFrame, group: str = "client_name", test_size: float = 0.2, by: str | None = None) -> DataFrame:
+    """ml_group_split: whole clients to test, ``is_test`` column (per value of ``by``, if given).
 
     Exactly ⌈test_size·n⌉ clients of the smallest hashes, by one rule at every size: counts of
     65,536 hash buckets (the only rows collected) tell which buckets lie below the cut, and
-    only the bucket that holds the cut is ordered.  Fewer than 2 clients: random rows.
+    only the buckets that hold a cut are ordered.  Fewer than 2 clients: random rows.
     """
-    groups = df.select(group).distinct().withColumn("_h", F.xxhash64(F.col(group), F.lit(SEED))) \
-        .withColumn("_b", F.shiftrightunsigned("_h", 48))
-    counts = {r[0]: r[1] for r in groups.groupBy("_b").count().toLocalIterator()}
-    n = sum(counts.values())
-    if n < 2:
+    by_ = [by] if by else []
+    groups = df.select(*by_, group).distinct().withColumn("_h", _hashed(group)) \
+        .withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    counts: dict = {}
+    for *key, bucket, n in groups.groupBy(*by_, "_b").count().toLocalIterator():
+        counts.setdefault(tuple(key), {})[bucket] = n
+    if not by and sum(counts.get((), {}).values()) < 2:
         return df.withColumn("is_test", F.rand(SEED) < test_size)
-    left, cut = int(math.ceil(test_size * n)), -1
-    for cut in sorted(counts):
-        if left <= counts[cut]:
-            break
-        left -= counts[cut]
-    last = groups.where(F.col("_b") == cut).orderBy("_h", group).limit(left)
-    test = groups.where(F.col("_b") < cut).union(last).select(group).withColumn("is_test", F.lit(True))
-    return df.join(test, group, "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
-
-
-def group_folds(df: DataFrame, group: str = "client_name", cv_folds: int = 5) -> DataFrame:
+    last, below = None, F.lit(False)
+    for key, buckets in counts.items():
+        left, cut = int(math.ceil(test_size * sum(buckets.values()))), -1
+        for cut in sorted(buckets):
+            if left <= buckets[cut]:
+                break
+            left -= buckets[cut]
+        here = F.col(by) == key[0] if by else F.lit(True)
+        below = below | (here & (F.col("_b") < cut))
+        few = groups.where(here & (F.col("_b") == cut)).orderBy("_h", group).limit(left)
+        last = few if last is None else last.union(few)
+    test = groups.where(below).select(*by_, group)
+    if last is not None:
+        test = test.union(last.select(*by_, group))
+    test = test.withColumn("is_test", F.lit(True))
+    return df.join(test, [*by_, group], "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+
+
+def group_folds(df: DataFrame, group: str = "client_name", cv_folds: int = 5, by: str | None = None, rows: bool = True) -> DataFrame:
     """ml_group_folds: ≤ 5 clients -> one fold per client (leave-one-client-out), else
     k = min(cv_folds, clients) folds; < 2 clients -> plain k-fold on rows.
 
     Clients are ranked by size (hash among equals) and dealt out in snake order, so no fold
-    is empty and folds are of similar size.  The window runs over one row per client."""
-    groups = df.groupBy(group).agg(F.count("*").alias("_n"))
-    n = groups.count()
-    if n < 2:
+    is empty and folds are of similar size.  Ranks come from a parallel sort
+    (:func:`.ranking.ranked`), no task holds all clients.  With ``by`` each of its values has
+    folds of its own; ``rows=False`` returns the clients' table instead of the rows."""
+    by_ = [by] if by else []
+    groups = df.groupBy(*by_, group).agg(F.count("*").alias("_n")).withColumn("_h", _hashed(group))
+    sizes = groups.groupBy(*by_).agg(F.count("*").alias("_groups"))
+    n = None if by else sizes.first()[0]
+    if n is not None and n < 2:
         return df.withColumn("fold", (F.rand(SEED) * cv_folds).cast("int"))
-    k = n if n <= 5 else min(cv_folds, n)
-    at = F.row_number().over(Window.orderBy(F.desc("_n"), F.xxhash64(group), group)) - 1
-    back = (F.expr(f"_at div {k}") % 2) == 1
-    ids = groups.withColumn("_at", at).select(
-        group, F.when(back, k - 1 - F.col("_at") % k).otherwise(F.col("_at") % k).cast("int").alias("fold"))
-    return df.join(ids, group)
+    ids = ranked(groups, [F.desc("_n"), "_h", group], "_at", by_)
+    ids = ids.join(sizes, by_) if by else ids.withColumn("_groups", F.lit(n))
+    k = F.when(F.col("_groups") <= 5, F.col("_groups")).otherwise(F.least(F.lit(cv_folds), F.col("_groups")))
+    ids = ids.withColumn("_k", k).withColumn("_turn", F.expr("(_at div _k) % 2 = 1")).select(
+        *by_, group, F.when(F.col("_turn"), F.col("_k") - 1 - F.col("_at") % F.col("_k")).otherwise(F.col("_at") % F.col("_k")).cast("int").alias("fold"))
+    return df.join(ids, [*by_, group]) if rows else ids
 
 
 def pipeline(features, model: str = "gbt", label: str = "label", **params):
@@ -349,27 +369,22 @@ def tree_spread(pm, df: DataFrame, n_trees: int = 50) -> DataFrame:
                       (F.col("prediction") + 1.96 * std).alias("upper"))
 
 
-def permutation_importance(pm, df: DataFrame, features, label="label") -> DataFrame:
-    """ml_permutation: ΔRMSE when one feature's values are permuted across rows.
-
-    The permutation is a distributed equi-join: rows get an index in their natural order
-    and in ``rand(seed)`` order (``zipWithIndex`` on each ordering), and the column is
-    swapped by joining the two indexes — no collect, no single partition.
-    """
-    spark = df.sparkSession
-    base = metrics(pm.transform(df).withColumn("y", F.col(label)), keys=()).first()["rmse"]
-    idx = spark.createDataFrame(df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])),
-                                df.schema.add("__i", "long"))
-    perm = idx.orderBy(F.rand(SEED))
-    perm_idx = spark.createDataFrame(perm.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])),
-                                     perm.schema.add("__j", "long"))
-    rows = []
-    for f in features:
-        donor = perm_idx.select(F.col("__j").alias("__i"), F.col(f).alias("__v"))
-        shuffled = idx.join(donor, "__i").drop(f).withColumnRenamed("__v", f)
-        r = metrics(pm.transform(shuffled).withColumn("y", F.col(label)), keys=()).first()["rmse"]
-        rows.append((f, float(base), float(r), float(r - base)))
-    return spark.createDataFrame(rows, "feature string, base_rmse double, permuted_rmse double, delta_rmse double")
+def permutation_importance(pm, df: DataFrame, features, label="label", row="config_id") -> DataFrame:
+    """ΔRMSE of a fitted pipeline when one feature's values are permuted across rows.
+
+    Rows are numbered by id and by a hash of the id (:func:`.ranking.ranked`); one equi-join of
+    the numbers gives each row a donor for every feature, and all variants (a row per feature,
+    and one as it is) go through the pipeline in one pass."""
+    features = list(features)
+    known = df.select(row, label, *features)
+    numbered = ranked(ranked(known, [row], "_r"), [F.md5(F.col(row).cast("string")), row], "_q")
+    donors = numbered.select(F.col("_q").alias("_r"), F.struct(*features).alias("_other"))
+    variants = numbered.join(donors, "_r").withColumn("_f", F.explode(F.array(F.lit(""), *map(F.lit, features))))
+    swapped = variants.withColumns({f: F.when(F.col("_f") == f, F.col(f"_other.{f}")).otherwise(F.col(f)) for f in features})
+    score = metrics(pm.transform(swapped).withColumn("y", F.col(label)), keys=("_f",)).select("_f", "rmse")
+    base = score.where("_f = ''").select(F.col("rmse").alias("base_rmse"), F.lit(1).alias("_one"))
+    return score.where("_f <> ''").withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").select(
+        F.col("_f").alias("feature"), "base_rmse", F.col("rmse").alias("permuted_rmse"), (F.col("rmse") - F.col("base_rmse")).alias("delta_rmse"))
 
 
 def registry_row(target: str, pm, features, metrics_row: dict, params: dict, path: str,

@@ -3,12 +3,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import features as FT
+from ..operators import linear as L
 from ..operators import ml as ML
+from ..operators.model_store import ModelRegistry
 from ..session import scratch_path
 from .common import rounded
 from .feature_plans import _MAT_COLS, _MATRIX_SQL, _stored_matrix as _matrix
@@ -17,17 +19,48 @@ from .registry import register
 TARGETS = ["target_peak_shaving_benefit", "target_energy_procurement_optimization", "target_trading_revenue"]
 MODELS = [t.replace("target_", "") for t in TARGETS]
 FEATURES = list(_MAT_COLS)
-FIT_FEATURE = "battery_capacity_kwh"
-
-
-def _long(spark, sf):
-    mat = _matrix(spark, sf)
-    return ML.long_xy(mat, FEATURES, TARGETS).withColumn("target", F.regexp_replace("target", "^target_", ""))
+_M = len(FEATURES)
+_U = [f"u{i}" for i in range(_M)]
+
+
+class _Models:
+    """The ridge models of a data directory: moments, fits and labelled rows over the stored matrix."""
+
+    def __init__(self, spark, sf):
+        mat = _matrix(spark, sf).withColumnsRenamed(dict(zip(TARGETS, MODELS)))
+        self.middle = L.medians(mat, FEATURES)
+        self.rows = L.labelled(mat, FEATURES, MODELS, self.middle)
+        # a row per client and target, read by the moments and by every hold-out query
+        path = scratch_path(spark, f"sides-{uuid.uuid4().hex}")
+        L.sides(mat, MODELS).write.parquet(path)
+        self.sides = spark.read.parquet(path)
+        self.known = self.rows.where("y IS NOT NULL").join(self.sides, ["target", "client_name"])
+        self.moments = L.moments(self.known, _M)
+        self.fits, self.scales = L.fit(self.moments, MODELS)
+
+    def held_out(self):
+        return self.known.where("is_test")
+
+
+def trained_registry(spark, sf) -> ModelRegistry:
+    """A registry with a ridge model of every target, trained on the stored matrix: hold-out
+    metrics, cross-validation scores and |coefficient|·scale importances with each."""
+    m = _Models(spark, sf)
+    registry = ModelRegistry(spark, scratch_path(spark, f"registry-{uuid.uuid4().hex}"))
+    test = {r["target"]: r.asDict() for r in ML.metrics(L.predictions(m.held_out(), m.fits)).collect()}
+    folds = spark.createDataFrame(L.cross_validated(m.moments, m.scales), "target string, fold int, n long, r2 double")
+    cv = {r["target"]: r.asDict() for r in ML.cv_summary(folds, ("target",)).collect()}
+    for f in m.fits:
+        importance = {x: abs(c) * s for x, c, s in zip(FEATURES, f.coef, m.scales[f.target])}
+        score = {k: v for k, v in {**test.get(f.target, {}), **cv.get(f.target, {})}.items() if k != "target"}
+        registry.register(f.target, L.as_dict(f, FEATURES, m.middle), score, importance, FEATURES, {"alpha": L.ALPHA}, f.n)
+    return registry
 
 
 def _contrib(spark, sf):
-    lg = _long(spark, sf)
-    return ML.contributions(lg, ML.ols_fit(lg))
+    """Contributions of every feature on the hold-out clients, against the training mean."""
+    m = _Models(spark, sf)
+    return L.contributions(m.held_out(), m.fits, FEATURES, m.middle)
 
 
 def _stats(spark, sf):
@@ -39,34 +72,73 @@ def _imp(spark, sf):
     return ML.importance_from_stats(_stats(spark, sf))
 
 
-# --- oracle building blocks -------------------------------------------------
+# --- oracle building blocks: DuckDB gathers the moments and solves the systems itself ------
 _T = " UNION ALL ".join(
-    f"SELECT config_id, client_name, '{m}' AS target, {t} AS y, * EXCLUDE (config_id, client_name) FROM mat WHERE {t} IS NOT NULL"
-    for t, m in zip(TARGETS, MODELS))
-_LONG = _MATRIX_SQL + f""",
-ty AS ({_T}),
-lg AS (SELECT config_id, client_name, target, y, feature, x FROM
-       (UNPIVOT (SELECT config_id, client_name, target, y, {", ".join(FEATURES)} FROM ty)
-        ON {", ".join(FEATURES)} INTO NAME feature VALUE x)),
-fit AS (SELECT target, feature, count(x) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
-               avg(x) AS mean_x FROM lg GROUP BY target, feature),
-con AS (SELECT lg.config_id, lg.client_name, lg.target, lg.feature, lg.x, lg.y,
-               fit.slope * (lg.x - fit.mean_x) AS contribution
-        FROM lg JOIN fit ON lg.target = fit.target AND lg.feature = fit.feature),
+    f"SELECT config_id, client_name, '{m}' AS target, {t} AS y, {', '.join(_U)} FROM shifted" for t, m in zip(TARGETS, MODELS))
+_Z = ["1.0", *_U, "y"]
+_PAIRS = [(i, j) for i in range(_M + 2) for j in range(i, _M + 2)]
+_DIGITS = "CAST(printf('%.{}e', {}) AS DOUBLE)"
+_FIT = _MATRIX_SQL.replace("mat AS (", "mat AS MATERIALIZED (") + f""",
+med AS (SELECT {", ".join(f"coalesce(median({f}), 0) AS m{i}" for i, f in enumerate(FEATURES))} FROM mat),
+shifted AS MATERIALIZED (SELECT config_id, client_name, {", ".join(TARGETS)},
+  {", ".join(f"coalesce({f}, m{i}) - m{i} AS u{i}" for i, f in enumerate(FEATURES))} FROM mat, med),
+every AS ({_T}),
+cl AS (SELECT target, client_name, count(*) AS n, md5('42:' || client_name) AS h FROM every WHERE y IS NOT NULL GROUP BY ALL),
+dealt AS (SELECT target, client_name, row_number() OVER (PARTITION BY target ORDER BY h) <= ceil(0.2 * count(*) OVER (PARTITION BY target)) AS is_test,
+                 row_number() OVER (PARTITION BY target ORDER BY n DESC, h) - 1 AS pos,
+                 CASE WHEN count(*) OVER (PARTITION BY target) <= 5 THEN count(*) OVER (PARTITION BY target) ELSE 5 END AS k FROM cl),
+sides AS (SELECT target, client_name, is_test, CASE WHEN (pos // k) % 2 = 1 THEN k - 1 - pos % k ELSE pos % k END AS fold FROM dealt),
+known AS MATERIALIZED (SELECT every.*, is_test, fold FROM every JOIN sides USING (target, client_name) WHERE y IS NOT NULL),
+parts AS (SELECT target, is_test, fold, unnest([{", ".join(f"fsum({_Z[i]} * {_Z[j]})" for i, j in _PAIRS)}]) AS v,
+                 unnest({[i for i, _ in _PAIRS]}) AS i, unnest({[j for _, j in _PAIRS]}) AS j FROM known GROUP BY target, is_test, fold),
+folds AS (SELECT DISTINCT target, fold FROM parts),
+half AS (SELECT target, -1 AS kind, i, j, fsum(v) AS v FROM parts WHERE NOT is_test GROUP BY target, i, j
+         UNION ALL SELECT p.target, f.fold, i, j, fsum(v) FROM parts p JOIN folds f ON f.target = p.target AND f.fold <> p.fold
+         GROUP BY p.target, f.fold, i, j),
+mom AS MATERIALIZED (SELECT target, kind, i, j, v FROM half UNION ALL SELECT target, kind, j, i, v FROM half WHERE i <> j),
+edge AS (SELECT target, kind, i, v / n AS mean, n FROM mom JOIN (SELECT target, kind, v AS n FROM mom WHERE i = 0 AND j = 0) USING (target, kind) WHERE j = 0),
+scale AS (SELECT m.target, m.i, CASE WHEN m.v / e.n - e.mean * e.mean > 1e-12 * m.v / e.n THEN sqrt(m.v / e.n - e.mean * e.mean) ELSE 1 END AS s
+          FROM mom m JOIN edge e ON e.target = m.target AND e.kind = m.kind AND e.i = m.i
+          WHERE m.kind = -1 AND m.i = m.j AND m.i BETWEEN 1 AND {_M}),
+aug AS (SELECT m.target, m.kind, m.i, m.j, (m.v - a.mean * b.mean * a.n) / s.s / coalesce(t.s, 1) + CASE WHEN m.i = m.j THEN 1.0 ELSE 0 END AS v
+        FROM mom m JOIN edge a ON a.target = m.target AND a.kind = m.kind AND a.i = m.i
+        JOIN edge b ON b.target = m.target AND b.kind = m.kind AND b.i = m.j
+        JOIN scale s ON s.target = m.target AND s.i = m.i LEFT JOIN scale t ON t.target = m.target AND t.i = m.j
+        WHERE m.i BETWEEN 1 AND {_M} AND m.j >= 1),
+gauss AS (SELECT 0 AS k, target, kind, i, j, CAST(v AS DOUBLE) AS v FROM aug
+  UNION ALL
+  SELECT k + 1, target, kind, i, j, CASE WHEN i = k + 1 THEN rv / piv ELSE v - cv * rv / piv END FROM (
+    SELECT *, max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY target, kind, j) AS rv,
+              max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY target, kind, i) AS cv,
+              max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER (PARTITION BY target, kind) AS piv FROM gauss) WHERE k < {_M}),
+beta AS (SELECT g.target, g.kind, g.i, g.v / s.s AS coef, e.mean FROM gauss g JOIN scale s ON s.target = g.target AND s.i = g.i
+         JOIN edge e ON e.target = g.target AND e.kind = g.kind AND e.i = g.i WHERE g.k = {_M} AND g.j = {_M} + 1),
+base AS (SELECT target, kind, mean AS base FROM edge WHERE i = {_M} + 1),
+model AS MATERIALIZED (SELECT target, {_DIGITS.format(9, "any_value(base)")} AS base,
+  {", ".join(f"{_DIGITS.format(7, f'max(CASE WHEN i = {i + 1} THEN coef END)')} AS c{i}" for i in range(_M))},
+  {", ".join(f"{_DIGITS.format(9, f'max(CASE WHEN i = {i + 1} THEN mean END)')} AS x{i}" for i in range(_M))}
+  FROM beta JOIN base USING (target, kind) WHERE kind = -1 GROUP BY target)
+"""
+_FIT = re.sub(r"^\s*WITH\b", "WITH RECURSIVE", _FIT)
+_PREDICTION = "base + (" + " + ".join(f"c{i} * (u{i} - x{i})" for i in range(_M)) + ")"
+_PRED = _FIT + f""",
+pred AS (SELECT config_id, target, y, is_test, {_PREDICTION} AS prediction FROM known JOIN model USING (target))"""
+_LONG = _FIT + f""",
+con AS MATERIALIZED (SELECT config_id, client_name, target, y, base, unnest({FEATURES}) AS feature,
+  unnest([{", ".join(f"u{i} + m{i}" for i in range(_M))}]) AS x, unnest([{", ".join(f"c{i} * (u{i} - x{i})" for i in range(_M))}]) AS contribution
+  FROM known JOIN model USING (target), med WHERE is_test),
 st AS (SELECT target, feature, avg(abs(contribution)) AS mean_abs, stddev_pop(abs(contribution)) AS std_abs,
               avg(contribution) AS mean_contribution FROM con GROUP BY target, feature),
-imp AS (SELECT st.target AS model, st.feature, coalesce(st.mean_abs / t.s, 0) AS importance
+imp AS (SELECT st.target AS model, st.feature, coalesce(st.mean_abs / nullif(t.s, 0), 0) AS importance
         FROM st JOIN (SELECT target, sum(mean_abs) AS s FROM st GROUP BY target) t ON st.target = t.target)
 """
-# DuckDB's UNPIVOT drops NULL values; contributions of NULL x are NULL and skipped by
-# every aggregate, so both sides agree on all aggregated outputs.
 
 
 @register("ml_contributions", _LONG + """
 SELECT config_id, target, feature, round(contribution, 4) AS contribution FROM con""")
 def ml_contributions(spark, sf):
-    """Per-row linear contributions slope·(x − mean) for every target and feature."""
-    return rounded(_contrib(spark, sf).filter(F.col("x").isNotNull())
+    """Contributions of all features to the predictions of the hold-out rows."""
+    return rounded(_contrib(spark, sf)
                    .select("config_id", "target", "feature", "contribution"))
 
 
@@ -76,7 +148,7 @@ SELECT target, feature, round(mean_abs, 4) AS mean_abs, round(std_abs, 4) AS std
        CASE WHEN round(mean_contribution, 6) > 0 THEN 'positive' ELSE 'negative' END AS direction
 FROM st WHERE mean_abs IS NOT NULL""")
 def ml_contribution_stats(spark, sf):
-    """Mean |c|, std |c| (ddof 0), mean c (0 for centred linear contributions) and sign."""
+    """Mean |c|, std |c| (ddof 0), mean c on the hold-out clients and its sign."""
     st = _stats(spark, sf).drop("corr").filter(F.col("mean_abs").isNotNull())
     return rounded(st.withColumn("mean_contribution", F.round("mean_contribution", 2) + F.lit(0.0)))
 
@@ -113,27 +185,20 @@ def top_contributions(spark, sf):
 
 
 @register("ml_explain_row", _LONG + """,
-base AS (SELECT target, avg(y) AS base_value FROM (SELECT DISTINCT target, config_id, y FROM lg) GROUP BY target),
-tot AS (SELECT target, config_id, sum(contribution) AS s FROM con GROUP BY target, config_id),
+tot AS (SELECT target, config_id, any_value(base) AS base, sum(contribution) AS s FROM con GROUP BY target, config_id),
 top1 AS (SELECT target, config_id, feature AS top_feature FROM (
   SELECT *, row_number() OVER (PARTITION BY target, config_id ORDER BY round(abs(contribution), 6) DESC, feature) AS rk
-  FROM con WHERE contribution IS NOT NULL) WHERE rk = 1)
-SELECT tot.target, tot.config_id, round(base.base_value, 4) AS base_value,
-       round(base.base_value + coalesce(tot.s, 0), 2) AS prediction, top1.top_feature
-FROM tot JOIN base ON tot.target = base.target
-LEFT JOIN top1 ON top1.target = tot.target AND top1.config_id = tot.config_id""")
+  FROM con) WHERE rk = 1)
+SELECT tot.target, tot.config_id, round(base, 4) AS base_value, round(base + s, 2) AS prediction, top1.top_feature
+FROM tot JOIN top1 ON top1.target = tot.target AND top1.config_id = tot.config_id""")
 def ml_explain_row(spark, sf):
-    """Base value, additive prediction and leading feature for every row at once."""
+    """Base value, the prediction that base and contributions add up to, and the leading feature,
+    for every hold-out row and target."""
     c = _contrib(spark, sf)
-    base = (c.select("target", "config_id", "y").distinct().groupBy("target")
-            .agg(F.avg("y").alias("base_value")))
-    tot = c.groupBy("target", "config_id").agg(F.sum("contribution").alias("s"))
-    top1 = (ML.top_contributions(c, 1).select("target", "config_id", F.col("feature").alias("top_feature")))
-    out = (tot.join(base, "target").join(top1, ["target", "config_id"], "left")
-           .select("target", "config_id", "base_value",
-                   (F.col("base_value") + F.coalesce("s", F.lit(0.0))).alias("prediction"), "top_feature"))
-    # the prediction sums ~13 contributions of magnitude 1e4: report it at 1e-2
-    return rounded(out.withColumn("prediction", F.round("prediction", 2)))
+    lead = F.min_by("feature", F.struct(-F.round(F.abs("contribution"), 6), F.col("feature")))
+    out = c.groupBy("target", "config_id").agg(
+        F.first("base_value").alias("base_value"), F.sum("contribution").alias("s"), lead.alias("top_feature"))
+    return rounded(out.select("target", "config_id", "base_value", F.round(F.col("base_value") + F.col("s"), 2).alias("prediction"), "top_feature"))
 
 
 @register("ml_dependence", _LONG + """
@@ -215,76 +280,132 @@ def top_features(spark, sf):
                    .orderBy(F.col("mean_importance").desc(), "feature").limit(5))
 
 
-# --- exact linear fits, metrics, CV ----------------------------------------------
-_FIT1 = _LONG + f""",
-f1 AS (SELECT * FROM fit WHERE feature = '{FIT_FEATURE}'),
-pred AS (SELECT lg.config_id, lg.target, lg.y, f1.intercept + f1.slope * lg.x AS prediction
-         FROM lg JOIN f1 ON lg.target = f1.target AND lg.feature = f1.feature)
-"""
-
-
-def _pred(spark, sf):
-    lg = _long(spark, sf).filter(F.col("feature") == FIT_FEATURE)
-    fit = ML.ols_fit(lg)
-    return (lg.join(fit, ["target", "feature"])
-            .select("config_id", "target", "y", (F.col("intercept") + F.col("slope") * F.col("x")).alias("prediction")))
+# --- predictions, metrics, CV ----------------------------------------------------
+@register("ml_predict", _FIT + f"SELECT config_id, target, round({_PREDICTION}, 4) AS prediction FROM every JOIN model USING (target)")
+def ml_predict(spark, sf):
+    """pred_<target> of every configuration from all features, a row per target."""
+    m = _Models(spark, sf)
+    return rounded(L.predictions(m.rows, m.fits).select("config_id", "target", "prediction"))
 
 
-@register("ml_predict", _FIT1 + "SELECT config_id, target, round(prediction, 4) AS prediction FROM pred")
-def ml_predict(spark, sf):
-    """pred_<target> from an exactly fitted linear model (capacity -> benefit)."""
-    return rounded(_pred(spark, sf).filter(F.col("prediction").isNotNull())
-                   .select("config_id", "target", "prediction"))
+def _scored(spark, sf):
+    m = _Models(spark, sf)
+    return L.predictions(m.known, m.fits)
 
 
 _MET = """SELECT target, count(*) AS n, round(1 - sum((y - prediction) * (y - prediction)) / (var_pop(y) * count(*)), 4) AS r2,
        round(avg(abs(y - prediction)), 4) AS mae, round(sqrt(sum((y - prediction) * (y - prediction)) / count(*)), 4) AS rmse"""
 
 
-@register("ml_metrics", _FIT1 + _MET + " FROM pred WHERE prediction IS NOT NULL GROUP BY target")
+@register("ml_metrics", _PRED + _MET + " FROM pred WHERE is_test GROUP BY target")
 def ml_metrics(spark, sf):
-    return rounded(ML.metrics(_pred(spark, sf)).select("target", "n", "r2", "mae", "rmse"))
+    """R², MAE and RMSE on the hold-out clients."""
+    return rounded(ML.metrics(_scored(spark, sf).where("is_test")).select("target", "n", "r2", "mae", "rmse"))
 
 
-@register("ml_evaluate", _FIT1 + _MET + """, round(avg(y), 4) AS mean_actual, round(avg(prediction), 4) AS mean_predicted
-FROM pred WHERE prediction IS NOT NULL GROUP BY target""")
+@register("ml_evaluate", _PRED + _MET + """, round(avg(y), 4) AS mean_actual, round(avg(prediction), 4) AS mean_predicted
+FROM pred GROUP BY target""")
 def ml_evaluate(spark, sf):
-    return rounded(ML.metrics(_pred(spark, sf)))
+    """The same over all rows with a label, with the mean label and prediction."""
+    return rounded(ML.metrics(_scored(spark, sf)))
 
 
-@register("top_best_model", _FIT1 + """
-SELECT target AS model, round(r2, 4) AS r2 FROM (""" + _MET + """ FROM pred WHERE prediction IS NOT NULL GROUP BY target)
+@register("top_best_model", _PRED + """
+SELECT target AS model, round(r2, 4) AS r2 FROM (""" + _MET + """ FROM pred WHERE is_test GROUP BY target)
 ORDER BY r2 DESC, model LIMIT 1""")
 def top_best_model(spark, sf):
-    """Model with the highest R², the first name among equals (one aggregate, no sort)."""
-    m = ML.metrics(_pred(spark, sf))
-    return rounded(m.agg(F.min_by("target", F.struct(-F.col("r2"), F.col("target"))).alias("model"),
-                         F.max("r2").alias("r2")))
-
-
-_FOLD_SQL = "CAST(regexp_extract(client_name, '#(\\d+)', 1) AS BIGINT) % 5"
-
-
-def _fold_col():
-    return (F.regexp_extract("client_name", r"#(\d+)", 1).cast("long") % 5).cast("int")
-
-
-@register("ml_cv_summary", _LONG + f""",
-folds AS (SELECT DISTINCT {_FOLD_SQL} AS fold FROM lg),
-cvfit AS (SELECT k.fold, lg.target, lg.feature, regr_slope(lg.y, lg.x) AS b, regr_intercept(lg.y, lg.x) AS a
-          FROM folds k JOIN lg ON {_FOLD_SQL.replace('client_name', 'lg.client_name')} <> k.fold
-          GROUP BY k.fold, lg.target, lg.feature),
-sc AS (SELECT {_FOLD_SQL.replace('client_name', 'lg.client_name')} AS fold, lg.target, lg.feature,
-              1 - sum((lg.y - (c.a + c.b * lg.x)) * (lg.y - (c.a + c.b * lg.x)))
-                  / sum((lg.y - m.my) * (lg.y - m.my)) AS r2
-       FROM lg JOIN cvfit c ON c.fold = {_FOLD_SQL.replace('client_name', 'lg.client_name')} AND c.target = lg.target
-                           AND c.feature = lg.feature
-       JOIN (SELECT {_FOLD_SQL} AS fold, target, feature, avg(y) AS my FROM lg WHERE x IS NOT NULL GROUP BY 1, 2, 3) m
-         ON m.fold = c.fold AND m.target = lg.target AND m.feature = lg.feature
-       WHERE lg.x IS NOT NULL GROUP BY 1, 2, 3)
-SELECT target, feature, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std, count(r2) AS n_folds
-FROM sc WHERE feature = '{FIT_FEATURE}' GROUP BY target, feature""")
+    """Model with the highest hold-out R², the first name among equals (one aggregate, no sort)."""
+    m = rounded(ML.metrics(_scored(spark, sf).where("is_test")).select("target", "r2"))
+    return m.agg(F.min_by("target", F.struct(-F.col("r2"), F.col("target"))).alias("model"), F.max("r2").alias("r2"))
+
+
+@register("ml_cv_summary", _PRED + f""",
+of_fold AS (SELECT target, kind AS fold, any_value(base) AS b,
+  {", ".join(f"max(CASE WHEN i = {i + 1} THEN coef END) AS d{i}, max(CASE WHEN i = {i + 1} THEN mean END) AS e{i}" for i in range(_M))}
+  FROM beta JOIN base USING (target, kind) WHERE kind >= 0 GROUP BY target, kind),
+sc AS (SELECT target, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM (
+  SELECT k.target, k.fold, k.y, b + {" + ".join(f"d{i} * (u{i} - e{i})" for i in range(_M))} AS p
+  FROM known k JOIN of_fold w ON w.target = k.target AND w.fold = k.fold) GROUP BY target, fold)
+SELECT target, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std, count(r2) AS n_folds FROM sc GROUP BY target""")
 def ml_cv_summary(spark, sf):
-    """Grouped 5-fold CV of the linear fit (folds by client), mean ± std (ddof 0) of R²."""
-    lg = _long(spark, sf).filter(F.col("feature") == FIT_FEATURE)
-    return rounded(ML.cv_summary(ML.grouped_cv_r2(lg, _fold_col())))
+    """Cross-validation by client over :func:`ML.group_folds`: mean ± std (ddof 0) of R², each
+    fold fitted on the total moments minus its own."""
+    m = _Models(spark, sf)
+    folds = spark.createDataFrame(L.cross_validated(m.moments, m.scales), "target string, fold int, n long, r2 double")
+    return rounded(ML.cv_summary(folds, ("target",)))
+
+
+# --- splits, imputation, training rows, registry, permutation -----------------------------
+@register("ml_group_split", _FIT + "SELECT config_id, client_name, target, is_test FROM known")
+def ml_group_split(spark, sf):
+    """Labelled rows of every target with ``is_test``; a client lies wholly on one side."""
+    return _Models(spark, sf).known.select("config_id", "client_name", "target", "is_test")
+
+
+@register("ml_group_folds", _FIT + "SELECT config_id, client_name, target, CAST(fold AS INTEGER) AS fold FROM known")
+def ml_group_folds(spark, sf):
+    """Labelled rows of every target with their fold; a client lies wholly in one."""
+    return _Models(spark, sf).known.select("config_id", "client_name", "target", "fold")
+
+
+@register("ml_impute_median", _FIT + "SELECT config_id, " + ", ".join(
+    f"round(coalesce({f}, m{i}), 4) AS {f}" for i, f in enumerate(FEATURES)) + " FROM mat, med")
+def ml_impute_median(spark, sf):
+    """Every feature with its exact median in place of nulls (0 where all are null)."""
+    mat = _matrix(spark, sf)
+    return rounded(mat.select("config_id", *[
+        F.coalesce(F.col(f).cast("double"), F.lit(m)).alias(f) for f, m in zip(FEATURES, L.medians(mat, FEATURES))]))
+
+
+_CV = f""",
+of_fold AS (SELECT target, kind AS fold, any_value(base) AS b,
+  {", ".join(f"max(CASE WHEN i = {i + 1} THEN coef END) AS d{i}, max(CASE WHEN i = {i + 1} THEN mean END) AS e{i}" for i in range(_M))}
+  FROM beta JOIN base USING (target, kind) WHERE kind >= 0 GROUP BY target, kind),
+cv AS (SELECT target, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r2_std FROM (
+  SELECT target, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM (
+  SELECT k.target, k.fold, k.y, b + {" + ".join(f"d{i} * (u{i} - e{i})" for i in range(_M))} AS p
+  FROM known k JOIN of_fold w ON w.target = k.target AND w.fold = k.fold) GROUP BY target, fold) GROUP BY target),
+met AS ({_MET} FROM pred WHERE is_test GROUP BY target),
+size AS (SELECT target, count(*) FILTER (NOT is_test) AS n_train FROM known GROUP BY target)"""
+
+
+@register("ml_train_ridge", _PRED + _CV + """
+SELECT target, 'ridge' AS model, n_train, n AS n_test, r2, mae, rmse, cv_r2_mean, cv_r2_std FROM met JOIN cv USING (target) JOIN size USING (target)""")
+def ml_train_ridge(spark, sf):
+    """Ridge (alpha 1 on standardised features) of every target: hold-out and cross-validation
+    scores; fewer than 10 training rows raise."""
+    table = trained_registry(spark, sf).table()
+    return rounded(table.select(F.col("name").alias("target"), F.lit("ridge").alias("model"), F.col("n_samples").alias("n_train"),
+                                F.col("metrics")["n"].cast("long").alias("n_test"),
+                                *[F.col("metrics")[k].alias(k) for k in ("r2", "mae", "rmse", "cv_r2_mean", "cv_r2_std")]))
+
+
+@register("ml_registry", _PRED + _CV + f"""
+SELECT target AS name, version, r2, cv_r2_mean, {_M} AS n_importances, n_train AS n_samples, {_M} AS n_features, version = 2 AS is_current
+FROM met JOIN cv USING (target) JOIN size USING (target), (SELECT unnest([1, 2]) AS version)""")
+def ml_registry(spark, sf):
+    """All versions of a registry after the models of every target were published twice."""
+    registry = trained_registry(spark, sf)
+    for name in registry.names():
+        model, old = registry.load(name)
+        registry.register(name, model, old["metrics"], old["feature_importance"], old["features"], n_samples=old["n_samples"], expected=1)
+    t = registry.table(history=True)
+    return rounded(t.select("name", "version", F.col("metrics")["r2"].alias("r2"), F.col("metrics")["cv_r2_mean"].alias("cv_r2_mean"),
+                            F.size("feature_importance").alias("n_importances"), "n_samples", F.col("n_features").cast("int").alias("n_features"),
+                            (F.col("version") == 2).alias("is_current")))
+
+
+@register("ml_permutation", _PRED + f""",
+put AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY config_id) AS r,
+               row_number() OVER (PARTITION BY target ORDER BY md5(CAST(config_id AS VARCHAR)), config_id) AS q FROM known WHERE is_test),
+var AS (SELECT a.target, a.y, {_PREDICTION.replace("(u", "(a.u")} AS p, unnest({FEATURES}) AS feature,
+  unnest([{", ".join(f"c{i} * (b.u{i} - a.u{i})" for i in range(_M))}]) AS shift
+  FROM put a JOIN put b ON a.target = b.target AND a.r = b.q JOIN model ON model.target = a.target)
+SELECT target, feature, round(sqrt(avg((y - p) * (y - p))), 3) AS base_rmse, round(sqrt(avg((y - p - shift) * (y - p - shift))), 3) AS permuted_rmse
+FROM var GROUP BY target, feature""")
+def ml_permutation(spark, sf):
+    """RMSE of each target's model on the hold-out clients, as they are and with one feature's
+    values permuted among them."""
+    m = _Models(spark, sf)
+    out = L.permutation_importance(m.held_out(), m.fits, FEATURES)
+    return out.select("target", "feature", F.round("base_rmse", 3).alias("base_rmse"), F.round("permuted_rmse", 3).alias("permuted_rmse"))

@@ -12,9 +12,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import benefits as B
-from ..operators import ml as ML
-from ..operators import profile as P
-from ..operators import series as S
 from ..session import scratch_path
 from ..sources import tables as T
 from ..sources import tree as TR
@@ -87,7 +84,7 @@ def inc_features(spark, sf):
     run = uuid.uuid4().hex[:8]
     landing = scratch_path(spark, f"landing-{_tag(sf)}-{run}")
     series = T.series_events(spark, sf)
-    INC.write_landing(series, landing, "config_id", 6)
+    INC.write_landing(series, landing, "config_id")
     store = scratch_path(spark, f"inc-store-{run}")
     ckpt = scratch_path(spark, f"inc-ckpt-{run}")
     INC.run_feature_stream(spark, landing, series.schema, store, ckpt)
@@ -97,41 +94,19 @@ def inc_features(spark, sf):
 
 @register("inc_score_submission")
 def inc_score_submission(spark, sf):
-    """Submissions -> PV weekday scaling with each submission's consumed share -> load
-    profile features -> linear benefit predictions.  A submission without a load profile
-    gets NULL predictions (never a stale result)."""
-    from ..operators.inputs import normalise_pv
-    from .ml_plans import FIT_FEATURE, MODELS, _long
+    """Landed submissions are scored by an availableNow stream with the registered models of all
+    targets, on the features of each submission's own profiles; every run is logged."""
+    from .ml_plans import MODELS, trained_registry
     run = uuid.uuid4().hex[:8]
-    subs = T.submissions(spark, sf).select("submission_id", "battery_capacity", "pv_consumed_percentage",
-                                           "pv_peak_power", "pv_annual_total")
+    registry = trained_registry(spark, sf)
+    profiles = {}
+    for name, df in (("load", T.load_profile(spark, sf)), ("pv", T.pv_profile(spark, sf))):
+        path = scratch_path(spark, f"profiles-{run}/{name}")           # once, before the stream starts
+        df.repartitionByRange("site_id").sortWithinPartitions("site_id", "timestamp_utc").write.parquet(path)
+        profiles[name] = spark.read.schema(df.schema).parquet(path)
+    subs = T.submissions(spark, sf)
     landing = scratch_path(spark, f"subs-{_tag(sf)}-{run}")
-    INC.write_landing(subs, landing, "submission_id", 4)
-    load, pv = T.load_profile(spark, sf), T.pv_profile(spark, sf)
-    # the fitted model is 3 targets x (slope, intercept): a proven bound, kept as literals
-    fit = ML.ols_fit(_long(spark, sf).filter(F.col("feature") == FIT_FEATURE)).select("target", "slope", "intercept")
-    coef = {r["target"]: (r["slope"], r["intercept"]) for r in fit.collect()}
-
-    def score(batch):
-        s = normalise_pv(batch).select(F.col("submission_id").alias("site_id"), "battery_capacity",
-                                       "pv_consumed_share")
-        ld = load.join(s.select("site_id"), "site_id", "left_semi")
-        pvb = pv.join(s.select("site_id", "pv_consumed_share"), "site_id")
-        merged = P.merge_load_pv(ld, P.weekday_scale(ld, pvb, F.col("pv_consumed_share")))
-        feats = (S.extract(merged.withColumnRenamed("site_id", "config_id")
-                           .withColumnRenamed("timestamp_utc", "timestamp"),
-                           S.LOAD_PROFILE_COLUMN_SPECS, [], key="config_id")
-                 .withColumnRenamed("config_id", "site_id"))
-        out = s.join(feats, "site_id", "left")
-        has = F.col("grid_load_kwh_mean").isNotNull()
-        preds = {}
-        for t in MODELS:
-            b, a = coef.get(t, (None, None))
-            val = (F.lit(a) + F.lit(b) * F.col("battery_capacity")) if a is not None and b is not None else F.lit(None)
-            preds[f"pred_{t}"] = F.when(has, val).cast("double")
-        return out.withColumns(preds).withColumn("has_profile", has)
-
-    out = scratch_path(spark, f"scores-{run}")
-    ckpt = scratch_path(spark, f"scores-ckpt-{run}")
-    INC.run_scoring_stream(spark, landing, subs.schema, out, ckpt, score)
+    INC.write_landing(subs, landing, "submission_id")
+    out, ckpt = scratch_path(spark, f"scores-{run}"), scratch_path(spark, f"scores-ckpt-{run}")
+    INC.run_scoring_stream(spark, landing, subs.schema, out, ckpt, INC.submission_scorer(profiles["load"], profiles["pv"], registry, MODELS))
     return spark.read.parquet(out)
