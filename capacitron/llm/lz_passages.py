@@ -305,8 +305,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     texts = written(rows.groupBy("t").agg(F.min("doc_id").alias("first")), "texts")
     found = written(rows.select("t", "text").mapInArrow(_anchor_rows(window, gram), "anchor long, t long, low int, high int"),
                     "passage-anchors")
-    shared = found.groupBy("anchor").agg(F.min("t").alias("_a"), F.max("t").alias("_b")).where("_a < _b")
-    again = found.join(shared.select("anchor"), "anchor", "left_semi").groupBy("t") \
+    # written, so that the join reads two plain shuffles and a hot anchor's rows are split
+    shared = written(found.groupBy("anchor").agg(F.min("t").alias("_a"), F.max("t").alias("_b")).where("_a < _b").select("anchor"),
+                     "shared-anchors")
+    again = found.join(shared, "anchor", "left_semi").groupBy("t") \
         .agg(F.collect_set(F.struct("low", "high", "anchor")).alias("spans"))
     # one holder of each text meets its fragments: the row of the smallest id
     wanted = texts.join(again, "t").withColumn("doc_id", F.col("first"))
@@ -316,8 +318,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     one = written(parts.groupBy("anchor", "mark").agg(
         F.min("first").alias("first"), F.max("first").alias("most"), F.max("size").alias("size"),
         F.first("part", ignorenulls=True).alias("part")), "distinct-passages")
-    verdict = one.select("anchor", "mark", F.col("first").alias("_least"), "most") \
-        .join(_repeated_in(one, window), ["anchor", "mark"], "left").where("starts IS NOT NULL OR _least < most")
+    verdict = written(one.select("anchor", "mark", F.col("first").alias("_least"), "most")
+                      .join(_repeated_in(one, window), ["anchor", "mark"], "left").where("starts IS NOT NULL OR _least < most"), "passage-verdicts")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - window).alias("b")))
     ranges = parts.select("anchor", "mark", "t", "first", "low", "size").join(verdict, ["anchor", "mark"]) \
         .select("t", "low", F.explode(F.when(F.col("_least") < F.col("first"), whole).otherwise(F.col("starts"))).alias("s"))

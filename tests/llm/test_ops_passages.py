@@ -158,12 +158,12 @@ def test_spelling_variants(spark, monkeypatch, length, count, noise, gram_list):
     monkeypatch.setattr(spelling, "HELD", 50)
     rng = random.Random(6)
     docs = fx.rows()[0] + [(None, "Straße STRASSE straße Étude étude étüde ÿÿÿÿÿÿ", "", "", 0)]
-    chain = ["abcdefgh"] * 200 + ["abcdefg"] * 30 + ["abcdefx"] * 5 + ["abcdyx"] + ["ABCDEFGH", "éclairs", "éclairé"] * 9
-    docs += [(500 + i, " ".join(rng.sample(chain, 120)), "", "", 0) for i in range(6)]
+    chain = ["abcdefgh"] * 200 + ["abcdefg"] * 20 + ["abcdefx"] * 2 + ["ABCDEFGH", "éclairs", "éclairé"] * 9
+    docs += [(500 + i, " ".join(rng.sample(chain, len(chain))), "", "", 0) for i in range(6)]
     docs += [(900, " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(300)), "", "", 0)]
     got = spelling.spelling_variants(fx.frame(spark, docs, clash=True), length, count, noise)
     exp = list(spelled(docs, length, count, noise, 5))
-    assert any(x[1] and x[2] != x[1] for x in exp) or count == 5
+    assert any(x[1] and x[2] != x[1] for x in exp)
     assert bag(got.select("word", "form", "root", "n", "n_near", "form_n").collect()) == bag(exp)
 
 
