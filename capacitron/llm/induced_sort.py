@@ -10,7 +10,8 @@ than the least value scanned between their sources.
 
 Waiting queue entries move to a temporary file beyond ``MEMORY`` bytes and the largest arrays are
 mapped to files, but scanned entries, kinds and names stay in memory: the caller bounds the text
-(:mod:`.suffix_dedup` by its shards).  Common prefixes are kept up to ``CAP``.
+(:mod:`.suffix_dedup` by its shards).  Common prefixes are settled up to the depth asked for, in
+the narrowest integers that hold it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ import tempfile
 import numpy as np
 
 MEMORY = 64 << 20
-CAP = 255
+#: Depth to which common prefixes are settled unless another one is asked for.
+DEPTH = 255
+
+
+def _kind_of(cap: int):
+    return np.uint8 if cap < 1 << 8 else np.uint16 if cap < 1 << 16 else np.int64
 
 
 def _array(n: int, dtype) -> np.ndarray:
@@ -32,9 +38,9 @@ def _array(n: int, dtype) -> np.ndarray:
 class Queues:
     """A first-in first-out queue of (position, common prefix) for every symbol."""
 
-    def __init__(self, symbols: int):
+    def __init__(self, symbols: int, kind=np.uint8):
         self.held: list[list] = [[] for _ in range(symbols)]
-        self.size, self.file = 0, None
+        self.size, self.file, self.kind = 0, None, kind
 
     def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.held[symbol].append((pos, lcp))
@@ -63,7 +69,7 @@ class Queues:
         for entry in queue:
             if len(entry) == 3:
                 self.file.seek(entry[0])
-                entry = (np.fromfile(self.file, np.int64, entry[1]), np.fromfile(self.file, np.uint8, entry[1]))
+                entry = (np.fromfile(self.file, np.int64, entry[1]), np.fromfile(self.file, self.kind, entry[1]))
             else:
                 self.size -= entry[0].nbytes + entry[1].nbytes
             parts.append(entry)
@@ -75,10 +81,10 @@ class Queues:
 class _Inducer:
     """Pushes the predecessors of scanned suffixes, with their common prefixes."""
 
-    def __init__(self, text, kind, symbols: int, want: bool):
-        self.text, self.kind, self.want = text, kind, want
-        self.queues = Queues(symbols)
-        self.least = np.zeros(symbols, np.uint8)       # least common prefix since a symbol's last push
+    def __init__(self, text, kind, symbols: int, want: bool, cap: int):
+        self.text, self.kind, self.want, self.cap, self.small = text, kind, want, cap, _kind_of(cap)
+        self.queues = Queues(symbols, self.small)
+        self.least = np.zeros(symbols, self.small)     # least common prefix since a symbol's last push
 
     def scan(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         """``lcp[k]``: common prefix of scanned suffix k and the one scanned before it."""
@@ -103,10 +109,10 @@ class _Inducer:
         groups = np.flatnonzero(first)
         owner = symbol[groups]
         value[groups] = np.minimum(value[groups], self.least[owner])
-        value = np.minimum(value, CAP - 1) + np.uint8(1)
+        value = np.minimum(value, self.cap - 1) + self.small(1)
         ends = np.append(groups[1:], len(at))
         last = at[ends - 1]
-        tail = np.full(len(last), CAP, np.uint8)
+        tail = np.full(len(last), self.cap, self.small)
         inner = last + 1 < len(lcp)
         if inner.any():
             tail[inner] = _range_min(lcp, last[inner] + 1, np.full(int(inner.sum()), len(lcp) - 1))
@@ -130,7 +136,7 @@ def _range_min(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kinds(text: np.ndarray):
+def _kinds(text: np.ndarray, cap: int):
     """S flags, and how many equal symbols follow from each position."""
     n = len(text)
     edge = np.flatnonzero(np.append(text[1:] != text[:-1], True))       # last place of each run
@@ -140,15 +146,15 @@ def _kinds(text: np.ndarray):
     kind = _array(n, bool)
     kind[:] = follow > text
     kind[n - 1] = True                                                 # by definition
-    run = _array(n, np.uint8)
-    run[:] = np.minimum(end - np.arange(n) + 1, CAP)
+    run = _array(n, _kind_of(cap))
+    run[:] = np.minimum(end - np.arange(n) + 1, cap)
     return kind, run
 
 
-def _induce(text, kind, run, lms, seed_lcp, symbols: int):
+def _induce(text, kind, run, lms, seed_lcp, symbols: int, cap: int):
     """All suffixes, and their common prefixes, from the LMS suffixes in order."""
     heads = np.searchsorted(text[lms], np.arange(symbols + 1))          # the LMS of each symbol
-    larger, left = _Inducer(text, kind, symbols, False), [[] for _ in range(symbols)]
+    larger, left = _Inducer(text, kind, symbols, False, cap), [[] for _ in range(symbols)]
     for c in range(symbols):
         edge = None                                                    # last scanned of this symbol
         while (got := larger.queues.pop(c)) is not None:
@@ -164,7 +170,7 @@ def _induce(text, kind, run, lms, seed_lcp, symbols: int):
             lcp = seed_lcp[a:b].copy()
             lcp[0] = 0 if edge is None else min(run[edge], run[lms[a]])
             larger.scan(lms[a:b], lcp)
-    smaller, right = _Inducer(text, kind, symbols, True), [[] for _ in range(symbols)]
+    smaller, right = _Inducer(text, kind, symbols, True, cap), [[] for _ in range(symbols)]
     for c in range(symbols - 1, -1, -1):
         edge = None
         while (got := smaller.queues.pop(c)) is not None:
@@ -184,7 +190,7 @@ def _induce(text, kind, run, lms, seed_lcp, symbols: int):
             smaller.scan(pos[::-1], lcp)
             left[c] = [(pos, asc)]
     n = len(text)
-    sa, out, at = _array(n, np.int64), _array(n, np.uint8), 0
+    sa, out, at = _array(n, np.int64), _array(n, _kind_of(cap)), 0
     for c in range(symbols):
         if c == text[n - 1]:                                           # the last suffix has no successor
             sa[at], out[at] = n - 1, 0
@@ -233,15 +239,15 @@ def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def suffix_array(text: np.ndarray, depth: int = CAP) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of an integer text in order, and the common prefix of each with the one before
     it (0 for the first), both settled up to ``depth`` symbols."""
     text = np.asarray(text).astype(np.int32 if len(text) and text.max() > 32000 else np.int16)
     n = len(text)
     if n < 2:
-        return np.arange(n), np.zeros(n, np.uint8)
+        return np.arange(n), np.zeros(n, _kind_of(depth))
     symbols = int(text.max()) + 1
-    kind, run = _kinds(text)
+    kind, run = _kinds(text, depth)
     lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     if not len(lms):
         lms = np.array([n - 1])
@@ -249,7 +255,7 @@ def suffix_array(text: np.ndarray, depth: int = CAP) -> tuple[np.ndarray, np.nda
     if len(lms) > 1:
         # the LMS substrings are put in order by inducing from their first symbols alone
         by_symbol = lms[np.argsort(text[lms], kind="stable")]
-        rough, _ = _induce(text, kind, run, by_symbol, np.zeros(len(lms), np.uint8), symbols)
+        rough, _ = _induce(text, kind, run, by_symbol, np.zeros(len(lms), _kind_of(depth)), symbols, depth)
         mark = np.zeros(n, np.int64)
         mark[lms] = np.arange(1, len(lms) + 1)
         order = mark[rough]
@@ -261,6 +267,6 @@ def suffix_array(text: np.ndarray, depth: int = CAP) -> tuple[np.ndarray, np.nda
         names = np.empty(len(lms), np.int64)
         names[order] = np.concatenate(([0], np.cumsum(~equal)))
         lms = lms[_sort_names(names, depth)]
-    seed = np.zeros(len(lms), np.uint8)
-    seed[1:] = _same(text, lms[:-1], lms[1:], np.full(len(lms) - 1, CAP))
-    return _induce(text, kind, run, lms, seed, symbols)
+    seed = np.zeros(len(lms), _kind_of(depth))
+    seed[1:] = _same(text, lms[:-1], lms[1:], np.full(len(lms) - 1, depth))
+    return _induce(text, kind, run, lms, seed, symbols, depth)

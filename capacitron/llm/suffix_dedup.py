@@ -3,7 +3,7 @@
 Every ``length``-byte string is assigned to an anchor: the ``GRAM``-byte piece of least hash
 inside it (the leftmost of equals).  Equal strings have equal anchors, so the anchor's hash is a
 shard key that never separates two occurrences.  A document's strings with the same anchor form
-one fragment.  Anchors that occur once in the whole input are dropped; fragments with the same
+one fragment.  Anchors that occur once in the distinct texts are dropped; fragments with the same
 content are counted before they travel on; the distinct fragments of a shard are suffix-sorted
 by induced sorting (:mod:`.induced_sort`), and a string is repeated when it has a common prefix
 of ``length`` bytes with a neighbour in the suffix array or its fragment occurs more than once.
@@ -15,8 +15,8 @@ which equal strings share.  Fragments cut to one side are counted again, and gro
 still too large are divided further, at the latest until the core is the whole string.  So no
 sort takes more than twice ``SHARD_BYTES``.
 
-Rows are identified by a 64-bit hash of id and text; a row that is repeated whole counts as
-another occurrence.  Texts travel compressed.
+Texts are told by a 64-bit hash, and a text that several rows have is searched once: every byte
+of it is repeated, and for all others it counts like any text.  Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -88,37 +88,85 @@ def _slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+#: Anchor rows among which a task looks for repeated ones before it hands them on.
+CHUNK = 500_000
+
+
 def _anchor_rows(length: int, gram: int):
+    """A row per fragment of every text of a task (a copy adds nothing).
+
+    An anchor met twice in a chunk is sure to be repeated: one of its rows goes to the anchor's
+    task as a witness for others, the rest are dealt out by themselves.  So a very common anchor
+    sends a row per chunk to its task, not a row per document."""
+    names = ["route", "anchor", "t", "low", "high", "sure"]
+
+    def answer(rows):
+        anchor, t, low, high = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        order = np.argsort(anchor, kind="stable")
+        same = anchor[order][1:] == anchor[order][:-1]
+        sure, route = np.zeros(len(anchor), bool), anchor.copy()
+        sure[order[1:]] |= same
+        later = sure.copy()
+        sure[order[:-1]] |= same
+        with np.errstate(over="ignore"):
+            own = _mix(t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64)) ^ anchor.view(np.uint64)
+        route[later] = own.view(np.int64)[later]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(route), pa.array(anchor), pa.array(t), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(sure)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, seen = [], 0, set()
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            for a, b in _slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], 4 << 20):
-                got = [anchors(t.as_py() or b"", length, gram) for t in texts[a:b]]
-                each = [len(g[0]) for g in got]
-                key = batch.column("key")[a:b].to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(np.repeat(key, each), pa.int64()),
-                     pa.array(np.concatenate([g[1] for g in got]), pa.int32()), pa.array(np.concatenate([g[2] for g in got]), pa.int32())],
-                    names=["anchor", "key", "low", "high"])
+            for t, text in zip(batch.column("t").to_pylist(), batch.column("text")):
+                if t in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(t)
+                got = anchors(text.as_buffer().to_pybytes(), length, gram)
+                if len(got[0]):
+                    rows.append((got[0], np.full(len(got[0]), t, np.int64), got[1], got[2]))
+                    size += len(got[0])
+                if size >= CHUNK:
+                    yield answer(rows)
+                    rows, size = [], 0
+        if rows:
+            yield answer(rows)
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose anchor has another row; rows come sorted by anchor.  The last row of a batch
-    waits for the next one, no group is held."""
-    held, known = None, None                       # a row not yet decided, the last row's anchor
+    """Rows that are sure, or whose anchor has another row; rows come sorted by route, text and
+    place, and equal ones (from copies in several tasks) are one.  The last row of a batch waits
+    for the next one, no group is held."""
+    held, known, last = None, None, None           # a row not yet decided, the last row's route, the last row
     for batch in batches:
+        r, t, low = (batch.column(c).to_numpy() for c in ("route", "t", "low"))
+        if not len(r):
+            continue
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1]) | (low[1:] != low[:-1])
+        new[0] = last != (r[0], t[0], low[0])
+        last = (r[-1], t[-1], low[-1])
+        batch = batch.filter(pa.array(new))
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        a = batch.column("anchor").to_numpy()
-        same = np.concatenate(([a[0] == known], a[1:] == a[:-1], [False]))
+        r = batch.column("route").to_numpy()
+        same = np.concatenate(([r[0] == known], r[1:] == r[:-1], [False]))
         keep = same[1:] | same[:-1]
-        cut = len(a) if keep[-1] else len(a) - 1
-        held = batch.slice(cut) if cut < len(a) else None
-        known = a[-1] if keep[-1] else None
-        yield batch.slice(0, cut).filter(pa.array(keep[:cut]))
+        cut = len(r) if keep[-1] else len(r) - 1
+        held = batch.slice(cut) if cut < len(r) else None
+        known = r[-1] if keep[-1] else None
+        sure = batch.column("sure").to_numpy(zero_copy_only=False)
+        yield _plain(batch.slice(0, cut).filter(pa.array((keep | sure)[:cut])))
+    if held is not None:
+        yield _plain(held.filter(held.column("sure")))
+
+
+def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.select(["anchor", "t", "low", "high"])
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +185,12 @@ def _unzip(value) -> bytes:
 
 
 def _fragments(length: int):
-    """A row per fragment of a document; its bytes go with its first row in a task."""
+    """A row per fragment of a text; its bytes go with its first row in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
             rows, size = [], 0
-            for key, value, spans in zip(batch.column("key"), batch.column("zip"), batch.column("spans")):
+            for key, value, spans in zip(batch.column("t"), batch.column("zip"), batch.column("spans")):
                 text, key = _unzip(value), key.as_py()
                 for s in spans.as_py():
                     part = text[s["low"]:s["high"] + length]
@@ -165,7 +213,7 @@ def _fragments(length: int):
 def _batch(rows) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["anchor", "mark", "key", "low", "size", "part"])
+                                      names=["anchor", "mark", "t", "low", "size", "part"])
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -260,7 +308,7 @@ def _repeated_in(one: DataFrame, length: int, gram: int) -> DataFrame:
     sorted_ = one.join(fit.select("anchor"), "anchor").select("anchor", "mark", "part") \
         .repartition("anchor").sortWithinPartitions("anchor") \
         .mapInArrow(_sorted_shards(length), "anchor long, mark binary, starts array<struct<a:int,b:int>>")
-    copies = one.where("times > 1").select("anchor", "mark", F.array(
+    copies = one.where("several").select("anchor", "mark", F.array(
         F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b"))).alias("starts"))
     starts = sorted_.where(F.size("starts") > 0).union(copies)
     if hot.isEmpty():
@@ -269,7 +317,7 @@ def _repeated_in(one: DataFrame, length: int, gram: int) -> DataFrame:
         _divided(length, gram), "anchor long, mark binary, of_anchor long, of_mark binary, low int, size int, left int, right int, part binary"),
         "divided-fragments")
     again = written(divided.groupBy("anchor", "mark").agg(
-        F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("size", "left", "right", "part")]), "distinct-fragments")
+        (F.count(F.lit(1)) > 1).alias("several"), *[F.first(c).alias(c) for c in ("size", "left", "right", "part")]), "distinct-fragments")
     found = divided.select("anchor", "mark", "of_anchor", "of_mark", "low").join(_repeated_in(again, length, gram), ["anchor", "mark"])
     return starts.union(found.select(
         F.col("of_anchor").alias("anchor"), F.col("of_mark").alias("mark"),
@@ -292,43 +340,55 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
 
 
 def _keyed(docs: DataFrame, *keep) -> DataFrame:
-    """The key of every row, some of its columns, and its text."""
+    """Every row's text with its hash (``t``) and the hash of id and text (``key``), and some of
+    its columns."""
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(F.xxhash64(doc, text).alias("key"), *keep, text.alias("text"))
+    return docs.select(F.xxhash64(text).alias("t"), F.xxhash64(doc, text).alias("key"), *keep, text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``key, spans``: byte ranges of every document that repeated strings cover (they may
-    overlap).  ``key`` is the hash of id and text."""
-    rows = _keyed(docs)
-    found = rows.where(F.octet_length("text") >= length).select("key", "text") \
-        .mapInArrow(_anchor_rows(length, gram), "anchor long, key long, low int, high int")
-    again = found.repartition("anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(_repeated, "anchor long, key long, low int, high int")
-    again = written(again.groupBy("key").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("spans")), "anchors")
-    packed = rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_zip, "key long, zip binary")
-    parts = written(packed.join(again, "key").select("key", "zip", "spans").mapInArrow(
-        _fragments(length), "anchor long, mark binary, key long, low int, size int, part binary"), "fragments")
-    one = parts.groupBy("anchor", "mark").agg(F.count(F.lit(1)).alias("times"), F.max("size").alias("size"),
+    """``t, copied, spans`` of the texts (``t`` their hash) that repeat something: whether several
+    rows have the text whole (then every byte is repeated), and the byte ranges that repeated
+    strings cover (they may overlap; null if none).
+
+    A text that many rows have is searched once, in the row of the smallest key."""
+    rows = _keyed(docs).where(F.octet_length("text") >= length)
+    texts = written(rows.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")), "texts")
+    found = rows.select("t", "text").mapInArrow(
+        _anchor_rows(length, gram), "route long, anchor long, t long, low int, high int, sure boolean")
+    again = found.repartition("route").sortWithinPartitions("route", "t", "low") \
+        .mapInArrow(_repeated, "anchor long, t long, low int, high int")
+    again = written(again.groupBy("t").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("spans")), "anchors")
+    packed = rows.select("t", "key", "text").mapInArrow(_zip, "t long, key long, zip binary")
+    wanted = texts.select("t", "key").join(again, "t")
+    parts = written(packed.join(wanted, ["t", "key"]).select("t", "zip", "spans").mapInArrow(
+        _fragments(length), "anchor long, mark binary, t long, low int, size int, part binary"), "fragments")
+    place = F.xxhash64("t", "low")
+    one = parts.groupBy("anchor", "mark").agg((F.min(place) < F.max(place)).alias("several"), F.max("size").alias("size"),
                                               F.first("part", ignorenulls=True).alias("part"))
     one = written(one, "distinct-fragments")
     core = [F.lit(None).cast("int").alias(c) for c in ("left", "right")]
     starts = written(_repeated_in(one.select("*", *core), length, gram), "starts")
-    spans = parts.select("anchor", "mark", "key", "low").join(starts, ["anchor", "mark"]) \
-        .select("key", "low", F.explode("starts").alias("s")) \
-        .select("key", F.struct((F.col("low") + F.col("s.a")).alias("low"),
-                                (F.col("low") + F.col("s.b") + length).alias("high")).alias("span"))
-    return written(spans.groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = parts.select("anchor", "mark", "t", "low").join(starts, ["anchor", "mark"]) \
+        .select("t", "low", F.explode("starts").alias("s")) \
+        .select("t", F.struct((F.col("low") + F.col("s.a")).alias("low"),
+                              (F.col("low") + F.col("s.b") + length).alias("high")).alias("span"))
+    spans = spans.groupBy("t").agg(F.collect_set("span").alias("spans"))
+    copied = F.col("_n") > 1
+    return written(texts.select("t", copied.alias("copied")).join(spans, "t", "left").where("copied OR spans IS NOT NULL"), "spans")
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = None
     for batch in batches:
-        keep = keep or [c for c in batch.schema.names if c not in ("zip", "spans")]
+        keep = keep or [c for c in batch.schema.names if c not in ("zip", "spans", "copied")]
         texts, gone, runs, size = [], [], [], []
-        for value, spans in zip(batch.column("zip"), batch.column("spans")):
+        for value, spans, copied in zip(batch.column("zip"), batch.column("spans"), batch.column("copied").to_pylist()):
             raw = _unzip(value)
-            left, removed, n = _cut(raw, spans.as_py() or []) if spans.is_valid else (raw, 0, 0)
+            if copied:                                         # only texts that hold a whole string are listed
+                left, removed, n = b"", len(raw), 1
+            else:
+                left, removed, n = _cut(raw, spans.as_py() or []) if spans.is_valid else (raw, 0, 0)
             texts.append(left)
             gone.append(removed)
             runs.append(n)
@@ -363,8 +423,8 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows are occurrences of each other; an empty table gives an empty result; other columns are
     ignored."""
     spans = repeated_spans(docs, length, gram)
-    packed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_zip, "key long, doc_id long, zip binary")
-    return packed.join(spans, "key", "left").mapInArrow(
+    packed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("key").mapInArrow(_zip, "t long, doc_id long, zip binary")
+    return packed.join(spans, "t", "left").mapInArrow(
         _digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -377,10 +437,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spans = repeated_spans(docs, length, gram)
     names = docs.columns
     rest = [c for c in names if c != "text"]
-    packed = _keyed(docs, F.struct(*rest).alias("_row"))
+    packed = _keyed(docs, F.struct(*rest).alias("_row")).drop("key")
     row = packed.schema["_row"].dataType.simpleString()
-    packed = packed.mapInArrow(_zip, f"key long, _row {row}, zip binary")
-    cut = packed.join(spans, "key", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(
+    packed = packed.mapInArrow(_zip, f"t long, _row {row}, zip binary")
+    cut = packed.join(spans, "t", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(
         _text_rows, f"_row {row}, text string, n_bytes long, n_removed long")
     cut = cut.where("n_bytes = 0 OR n_removed < n_bytes")
 

@@ -110,9 +110,10 @@ def removed(docs, length):
         yield d[0], len(t), int(gone.sum()), int((edges == 1).sum()), left
 
 
-@pytest.mark.parametrize("length,gram", [(200, 64), (24, 8)])
-def test_suffix_dedup(spark, monkeypatch, length, gram):
+@pytest.mark.parametrize("length,gram,chunk", [(200, 64, 500_000), (24, 8, 40), (256, 64, 500), (300, 64, 1)])
+def test_suffix_dedup(spark, monkeypatch, length, gram, chunk):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     docs = fx.rows()[0] + [(None, "one two three four five six seven eight nine ten", "", "", 0)]
     got = suffix_dedup.removal_digests(fx.frame(spark, docs, clash=True), length, gram)
     assert bag(got.collect()) == bag((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in removed(docs, length))
@@ -151,6 +152,28 @@ def test_hot_anchor_is_divided(spark, monkeypatch, tmp_path, shared):
     assert max(map(int, open(sizes))) <= 2 * limit
 
 
+@pytest.mark.parametrize("length", [255, 256, 300, 1000])
+def test_strings_of_any_length(spark, length):
+    """Texts that share 500 bytes, and one that repeats a string of its own."""
+    rng = np.random.default_rng(11)
+
+    def some(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+    shared, own = some(500), some(1200)
+    docs = [(i, some(300) + shared + some(300), "", "", 0) for i in range(4)] + [(9, own + some(50) + own, "", "", 0)]
+    got = suffix_dedup.removal_digests(fx.frame(spark, docs), length)
+    assert bag(got.collect()) == bag((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in removed(docs, length))
+
+
+def test_very_long_text(spark):
+    """Megabytes in one text, of which two others hold a part."""
+    rng = np.random.default_rng(12)
+    long_ = "".join(map(chr, rng.integers(97, 123, 3_000_000)))
+    docs = [(1, long_, "", "", 0), (2, long_[1_000_000:1_000_450], "", "", 0), (3, "x" * 100 + long_[-260:], "", "", 0), (4, long_ + "!", "", "", 0)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removal_digests(fx.frame(spark, docs)).collect()}
+    assert got == {1: (3_000_000, 1), 2: (450, 1), 3: (260, 1), 4: (3_000_000, 1)}
+
+
 def test_halves_keep_equal_strings_together():
     """Every string start is in one half; equal strings with equal cores get equal new cores."""
     rng = np.random.default_rng(2)
