@@ -103,9 +103,8 @@ class Encoder:
             some = words[k:k + 8192]
             raw = self._ids(["".join(some)])[0]
             at = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")])).tolist()
-            if len(at) != len(some):
-                raise ValueError("the tokenizer does not cut words at spaces")
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
+            if len(at) == len(some):                           # else it cuts in another way: one by one below
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
         rest = [p for p in pieces if p not in self.known]
         self.known.update(zip(rest, self._ids(rest)))
 
@@ -271,6 +270,17 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+#: Bytes of files that one task decodes, or fewer where the cluster has cores to spare.
+TASK_BYTES = 32 << 20
+
+
+def _tasks(manifest: DataFrame) -> int:
+    """Tasks to decode the files: the rows that are shuffled are paths only, so their number
+    follows the bytes behind them (AQE leaves a given number alone)."""
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return max(1, min(files, max(-(-size // TASK_BYTES), 4 * manifest.sparkSession.sparkContext.defaultParallelism)))
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the files.
 
@@ -279,5 +289,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = files.select("path", "uri", "start").repartition("path")
+    spread = files.select("path", "uri", "start").repartition(_tasks(manifest), "path")
     return spread.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
