@@ -194,6 +194,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = No
         .withColumn("uri", F.lit(folder))
 
 
+#: Bytes of records that one task reads back, or fewer where the cluster has cores to spare.
+TASK_BYTES = 64 << 20
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.to_pylist():
@@ -225,5 +229,9 @@ def read_archives(index: DataFrame) -> DataFrame:
     """Every record of the bundles an index names, one task per bundle, a frame at a time.
 
     Responses are checked against their length and digest; a damaged one fails the job."""
-    bundles = index.select("uri", "path").distinct().repartition("path")
+    sizes = index.groupBy("uri", "path").agg(F.sum("length").alias("_bytes"))
+    files, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    # only paths are shuffled, so the number of tasks follows the bytes behind them
+    spread = max(1, min(files, max(-(-size // TASK_BYTES), 4 * index.sparkSession.sparkContext.defaultParallelism)))
+    bundles = sizes.select("uri", "path").repartition(spread, "path")
     return bundles.mapInArrow(_reader, READ)
