@@ -143,7 +143,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     longer = {w[:k] for w, c in in_toxic.items() for k in range(4, len(w)) if c >= 0.7 * in_toxic.get(w[:k], c + 1)}
     ranked = sorted((over_use(w), w) for w in in_toxic if w not in longer)
     plain = [t.encode("utf-8", "replace").lower() for t in learn[0]]
-    ordinary = _train_content([t[i:i + 2 * WINDOW] for t in plain for i in range(0, min(len(t), 64 * WINDOW), 2 * WINDOW)])
+    ordinary = _train_content([t[i:i + 2 * WINDOW] for t in plain for i in range(0, len(t), 2 * WINDOW)])
     y = np.array([v for _, v in check], float)
     best, tried = None, set()
     for least in OVER_USE:
@@ -188,10 +188,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
             .where("text IS NOT NULL").join(chosen, "doc_id").orderBy("_h", "doc_id", "text").select("text")
         for r in got.toLocalIterator():
-            size += len(r[0])
-            if size > fit_bytes:
-                break
-            out.append((r[0], y))
+            if size + len(r[0]) <= fit_bytes:                  # a row beyond the bound is skipped, later ones may fit
+                size += len(r[0])
+                out.append((r[0], y))
     return out
 
 
