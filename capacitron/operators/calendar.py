@@ -8,6 +8,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import row_windows
+
 # ---------------------------------------------------------------------------
 # Fixed values from the reference's sample inputs.
 # ---------------------------------------------------------------------------
@@ -36,17 +38,20 @@ FOURIER_PERIODS = [96, 672]        # quarter-hours: one day, one week
 
 def rolling(series: DataFrame, col: str = "load_kwh", windows=ROLLING_WINDOWS,
             key="config_id", ts="timestamp") -> DataFrame:
-    """Rolling mean / std / max over the last w readings, summarised per series."""
-    base = Window.partitionBy(key).orderBy(ts)
-    df = series
+    """Rolling mean / std / max over the last w readings, summarised per series; long series are
+    cut into overlapping segments (:mod:`.segments`)."""
+    def columns(base):
+        out = {}
+        for w in windows:
+            frame = base.rowsBetween(-(w - 1), 0)
+            out |= {f"_m{w}": F.avg(col).over(frame), f"_s{w}": F.stddev_samp(col).over(frame), f"_x{w}": F.max(col).over(frame)}
+        return out
+
     aggs = []
     for w in windows:
-        fr = base.rowsBetween(-(w - 1), 0)
-        df = df.withColumns({f"_m{w}": F.avg(col).over(fr), f"_s{w}": F.stddev_samp(col).over(fr),
-                             f"_x{w}": F.max(col).over(fr)})
         aggs += [F.max(f"_m{w}").alias(f"roll{w}_mean_max"), F.avg(f"_m{w}").alias(f"roll{w}_mean_mean"),
                  F.avg(f"_s{w}").alias(f"roll{w}_std_mean"), F.avg(f"_x{w}").alias(f"roll{w}_max_mean")]
-    return df.groupBy(key).agg(*aggs)
+    return row_windows(series.select(key, ts, col), columns, max(windows) - 1, key, ts).groupBy(key).agg(*aggs)
 
 
 def fourier(series: DataFrame, col: str = "load_kwh", periods=FOURIER_PERIODS,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import fold_nan, ratio_if_positive, share
-from .series import _diff_name, distributed_percentiles, with_diffs
+from .series import _diff_name, distributed_diff_stats, heavy_keys, segmented_percentiles, with_diffs
 
 LOAD_PERCENTILES = [10, 25, 50, 75, 90, 95]
 
@@ -78,19 +78,30 @@ def grid_exprs(cols) -> list[Column]:
     return out
 
 
-EXTRACTORS = {"load_profile", "battery", "temporal", "grid"}
-
-
 def extract_legacy(series: DataFrame, which=("load_profile", "battery", "temporal", "grid"),
                    key: str = "config_id") -> DataFrame:
-    """FeatureExtractorRegistry.extract_all: chosen extractors in one aggregate."""
-    exprs = []
+    """FeatureExtractorRegistry.extract_all: chosen extractors in one aggregate.
+
+    Series of up to ``HEAVY`` rows get percentiles and first differences inside that aggregate's
+    exchange; heavy ones from value and time segments, so no task holds one."""
     series = fold_nan(series, [c for c in series.columns if c != key])
-    df = series
-    if "battery" in which:
-        df = with_diffs(df, [c for c in ("soc_percent", "power_kw") if c in series.columns], key)
+    heavy = heavy_keys(series, key) if {"load_profile", "battery"} & set(which) else None
+    if heavy is None:
+        return _extract(series, which, key, False)
+    return _extract(series.join(heavy, key, "left_anti"), which, key, False).unionByName(
+        _extract(series.join(heavy, key, "left_semi"), which, key, True))
+
+
+def _extract(series: DataFrame, which, key: str, heavy: bool) -> DataFrame:
+    exprs, df = [], series
+    diffs = [c for c in ("soc_percent", "power_kw") if c in series.columns] if "battery" in which else []
+    if diffs:
+        # the differences of heavy series are aggregated apart and joined
+        df = df.withColumns({_diff_name(c): F.lit(None).cast("double") for c in diffs}) if heavy else with_diffs(df, diffs, key)
     if "load_profile" in which:
         exprs += load_profile_exprs()
+        if not heavy:
+            exprs.append(F.percentile("load_kwh", F.array(*[F.lit(p / 100.0) for p in LOAD_PERCENTILES])).alias("_p"))
     if "battery" in which:
         exprs += battery_exprs()
     if "temporal" in which:
@@ -99,7 +110,17 @@ def extract_legacy(series: DataFrame, which=("load_profile", "battery", "tempora
         exprs += grid_exprs(series.columns)
     out = df.groupBy(key).agg(*exprs)
     if "load_profile" in which:
-        pct = distributed_percentiles(series, "load_kwh", LOAD_PERCENTILES, key)
-        out = out.join(pct.select(key, *[F.col(f"load_kwh_p{p}").alias(f"load_p{p}") for p in LOAD_PERCENTILES]),
-                       key, "left")
+        names = [f"load_p{p}" for p in LOAD_PERCENTILES]
+        if heavy:
+            pct = segmented_percentiles(series, {"load_kwh": LOAD_PERCENTILES}, key)
+            out = out.join(pct.select(key, *[F.col(f"__q_load_kwh_p{p}").alias(n) for p, n in zip(LOAD_PERCENTILES, names)]), key, "left")
+        else:
+            out = out.withColumns({n: F.get("_p", F.lit(i)) for i, n in enumerate(names)}).drop("_p")
+    if heavy and "battery" in which:
+        order = out.columns
+        soc = distributed_diff_stats(series, "soc_percent", key).select(key, (F.col("soc_percent__abs_diff_sum") / 200).alias("_cycles"))
+        power = distributed_diff_stats(series, "power_kw", key).select(key, F.col("power_kw__big_diffs").cast("double").alias("_reversals"))
+        out = out.join(soc, key, "left").join(power, key, "left") \
+            .withColumn("cycles_equivalent", F.coalesce("_cycles", "cycles_equivalent")) \
+            .withColumn("power_reversals", F.coalesce("_reversals", "power_reversals")).select(*order)
     return out

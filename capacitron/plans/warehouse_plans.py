@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import benefits as B
 from ..operators import warehouse as W
 from ..operators.lookup import prefix_lookup
+from ..operators.segments import differences
 from .common import Model, rounded
 from .model_sql import BASELINE, CLIENTS, CONFIGS, GRP, KPIS, RUNS, with_
 from .registry import register
@@ -369,7 +370,6 @@ def win_last_write_wins(spark, sf):
 SELECT user_id AS config_id, ts AS "timestamp",
        round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts), 4) AS load_diff FROM events""")
 def win_diff(spark, sf):
-    s = Model(spark, sf).series
-    w = Window.partitionBy("config_id").orderBy("timestamp")
-    return rounded(s.select("config_id", "timestamp",
-                            (F.col("load_kwh") - F.lag("load_kwh").over(w)).alias("load_diff")))
+    """Row differences; a long series is cut into time segments that overlap by a row."""
+    s = Model(spark, sf).series.select("config_id", "timestamp", "load_kwh")
+    return rounded(differences(s, "load_kwh", "load_diff").drop("load_kwh"))
