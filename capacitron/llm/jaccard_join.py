@@ -1,21 +1,27 @@
 """Exact Jaccard similarity join of shingle sets with pivots, windows and recursion.
 
 Jaccard distance is a metric, but between unrelated documents it is 1, so document pivots alone
-separate nothing.  The join therefore works on two levels, both exact:
+separate nothing.  The join therefore works on three levels; the last two make it exact:
 
+* Set pivots first.  Sets that agree in a band of two min-hashes form a cell, and the smallest
+  set of a cell is its pivot.  Every set is measured against the pivots of its cells, a few pairs
+  a set however large a cell is; the links found join near copies into groups.
 * Pivot shingles cut the space into regions.  All shingles have one global order, rare ones
   first (a fixed table of 65,536 bucket counts defines it).  A set belongs to the region of its
   first shingle and is replicated into every further region its partners' nearest pivot may be:
   if x and y are linked, at most a fifth of x lies outside y, so the window is the first
-  ``n - ceil(0.8 n) + 1`` shingles of a set of n.
-* In a region of many sets, sets themselves become pivots: every member is measured against a
-  few pivots, members within the radius are linked, and only members outside the region's
-  largest group go on to the next round as pivots.  Their known distances to an earlier pivot
-  exclude by the triangle inequality the members they cannot be linked with.
+  ``n - ceil(0.8 n) + 1`` shingles of a set of n.  A region whose members are one group already
+  is finished.  Elsewhere the members outside the region's largest group meet all others that
+  are not of their own group.
+* Where many members lie outside the largest group, sets become pivots again: a few of them are
+  measured against the whole region, members within the radius are linked, and only members
+  still outside go on to the next round.  Their known distances to an earlier pivot exclude by
+  the triangle inequality the members they cannot be linked with.
 
 Candidate pairs are first held against a lower bound of their symmetric difference (parity
-maps), the rest is counted exactly.  Equal sets are one node throughout.  Sets are identified
-by 64-bit hashes of their shingles and shingles by 64-bit hashes of their words.
+maps), the rest is counted exactly from the texts, which travel compressed, all pairs of one set
+together (in portions, if they are many).  Equal sets are one node throughout.  Sets are
+identified by 64-bit hashes of their shingles and shingles by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -29,11 +35,16 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import written
-from .shingles import BUCKETS, Shingler, bucket_counts, ordered, parity_distance, parity_map, set_id
+from .shingles import BUCKETS, Shingler, bucket_counts, min_hash_bands, ordered, parity_distance, parity_map, set_id
 
 WIDTH = 5
-#: A region of more members is joined by set pivots, ``PIVOTS`` in the first round, then more.
+#: A region with more pairs than this for each member is joined by set pivots, ``PIVOTS`` in the
+#: first round, then more.
 REGION, PIVOTS = 32, 16
+#: Bands of two min-hashes that make the cells of the first level.
+BANDS = 4
+#: Partners of one set that are verified together.
+PORTION = 512
 
 
 def _need(a, b):
@@ -44,23 +55,24 @@ def _need(a, b):
 # --- pass 1: nodes and bucket counts ----------------------------------------------------------
 
 def _nodes(width: int):
-    names = ["doc_id", "text_hash", "n", "node", "map", "counts"]
+    names = ["doc_id", "text_hash", "n", "node", "map", "cells", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(width), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            n, node, maps = [], [], []
+            n, node, maps, cells = [], [], [], []
             for text in batch.column("text"):
                 s = shingler(text.as_py())
                 counts += bucket_counts(s)
                 n.append(len(s))
                 node.append(set_id(s))
                 maps.append(parity_map(s))
+                cells.append(min_hash_bands(s, BANDS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                 pa.array(maps, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+                 pa.array(maps, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()),
+            [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())),
              pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
     return run
 
@@ -114,76 +126,30 @@ def _regions(held, width: int):
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of small regions; the members of large regions as they are (``b`` null and the
-    place in ``nb``).
-
-    Rows come sorted by region.  A region that goes on in the next batch is carried over; one
-    that has outgrown ``REGION`` is passed on row by row, so no region is ever held."""
-    carry, large = None, None
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["key", "a", "b", "na", "nb"])
-
-    def block(cols, last: bool):
-        nonlocal carry, large
-        key, node, n, place = cols
-        out = []
-        if large is not None:                                   # the rest of a large region
-            same = key == large
-            k = int(np.argmin(same)) if not same.all() else len(key)
-            out.append((key[:k], node[:k], None, n[:k], place[:k]))
-            key, node, n, place = key[k:], node[k:], n[k:], place[k:]
-            if len(key):
-                large = None
-        if len(key):
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, n, place = key[fresh], node[fresh], n[fresh], place[fresh]
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            size = np.diff(cut)
-            if not last:
-                if size[-1] > REGION:
-                    large = key[-1]
-                else:
-                    carry = tuple(c[cut[-2]:] for c in (key, node, n, place))
-                    key, node, n, place = (c[:cut[-2]] for c in (key, node, n, place))
-                    cut, size = cut[:-1], size[:-1]
-            each = np.repeat(size, size)
-            big = each > REGION
-            if big.any():
-                out.append((key[big], node[big], None, n[big], place[big]))
-            for off in range(1, REGION):
-                i = np.flatnonzero((key[off:] == key[:-off]) & ~big[off:]) if len(key) > off else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                j = i + off
-                a, b = n[i].astype(np.int64), n[j].astype(np.int64)
-                ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) \
-                    & (np.minimum(a - place[i], b - place[j]) >= _need(a, b))
-                i, j = i[ok], j[ok]
-                out.append((key[i], node[i], node[j], n[i], n[j]))
-        for key, x, y, nx, ny in out:
-            if len(key):
-                if y is None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(nx, pa.int64()),
-                         pa.array(ny, pa.int64())], names=empty.schema.names)
-                else:
-                    swap = x > y
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.where(swap, y, x)), pa.array(np.where(swap, x, y)),
-                         pa.array(np.where(swap, ny, nx), pa.int64()), pa.array(np.where(swap, nx, ny), pa.int64())],
-                        names=empty.schema.names)
-
+def _shared_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of regions with more than one.  Rows come sorted by region and set; equal ones are
+    one.  The last row of a batch waits for the next one, no region is held."""
+    held, known, last = None, None, None
     for batch in batches:
-        cols = tuple(batch.column(c).to_numpy() for c in ("key", "node", "n", "place"))
-        if carry is not None:
-            cols = tuple(np.concatenate(x) for x in zip(carry, cols))
-            carry = None
-        if len(cols[0]):
-            yield from block(cols, False)
-    if carry is not None:
-        cols, carry = carry, None
-        yield from block(cols, True)
+        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        new[0] = last != (key[0], node[0])
+        last = (key[-1], node[-1])
+        batch = batch.filter(pa.array(new))
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column("key").to_numpy()
+        same = np.concatenate(([key[0] == known], key[1:] == key[:-1], [False]))
+        keep = same[1:] | same[:-1]
+        cut = len(key) if keep[-1] else len(key) - 1
+        held = batch.slice(cut) if cut < len(key) else None
+        known = key[-1] if keep[-1] else None
+        yield batch.slice(0, cut).filter(pa.array(keep[:cut]))
 
 
 # --- verification -------------------------------------------------------------------------------
@@ -198,80 +164,132 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "na", "nb", "bound", "ok"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        both = []
-        for x, y in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())],
-                                         names=["a", "b", "na", "nb", "shared"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([pack(t.as_buffer()) for t in batch.column("text")], pa.binary())],
+            names=["doc_id", "text_hash", "zip"])
 
 
-def _set_rows(width: int):
+def _intersections(width: int):
+    """Shared shingles of each set with the one that leads its portion (``b`` null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        import zstandard
+        unpack, shingler, lead = zstandard.ZstdDecompressor().decompress, Shingler(width), None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([shingler(t.as_py()).astype("<u8").tobytes() for t in batch.column("text")], pa.binary())],
-                names=["node", "shingles"])
+            rows = []
+            for a, b, na, nb, value in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "zip"))):
+                s = shingler(unpack(value).decode())
+                if b is None:
+                    lead = s
+                    continue
+                at = np.minimum(np.searchsorted(lead, s), len(lead) - 1)
+                rows.append((a, b, na, nb, int((lead[at] == s).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)],
+                                             names=["a", "b", "na", "nb", "shared"])
     return run
 
 
 class _Measure:
-    """Exact intersections of candidate pairs."""
-
-    def __init__(self, rows: DataFrame, nodes: DataFrame, maps: DataFrame, width: int):
-        self.rows, self.maps, self.width = rows, maps, width
-        self.holder = nodes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node") \
-            .agg(F.min(F.struct("doc_id", "text_hash")).alias("_d")).select("node", "_d.*")
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """The shingles of some nodes, from the texts of one holder each."""
-        texts = self.rows.join(nodes.select("node").distinct().join(self.holder, "node"), ["doc_id", "text_hash"])
-        return written(texts.select("node", "text").mapInArrow(_set_rows(self.width), "node long, shingles binary")
-                       .dropDuplicates(["node"]), "sets")
-
-    def __call__(self, pairs: DataFrame, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Lower bounds of the symmetric difference of all pairs (``a, b, na, nb, bound, ok``),
-        and ``a, b, na, nb, shared`` of the pairs that the bound does not exclude."""
-        m = self.maps
+    """Bounds and exact intersections of candidate pairs ``a, b, na, nb``."""
+
+    def __init__(self, rows: DataFrame, sets: DataFrame, width: int):
+        self.rows, self.sets, self.width = rows, sets, width
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """``node, zip``: the text of one holder of each of some sets."""
+        holders = self.sets.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+        packed = self.rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_zip, "doc_id long, text_hash long, zip binary")
+        return written(packed.join(holders, ["doc_id", "text_hash"]).select("node", "zip").dropDuplicates(["node"]), "texts")
+
+    def bounds(self, pairs: DataFrame) -> DataFrame:
+        """Lower bounds of the symmetric differences, and whether a pair may be linked (``ok``)."""
+        m = self.sets
         some = pairs.join(m.select(F.col("node").alias("a"), F.col("map").alias("ma")), "a") \
             .join(m.select(F.col("node").alias("b"), F.col("map").alias("mb")), "b")
-        bounds = written(some.mapInArrow(_plausible, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
-        some = bounds.where("ok").drop("bound", "ok")
-        if sets is None:
-            sets = self.sets(some.select(F.explode(F.array("a", "b")).alias("node")))
-        full = some.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a") \
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return bounds, written(full.mapInArrow(_shared, "a long, b long, na long, nb long, shared long"), "measured")
+        return written(some.mapInArrow(_plausible, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
+
+    def exact(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """``a, b, na, nb, shared``; the partners of a set in portions, each behind that set's text."""
+        if texts is None:
+            texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        many = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), "partners")
+        dealt = pairs.join(many, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.expr(f"1 + _n div {PORTION}")).cast("int")).drop("_n")
+        partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "_part", "b", "na", "nb", "zip")
+        null = F.lit(None).cast("long")
+        leads = dealt.select("a", "_part").distinct().join(texts.withColumnRenamed("node", "a"), "a") \
+            .select("a", "_part", null.alias("b"), null.alias("na"), null.alias("nb"), "zip")
+        together = leads.union(partners).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
+        return written(together.select("a", "b", "na", "nb", "zip").mapInArrow(
+            _intersections(self.width), "a long, b long, na long, nb long, shared long"), "measured")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        return self.exact(self.bounds(pairs).where("ok").drop("bound", "ok")).where(_LINKED).select("a", "b")
 
 
 _LINKED = "100 * shared >= 80 * (na + nb - shared)"
 
 
+_NEAR_SIZE = "5 * least(na, nb) >= 4 * greatest(na, nb)"
+
+
+def _ordered_pair() -> list:
+    """``a < b`` with their sizes, from ``node, n`` and ``p, np``."""
+    return [F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"),
+            F.expr("CASE WHEN node < p THEN n ELSE np END").alias("na"), F.expr("CASE WHEN node < p THEN np ELSE n END").alias("nb")]
+
+
+def _near_pivots(sets: DataFrame, measure: _Measure) -> DataFrame:
+    """Links of sets with the pivots (smallest sets) of their min-hash cells."""
+    cells = sets.select("node", "n", F.explode("cells").alias("cell"))
+    pivot = written(cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                    .select("cell", F.col("p.node").alias("p"), F.col("p.n").alias("np")), "cell-pivots")
+    pairs = cells.join(pivot, "cell").where("node <> p").select(*_ordered_pair()).where(_NEAR_SIZE).distinct()
+    return written(measure.links(pairs), "near-links")
+
+
+def _between_groups(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the regions that hold more than one group (by the links so far): ``key, node, n,
+    place``, their group, the region's largest group, and whether few pairs are left in it."""
+    group = connected_components(links, "a", "b")
+    named = shared.join(group.withColumnRenamed("component", "_g"), "node", "left").withColumn("_g", F.coalesce("_g", "node"))
+    size = named.groupBy("key", "_g").agg(F.count(F.lit(1)).alias("_c"))
+    region = size.groupBy("key").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"),
+                                     F.max_by("_g", F.struct("_c", "_g")).alias("_most")).where("_m * _m > _q")
+    region = written(region.select("key", "_most", F.expr(f"_m * _m - _q <= 2 * {REGION} * _m").alias("_few")), "open-regions")
+    return written(named.join(region, "key"), "open-members")
+
+
+def _few_pairs(members: DataFrame) -> DataFrame:
+    """Pairs across groups in regions with few of them: members outside the largest group with all
+    members of other groups.  A linked pair's first common region passes the place test."""
+    few = members.where("_few")
+    other = few.select("key", F.col("node").alias("p"), F.col("n").alias("np"), F.col("place").alias("_pp"), F.col("_g").alias("_pg"))
+    met = few.where("_g <> _most").join(other, "key").where("_g <> _pg AND (_pg = _most OR node < p)") \
+        .where("5 * least(n, np) >= 4 * greatest(n, np) AND least(n - place, np - _pp) >= (4 * (n + np) + 8) div 9")
+    return met.select(*_ordered_pair()).distinct()
+
+
 def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> DataFrame:
-    """Links inside large regions, found by rounds of set pivots.
+    """Links inside regions with many pairs between groups, found by rounds of set pivots.
 
     A member that has been a pivot has met the whole region.  Members of the region's largest
     group (by the links so far) need not meet each other.  So a region is finished when every
     other member has been a pivot."""
     if members.isEmpty():
         return links
-    sets = measure.sets(members)                               # texts are read once for all rounds
+    texts = measure.texts(members)                             # texts are read once for all rounds
     done, pivots_now = None, PIVOTS
     first = None                           # (key, node, low, high): bounds of the distance to the first pivot
     while True:
-        if done is None:
-            left = members
-        else:
-            group = connected_components(links, "a", "b")
-            named = members.join(group.withColumnRenamed("component", "_g"), "node", "left") \
-                .withColumn("_g", F.coalesce("_g", "node"))
-            most = named.groupBy("key", "_g").count().groupBy("key").agg(F.max_by("_g", F.struct("count", "_g")).alias("_most"))
-            left = written(named.join(most, "key").where("_g <> _most").select("key", "node", "n", "place")
-                           .join(done, ["key", "node"], "left_anti"), "left")
+        group = connected_components(links, "a", "b")
+        named = members.join(group.withColumnRenamed("component", "_g"), "node", "left") \
+            .withColumn("_g", F.coalesce("_g", "node"))
+        most = named.groupBy("key", "_g").count().groupBy("key").agg(F.max_by("_g", F.struct("count", "_g")).alias("_most"))
+        left = named.join(most, "key").where("_g <> _most").select("key", "node", "n", "place")
+        left = written(left if done is None else left.join(done, ["key", "node"], "left_anti"), "left")
         if left.isEmpty():
             return links
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
@@ -285,11 +303,8 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
             met = met.join(first.selectExpr("key", "node", "low AS _xl", "high AS _xh"), ["key", "node"], "left") \
                 .join(first.selectExpr("key", "node AS p", "low AS _yl", "high AS _yh"), ["key", "p"], "left") \
                 .where("_xl IS NULL OR _yl IS NULL OR (_xl <= _yh + 0.2 + 1e-9 AND _yl <= _xh + 0.2 + 1e-9)")
-        pairs = met.select(
-            F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"),
-            F.expr("CASE WHEN node < p THEN n ELSE np END").alias("na"),
-            F.expr("CASE WHEN node < p THEN np ELSE n END").alias("nb")).distinct()
-        bounds, measured = measure(pairs, sets)
+        bounds = measure.bounds(met.select(*_ordered_pair()).distinct())
+        measured = measure.exact(bounds.where("ok").drop("bound", "ok"), texts)
         if first is None:
             # distances to the first pivot of each region: exact, or at least a lower bound
             exact = measured.selectExpr("a", "b", "1 - shared / (na + nb - shared) AS d")
@@ -312,22 +327,24 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                        F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, text_hash long, n long, node long, map binary, counts binary"
+    schema = "doc_id long, text_hash long, n long, node long, map binary, cells array<long>, counts binary"
     first = written(rows.mapInArrow(_nodes(width), schema), "nodes")
-    nodes = first.where("counts IS NULL").drop("counts", "map")
+    nodes = first.where("counts IS NULL").select("doc_id", "text_hash", "n", "node")
     rank = _bucket_ranks(first.where("counts IS NOT NULL").select("counts"))
     held = spark.sparkContext.broadcast(rank.astype("<u8").tobytes())      # 512 KB at any size
-    maps = first.where("n > 0 AND doc_id IS NOT NULL").select("node", "map").dropDuplicates(["node"])
-    joined = rows.where("doc_id IS NOT NULL").select("text") \
+    # equal sets have equal maps and cells, so any of them will do; the holder is fixed
+    sets = first.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("map").alias("map"), F.first("cells").alias("cells"), F.min(F.struct("doc_id", "text_hash")).alias("_d"))
+    sets = written(sets.select("node", "n", "map", "cells", "_d.*"), "sets")
+    measure = _Measure(rows, sets, width)
+    links = _near_pivots(sets, measure)
+    regions = rows.where("doc_id IS NOT NULL").select("text") \
         .mapInArrow(_regions(held, width), "key long, node long, n int, place int") \
         .repartition("key").sortWithinPartitions("key", "node")
-    found = written(joined.mapInArrow(_pairs, "key long, a long, b long, na long, nb long"), "regions")
-    measure = _Measure(rows, nodes, maps, width)
-    _, measured = measure(found.where("b IS NOT NULL").select("a", "b", "na", "nb").distinct())
-    links = written(measured.where(_LINKED).select("a", "b"), "links")
-    large = found.where("b IS NULL").select("key", F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("place")).distinct()
-    large = written(large, "large-regions")
-    links = _large_regions(large, links, measure)
+    shared = written(regions.mapInArrow(_shared_regions, "key long, node long, n int, place int"), "regions")
+    members = _between_groups(shared, links)
+    links = written(links.union(measure.links(_few_pairs(members))).distinct(), "links")
+    links = _large_regions(members.where("NOT _few").select("key", "node", "n", "place"), links, measure)
     return nodes, connected_components(links, "a", "b")
 
 

@@ -52,6 +52,16 @@ def set_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def min_hash_bands(shingles: np.ndarray, bands: int) -> list[int]:
+    """Numbers that near sets often share: each mixes two min-hashes (none for the empty set)."""
+    if not len(shingles):
+        return []
+    with np.errstate(over="ignore"):
+        least = [_mix(shingles * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() for k in range(1, 2 * bands + 1)]
+        return [int((_mix(x * np.uint64(0xBF58476D1CE4E5B9) + y) ^ np.uint64(k)).view(np.int64))
+                for k, (x, y) in enumerate(zip(least[::2], least[1::2]))]
+
+
 def bucket_counts(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
 

@@ -41,9 +41,12 @@ def components(docs):
 
 @pytest.mark.parametrize("region", [32, 2])
 def test_jaccard_join(spark, monkeypatch, region):
-    """With a tiny region size nearly every region goes through the rounds of set pivots."""
+    """With a tiny region size nearly every region goes through the rounds of set pivots; one band
+    of min-hashes leaves many links to the regions."""
     monkeypatch.setattr(jaccard_join, "REGION", region)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 1 if region == 2 else 8)
+    monkeypatch.setattr(jaccard_join, "BANDS", 1 if region == 2 else 4)
+    monkeypatch.setattr(jaccard_join, "PORTION", 2)
     docs = fx.rows()[0] + [(None, "one two three four", "", "", 0)]
     got = jaccard_join.near_duplicates(fx.frame(spark, docs, clash=True)).drop("text_hash")
     assert bag(got.collect()) == bag(components(docs))
