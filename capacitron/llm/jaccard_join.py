@@ -238,7 +238,8 @@ _NEAR_SIZE = "5 * least(na, nb) >= 4 * greatest(na, nb)"
 def _ordered_pair() -> list:
     """``a < b`` with their sizes, from ``node, n`` and ``p, np``."""
     return [F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"),
-            F.expr("CASE WHEN node < p THEN n ELSE np END").alias("na"), F.expr("CASE WHEN node < p THEN np ELSE n END").alias("nb")]
+            F.expr("CASE WHEN node < p THEN n ELSE np END").cast("long").alias("na"),
+            F.expr("CASE WHEN node < p THEN np ELSE n END").cast("long").alias("nb")]
 
 
 def _near_pivots(sets: DataFrame, measure: _Measure) -> DataFrame:

@@ -204,7 +204,8 @@ def encode_documents(docs: DataFrame, model: str, keep=("doc_id",)) -> DataFrame
 
 
 def decode_documents(encoded: DataFrame, model: str, keep=("doc_id",)) -> DataFrame:
-    """The kept columns and the ``text`` of every ``ids`` array (null ids: null text)."""
+    """The kept columns (``ids`` may be one) and the ``text`` of every ``ids`` array (null ids: null
+    text)."""
     held = _hold(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +215,8 @@ def decode_documents(encoded: DataFrame, model: str, keep=("doc_id",)) -> DataFr
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())],
                                              names=[*keep, "text"])
 
-    rows = encoded.select(*keep, "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
+    rows = encoded.select(*dict.fromkeys([*keep, "ids"]))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{schema}, text string")
 
 
