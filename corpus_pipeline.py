@@ -41,10 +41,15 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_pieces, ids`` of every document; a null text has no pieces."""
-    keep = ["doc_id", "source"]
-    pieces = _piece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep)
-    return pieces.select(*keep, F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """``doc_id, source, n_pieces, ids, restored`` of every document: its pieces, and whether the
+    text decoded from them is the document's; a null text has no pieces."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "source", "text", F.xxhash64(text).alias("_hash"))
+    pieces = _piece_codec.encode_documents(rows, model, ["doc_id", "source", "_hash"])
+    both = _piece_codec.decode_documents(pieces, model, ["doc_id", "source", "_hash", "ids"])
+    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids",
+                       (F.xxhash64("text") == F.col("_hash")).alias("restored"))
 
 
 STAGES = [
