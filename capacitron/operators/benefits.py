@@ -39,12 +39,12 @@ class Benefit:
 
 DEFAULT_BENEFITS = (
     Benefit("peak_shaving_benefit", ("annual_total_grid_fee_cost_ic",),
-            description="Reduction in total grid fee costs from peak shaving"),
+            description="Grid fees saved per year by cutting load peaks"),
     Benefit("energy_procurement_optimization", ("annual_total_energy_trade_cost_da",),
-            description="Savings from optimized day-ahead energy procurement"),
+            description="Purchase costs saved per year on the day-ahead market"),
     Benefit("trading_revenue", ("annual_total_energy_trade_cost_ia",
                                 "annual_total_energy_trade_cost_ic"),
-            description="Revenue from intraday and imbalance/continuous trading"),
+            description="Yearly gain of intraday auction and continuous trades"),
 )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import benefits as B
+from ..operators.snapshots import SnapshotTable
+from ..session import scratch_path
 from .common import Model, rounded
 from .model_sql import (BASELINE, BENEFIT_CTES, CLIENTS, CONFIGS, GRP, KPIS, RUNS, WIDE,
                         with_)
@@ -158,15 +162,20 @@ SELECT * FROM (
   UNION ALL SELECT config_id, 'trading_revenue', round(trading_revenue, 4), 'EUR/year' FROM benefits)
 WHERE kpi_value IS NOT NULL""")
 def bn_save(spark, sf):
-    """Benefits as KPI rows, upserted into the KPI store on (config_id, kpi_name)."""
-    from ..operators.warehouse import upsert
+    """Benefits as KPI rows, merged into a stored KPI table on (config_id, kpi_name) and read back.
+
+    The merge is run twice, as a job that is started again would: the second finds nothing to
+    change and writes nothing."""
     m = Model(spark, sf)
+    run = uuid.uuid4().hex
     rows = B.benefits_as_kpis(B.benefits(m.configs, m.kpis))
-    # upsert into the store; the new rows are exactly the benefit rows
-    store = m.kpis.select("config_id", "kpi_name", "kpi_value", "kpi_unit")
-    merged = upsert(store, rows, ["config_id", "kpi_name"])
-    out = merged.join(rows.select("config_id", "kpi_name"), ["config_id", "kpi_name"], "left_semi")
-    return rounded(out)
+    rows.write.parquet(scratch_path(spark, f"benefit-rows-{run}"))
+    rows = spark.read.schema(rows.schema).parquet(scratch_path(spark, f"benefit-rows-{run}"))
+    store = SnapshotTable(spark, scratch_path(spark, f"kpi-store-{run}"), ["config_id", "kpi_name"])
+    store.merge(m.kpis.select("config_id", "kpi_name", "kpi_value", "kpi_unit"))
+    store.merge(rows)
+    store.merge(rows)
+    return rounded(store.read().where(F.col("kpi_name").isin(B.BenefitBook().names)))
 
 
 @register("set_union_runs", with_(*BENEFIT_CTES) + """

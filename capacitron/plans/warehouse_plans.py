@@ -3,13 +3,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import benefits as B
 from ..operators import warehouse as W
 from ..operators.lookup import prefix_lookup
 from ..operators.segments import differences
+from ..operators.snapshots import SnapshotTable
+from ..session import scratch_path
 from .common import Model, rounded
 from .model_sql import BASELINE, CLIENTS, CONFIGS, GRP, KPIS, RUNS, with_
 from .registry import register
@@ -305,11 +308,16 @@ WHERE kpi_name <> 'annual_total_energy_trade_cost_ia'
 UNION ALL
 SELECT config_id, kpi_name, round(kpi_value * 1.19, 6) FROM kpis WHERE kpi_name = 'annual_total_energy_trade_cost_ia'""")
 def set_upsert_kpi(spark, sf):
-    """INSERT ... ON CONFLICT (config_id, kpi_name) DO UPDATE as anti-join + union."""
+    """INSERT ... ON CONFLICT (config_id, kpi_name) DO UPDATE as a merge into a stored table, read
+    back after it was made whole again."""
     k = Model(spark, sf).kpis.select("config_id", "kpi_name", "kpi_value")
     new = (k.filter(F.col("kpi_name") == "annual_total_energy_trade_cost_ia")
            .withColumn("kpi_value", F.col("kpi_value") * 1.19))
-    return rounded(W.upsert(k, new, ["config_id", "kpi_name"]), 6)
+    store = SnapshotTable(spark, scratch_path(spark, f"kpi-store-{uuid.uuid4().hex}"), ["config_id", "kpi_name"])
+    store.merge(k)
+    store.merge(new)
+    store.compact()
+    return rounded(store.read(), 6)
 
 
 @register("set_insert_ignore", """
