@@ -130,22 +130,16 @@ def _matrix(spark, sf):
     return FT.matrix(m.configs, m.kpis, m.runs, m.clients, m.series)
 
 
-_STORED: dict = {}
-
-
 def _stored_matrix(spark, sf):
-    """The feature matrix as written by the extraction step (feature store snapshot),
-    materialised once per scale-factor directory; model queries train from it."""
-    import hashlib
-    from ..sources.files import exists, touch
-    key = (id(spark), sf)
-    if key not in _STORED:
-        root = scratch_path(spark, "matrix-" + hashlib.sha1(sf.encode()).hexdigest()[:10])
-        if not exists(root, "_SUCCESS"):
-            _matrix(spark, sf).write.mode("overwrite").parquet(f"{root}/data")
-            touch(root, "_SUCCESS")
-        _STORED[key] = spark.read.parquet(f"{root}/data")
-    return _STORED[key]
+    """The feature matrix as written by the extraction step (feature store snapshot), once for
+    each state of the driver tables; model queries train from it."""
+    from ..sources import tables as T
+    from ..sources.files import exists, memo, touch
+    root = scratch_path(spark, "matrix-" + T.tag(spark, sf))
+    if not exists(root, "_SUCCESS"):
+        _matrix(spark, sf).write.mode("overwrite").parquet(f"{root}/data")
+        touch(root, "_SUCCESS")
+    return memo(spark, ("matrix", root), lambda: spark.read.parquet(f"{root}/data"))
 
 
 register("ft_matrix", _MATRIX_SQL + "SELECT config_id, client_name, run_name, config_name, "

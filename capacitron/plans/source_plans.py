@@ -44,7 +44,7 @@ register("src_config_flatten")(lambda spark, sf: TR.flatten_documents(TR.params_
 register("src_load_file")(lambda spark, sf: U.load_files(spark, _up(spark, sf) + "/load"))
 register("flt_required_columns")(lambda spark, sf: U.invalid_files(spark, _up(spark, sf) + "/load", "load").unionByName(
     U.invalid_files(spark, _up(spark, sf) + "/preprocessed", "preprocessed")))
-register("src_register_csv")(lambda spark, sf: U.register(spark, _up(spark, sf) + "/register/netzbetreiber.csv"))
+register("src_register_csv")(lambda spark, sf: U.register(spark, _up(spark, sf) + "/register/netzbetreiber"))
 register("src_latest_file")(lambda spark, sf: U.latest_file(spark, _up(spark, sf) + "/preprocessed"))
 
 register("src_table_scan", with_(CLIENTS) + "SELECT client_id, client_name, description FROM clients")(

@@ -8,6 +8,8 @@ roots work).  No group is ever materialised; a retried task rewrites its files.
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,31 @@ def _fs(root: str):
     return pafs.LocalFileSystem(), root
 
 
+def fingerprint(spark, path: str) -> str:
+    """A hash of the names, sizes and times of the files under a path: what is stored or remembered
+    under it is used again only while the files are the same."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return "none"
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
+_MEMO: dict = {}
+
+
+def memo(spark, key: tuple, build):
+    """What ``build()`` gave for a key in this application (plans and small models, never data)."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def exists(root: str, rel: str) -> bool:
     import pyarrow.fs as pafs
     fs, base = _fs(root)
@@ -76,23 +103,10 @@ def relative_path(c, root: str) -> "F.Column":
     return F.regexp_replace(c, "^.*?" + _re_escape(base) + "/", "")
 
 
-_LISTINGS: dict = {}
-
-
 def list_files(spark, root: str, glob: str | None = None) -> DataFrame:
     """(path, rel, parts, name, modification_time, length) of every file under root.
 
-    Only path metadata is selected, so the binary content is pruned from the scan.  The
-    listing (a lazy DataFrame whose file index is built once) is memoised per session,
-    root and glob: trees written here are immutable once published.
-    """
-    key = (id(spark), root, glob)
-    if key not in _LISTINGS:
-        _LISTINGS[key] = _list_files(spark, root, glob)
-    return _LISTINGS[key]
-
-
-def _list_files(spark, root: str, glob: str | None = None) -> DataFrame:
+    Only path metadata is selected, so the binary content is pruned from the scan."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)

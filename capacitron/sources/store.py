@@ -10,19 +10,17 @@ data for config filters.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import tables as T
-from .files import exists, touch
+from .files import exists, memo, touch
 
 MODEL_TABLES = ("clients", "runs", "battery_configs", "kpi_summary")
 
 
 def model_root(spark, sf_dir: str) -> str:
-    return scratch_path(spark, "model-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10])
+    return scratch_path(spark, "model-" + T.tag(spark, sf_dir))
 
 
 def materialize_model(spark, sf_dir: str) -> str:
@@ -43,13 +41,8 @@ def materialize_model(spark, sf_dir: str) -> str:
     return root
 
 
-_READERS: dict = {}
-
-
 def read_model(spark, sf_dir: str, table: str):
-    """Lazy reader of a stored warehouse table (memoised plan per session and table)."""
+    """Lazy reader of a stored warehouse table; the tables follow the driver tables' files."""
     assert table in MODEL_TABLES, table
-    key = (id(spark), sf_dir, table)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(f"{materialize_model(spark, sf_dir)}/{table}")
-    return _READERS[key]
+    root = materialize_model(spark, sf_dir)
+    return memo(spark, ("model", root, table), lambda: spark.read.parquet(f"{root}/{table}"))

@@ -19,11 +19,14 @@ The matching DuckDB CTEs live in :mod:`capacitron.plans.model_sql`.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import fingerprint, memo
+
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events "
                  "documents embeddings pages benchmark labels conversations").split()
 
@@ -31,6 +34,7 @@ DRIVER_TABLES = ("region nation customer supplier part orders lineitem events "
 BASELINE_LINE = 1          # l_linenumber flagged as the no-battery configuration
 UNPARSABLE_LINE = 7        # configuration with an unparsable name and no `_ic` KPI
 MISSING_SERIES_LINE = 5    # configuration whose time-series file is missing
+SOURCE_TABLES = ("customer", "orders", "lineitem", "events", "supplier", "part", "nation", "region")
 KPI_NAMES = (
     "annual_total_grid_fee_cost_ic",
     "annual_total_energy_trade_cost_da",
@@ -39,17 +43,17 @@ KPI_NAMES = (
 )
 
 
-_READERS: dict = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy reader of one driver table.  The DataFrame (a plan, not data) is memoised
-    per session and path so repeated plan building skips file listing and footers."""
+    """Lazy reader of one driver table.  The DataFrame (a plan, not data) is remembered while the
+    table's files are the same, so repeated plan building skips footers."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    return memo(spark, ("table", path, fingerprint(spark, path)), lambda: spark.read.parquet(path))
+
+
+def tag(spark: SparkSession, sf_dir: str) -> str:
+    """A name for what is derived from the model's driver tables as they are now."""
+    parts = [fingerprint(spark, os.path.join(sf_dir, f"{t}.parquet")) for t in SOURCE_TABLES]
+    return hashlib.sha1(" ".join([sf_dir, *parts]).encode()).hexdigest()[:12]
 
 
 def clients(spark, sf_dir) -> DataFrame:

@@ -6,21 +6,21 @@ Layout (reference): ``Client/Run/Input/{parameters.json|load_config*.yml}`` and
 
 ``materialize_tree`` writes such a tree under the shared scratch folder from the
 driver tables (one KPI sheet per configuration, one series file per configuration of a
-client with load data, a parameters document per run), once per scale-factor
-directory.  The walkers only list paths (``binaryFile`` with content pruned) and parse
+client with load data, with its share of the client's readings, and a parameters document
+per run), once for each state of those tables.  The walkers only list paths (``binaryFile`` with content pruned) and parse
 components with regular expressions; sheets and series are read with the CSV source
 over the whole glob, with ``_metadata.file_path`` naming the configuration.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.ranking import ranked
 from ..session import scratch_path
 from . import headers as H
 from . import tables as T
@@ -32,8 +32,7 @@ PARAM_FILES = ["parameters.json", "config.json", "params.json"]   # priority ord
 
 
 def tree_root(spark, sf_dir: str) -> str:
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-    return scratch_path(spark, f"result-tree-{tag}")
+    return scratch_path(spark, f"result-tree-{T.tag(spark, sf_dir)}")
 
 
 def _fmt(c):
@@ -85,13 +84,15 @@ def materialize_tree(spark, sf_dir: str, root: str | None = None) -> str:
     junk = c.filter(F.col("is_baseline")).select(
         F.col("kpi_path").alias("path"), F.lit((1 << 30) + 1).alias("seq"),
         F.when(variant_b, F.lit("status,False")).otherwise(F.lit("status,['none'],")).alias("line"))
-    # series files: every configuration of a client that has load data
+    # series files: the readings of a client are dealt out among its configurations
     ser = T.series_events(spark, sf_dir).withColumnRenamed("config_id", "client_id")
     sc = c.select("client_id", "config_id", F.concat("run_path", F.lit("/Output/flex_timeseries_outputs_"),
                                                      F.col("config_name"), F.lit(".csv")).alias("path"))
-    sh = sc.join(ser.select("client_id").distinct(), "client_id").select(
-        "path", F.lit(0).alias("seq"), F.lit(SERIES_HEADER).alias("line"))
-    sl = sc.join(ser, "client_id").select(
+    sc = ranked(sc.join(ser.select("client_id").distinct(), "client_id"), ["config_id"], "place", ["client_id"])
+    sh = sc.select("path", F.lit(0).alias("seq"), F.lit(SERIES_HEADER).alias("line"))
+    dealt = ser.join(sc.groupBy("client_id").agg(F.count("*").alias("n_configs")), "client_id") \
+        .withColumn("place", F.pmod(F.xxhash64("timestamp"), F.col("n_configs")))
+    sl = dealt.join(sc.select("client_id", "place", "path"), ["client_id", "place"]).select(
         "path", (F.unix_micros(F.col("timestamp").cast("timestamp")) - 1704067200000000).alias("seq"),
         F.concat_ws(",", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), _fmt("load_kwh"), _fmt("generation_kwh"),
                     _fmt("soc_percent"), _fmt("power_kw"), _fmt("grid_import_kwh"), _fmt("grid_export_kwh")).alias("line"))

@@ -5,8 +5,6 @@ driver tables, under the shared scratch folder once per scale-factor directory."
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ REGISTER_COLUMNS = ["plz", "netzbetreiber", "ort", "bdew_code"]
 
 
 def uploads_root(spark, sf_dir: str) -> str:
-    return scratch_path(spark, "uploads-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:10])
+    return scratch_path(spark, "uploads-" + T.tag(spark, sf_dir))
 
 
 def materialize_uploads(spark, sf_dir: str, root: str | None = None) -> str:
@@ -55,12 +53,12 @@ def materialize_uploads(spark, sf_dir: str, root: str | None = None) -> str:
                                    *[F.col(c).cast("string") for c in ("grid_load_kwh", "consumption_kwh", "pv_load_kwh")]
                                    ).alias("line"))
     part = T.read(spark, sf_dir, "part")
-    rh = part.limit(1).select(F.lit("register/netzbetreiber.csv").alias("path"), F.lit(-1).cast("long").alias("seq"),
-                              F.lit(" PLZ ; Netzbetreiber ;Ort; BDEW_Code ").alias("line"))
-    rb = part.select(F.lit("register/netzbetreiber.csv").alias("path"), F.col("p_partkey").alias("seq"),
-                     F.concat_ws(";", F.regexp_replace("p_brand", "Brand#", ""), "p_name", "p_type",
-                                 F.col("p_partkey").cast("string")).alias("line"))
-    write_text_files(header.unionByName(body).unionByName(ph).unionByName(pb).unionByName(rh).unionByName(rb), root)
+    # the register: as many part files as Spark writes, each with the header
+    part.select(F.regexp_replace("p_brand", "Brand#", "").alias(" PLZ "), F.col("p_name").alias(" Netzbetreiber "),
+                F.col("p_type").alias("Ort"), F.col("p_partkey").alias(" BDEW_Code ")).write.mode("overwrite") \
+        .option("header", "true").option("sep", ";").option("ignoreLeadingWhiteSpace", "false") \
+        .option("ignoreTrailingWhiteSpace", "false").csv(f"{root}/register/netzbetreiber")
+    write_text_files(header.unionByName(body).unionByName(ph).unionByName(pb), root)
     touch(root, "_SUCCESS")
     return root
 

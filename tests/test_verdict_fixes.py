@@ -66,9 +66,26 @@ def test_no_fold_is_empty(spark, n):
 
 @pytest.mark.parametrize("query", ["ml_train_ridge", "ml_permutation"])
 def test_every_target_is_trained(spark, query):
-    from capacitron.plans import mllib_plans as MP
+    from capacitron.plans import ml_plans as MP
     got = getattr(MP, query)(spark, "/root/testdata/sf0.001")
-    assert {r.target for r in got.select("target").distinct().collect()} == set(MP.TARGETS)
+    assert {r.target for r in got.select("target").distinct().collect()} == set(MP.MODELS)
+
+
+def test_stored_tables_follow_their_source(spark, tmp_path):
+    """Another state of a table gives another store; the same state the same one."""
+    import os
+    import shutil
+
+    from capacitron.sources import tables as T
+    for t in T.SOURCE_TABLES:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    one = T.tag(spark, str(tmp_path))
+    assert T.tag(spark, str(tmp_path)) == one and T.read(spark, str(tmp_path), "customer").count() == 150
+    os.utime(f"{tmp_path}/orders.parquet", (1, 1))
+    two = T.tag(spark, str(tmp_path))
+    shutil.copy("/root/testdata/sf0.01/customer.parquet", tmp_path)
+    assert len({one, two, T.tag(spark, str(tmp_path))}) == 3
+    assert T.read(spark, str(tmp_path), "customer").count() == 1500
 
 
 @pytest.mark.parametrize("query", ["ml_train_gbt", "ml_importance", "ml_interval", "dx_model_types"])
