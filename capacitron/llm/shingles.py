@@ -56,10 +56,9 @@ def min_hash_bands(shingles: np.ndarray, bands: int) -> list[int]:
     """Numbers that near sets often share: each mixes two min-hashes (none for the empty set)."""
     if not len(shingles):
         return []
-    with np.errstate(over="ignore"):
-        least = [_mix(shingles * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() for k in range(1, 2 * bands + 1)]
-        return [int((_mix(x * np.uint64(0xBF58476D1CE4E5B9) + y) ^ np.uint64(k)).view(np.int64))
-                for k, (x, y) in enumerate(zip(least[::2], least[1::2]))]
+    factors = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C14) | np.uint64(1)
+    least = (shingles * factors[:, None]).min(axis=1)          # an odd factor permutes the numbers
+    return (_mix(least[::2] * np.uint64(0xBF58476D1CE4E5B9) + least[1::2]) + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
 
 
 def bucket_counts(shingles: np.ndarray) -> np.ndarray:
