@@ -5,12 +5,9 @@ Two families:
 * MLlib pipelines (``Imputer`` -> ``VectorAssembler`` -> ``GBTRegressor`` /
   ``LinearRegression``) for training, registry, prediction, tree spread and
   permutation importance — the reference's sklearn models re-expressed.
-* Closed-form linear pieces built from additive sufficient statistics
-  (n, Σx, Σy, Σxy, Σx², Σy²) in a single aggregate.  They give exact OLS fits, metrics
-  and *grouped cross-validation without any join of folds*: the training statistics of
-  fold f are ``total − fold_f``.  Linear feature contributions (coefficient × centred
-  value) drive the attribution tables (stats, effect type, ranking, explanations), in
-  place of per-row SHAP solvers.
+* One-feature fits from additive sufficient statistics in a single aggregate, metrics, and
+  the tables over the additive contributions of :mod:`.linear` (statistics, ranking,
+  importance), in place of per-row SHAP solvers.
 
 Split and folds are assigned per client (group-aware) with a hash of the client name,
 so no client's rows ever straddle train and test, and assignment needs no global sort.
@@ -18,7 +15,6 @@ so no client's rows ever straddle train and test, and assignment needs no global
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -121,16 +117,8 @@ def cv_summary(folds: DataFrame, keys=("target", "feature")) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Linear attributions
+# Tables over the contributions of :mod:`.linear`
 # ---------------------------------------------------------------------------
-def contributions(long: DataFrame, fit: DataFrame) -> DataFrame:
-    """ml_contributions: c = slope·(x − mean_x) per row, target and feature (long table)."""
-    # the fit has one row per (target, feature): bounded by the model, not the data
-    return (long.join(F.broadcast(fit.select("target", "feature", "slope", "mean_x")), ["target", "feature"])
-            .select("config_id", "client_name", "target", "feature", "x", "y",
-                    (F.col("slope") * (F.col("x") - F.col("mean_x"))).alias("contribution")))
-
-
 def contribution_stats(contrib: DataFrame) -> DataFrame:
     """ml_contribution_stats: mean|c|, std|c| (ddof 0), mean c, direction."""
     c = F.col("contribution")
@@ -141,31 +129,12 @@ def contribution_stats(contrib: DataFrame) -> DataFrame:
         "direction", F.when(F.round("mean_contribution", 6) > 0, "positive").otherwise("negative"))
 
 
-def importance(contrib: DataFrame) -> DataFrame:
-    """Normalised importance per model (target): mean|c| / Σ mean|c| (sums to 1)."""
-    s = contribution_stats(contrib).select("target", "feature", "mean_abs")
-    tot = s.groupBy("target").agg(F.sum("mean_abs").alias("_t"))
-    return (s.join(tot, "target").select(
-        F.col("target").alias("model"), "feature",
-        F.coalesce(F.try_divide(F.col("mean_abs"), F.col("_t")), F.lit(0.0)).alias("importance")))
-
-
 def rank_features(stats: DataFrame, score="mean_abs") -> DataFrame:
     """win_importance_rank: rank per target by score (ties by feature name)."""
     w = Window.partitionBy("target").orderBy(F.col(score).desc_nulls_last(), F.col("feature"))
     return stats.withColumn("rank", F.row_number().over(w))
 
 
-def effect_type(contrib: DataFrame, top_n: int = 5) -> DataFrame:
-    """ml_effect_type: corr(x, contribution) of the top features -> effect label."""
-    stats = rank_features(contribution_stats(contrib)).filter(F.col("rank") <= top_n)
-    corr = contrib.groupBy("target", "feature").agg(guarded_corr(F.col("x"), F.col("contribution")).alias("corr"))
-    j = stats.join(corr, ["target", "feature"])
-    lab = (F.when(F.col("corr") > 0.5, "linear_positive").when(F.col("corr") < -0.5, "linear_negative")
-           .otherwise("nonlinear"))
-    return j.select("target", "feature", "rank", "corr", lab.alias("effect_type"))
-
-
 def top_contributions(contrib: DataFrame, n: int = 3) -> DataFrame:
     """top_contributions / ml_explain_row: per row and target the N largest |c|."""
     # |c| compared at 1e-6 resolution: features tied up to float noise fall back to name order
@@ -387,16 +356,6 @@ def permutation_importance(pm, df: DataFrame, features, label="label", row="conf
         F.col("_f").alias("feature"), "base_rmse", F.col("rmse").alias("permuted_rmse"), (F.col("rmse") - F.col("base_rmse")).alias("delta_rmse"))
 
 
-def registry_row(target: str, pm, features, metrics_row: dict, params: dict, path: str,
-                 n_samples: int) -> tuple:
-    imp = model_importance(pm, features)
-    return (target, path, json.dumps(metrics_row), imp, json.dumps(params), n_samples, len(features))
-
-
-REGISTRY_SCHEMA = ("target string, model_path string, metrics string, feature_importance map<string,double>, "
-                   "hyperparameters string, n_samples long, n_features long")
-
-
 def importance_from_stats(stats: DataFrame) -> DataFrame:
     """Normalised importance per model from contribution statistics (sums to 1)."""
     s = stats.select("target", "feature", "mean_abs")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import linear as L
 from ..operators import ml as ML
 from ..operators.model_store import ModelRegistry
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
+from ..sources import tables as T
+from ..sources.files import memo
 from .common import rounded
 from .feature_plans import _MAT_COLS, _MATRIX_SQL, _stored_matrix as _matrix
 from .registry import register
@@ -42,10 +44,15 @@ class _Models:
         return self.known.where("is_test")
 
 
+def _models(spark, sf) -> _Models:
+    """The models of the driver tables as they are now: fitted once, used by every query."""
+    return memo(spark, ("models", checkpoint_dir(spark), T.tag(spark, sf)), lambda: _Models(spark, sf))
+
+
 def trained_registry(spark, sf) -> ModelRegistry:
     """A registry with a ridge model of every target, trained on the stored matrix: hold-out
     metrics, cross-validation scores and |coefficient|·scale importances with each."""
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     registry = ModelRegistry(spark, scratch_path(spark, f"registry-{uuid.uuid4().hex}"))
     test = {r["target"]: r.asDict() for r in ML.metrics(L.predictions(m.held_out(), m.fits)).collect()}
     folds = spark.createDataFrame(L.cross_validated(m.moments, m.scales), "target string, fold int, n long, r2 double")
@@ -59,7 +66,7 @@ def trained_registry(spark, sf) -> ModelRegistry:
 
 def _contrib(spark, sf):
     """Contributions of every feature on the hold-out clients, against the training mean."""
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     return L.contributions(m.held_out(), m.fits, FEATURES, m.middle)
 
 
@@ -284,12 +291,12 @@ def top_features(spark, sf):
 @register("ml_predict", _FIT + f"SELECT config_id, target, round({_PREDICTION}, 4) AS prediction FROM every JOIN model USING (target)")
 def ml_predict(spark, sf):
     """pred_<target> of every configuration from all features, a row per target."""
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     return rounded(L.predictions(m.rows, m.fits).select("config_id", "target", "prediction"))
 
 
 def _scored(spark, sf):
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     return L.predictions(m.known, m.fits)
 
 
@@ -330,7 +337,7 @@ SELECT target, round(avg(r2), 4) AS cv_r2_mean, round(stddev_pop(r2), 4) AS cv_r
 def ml_cv_summary(spark, sf):
     """Cross-validation by client over :func:`ML.group_folds`: mean ± std (ddof 0) of R², each
     fold fitted on the total moments minus its own."""
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     folds = spark.createDataFrame(L.cross_validated(m.moments, m.scales), "target string, fold int, n long, r2 double")
     return rounded(ML.cv_summary(folds, ("target",)))
 
@@ -339,13 +346,13 @@ def ml_cv_summary(spark, sf):
 @register("ml_group_split", _FIT + "SELECT config_id, client_name, target, is_test FROM known")
 def ml_group_split(spark, sf):
     """Labelled rows of every target with ``is_test``; a client lies wholly on one side."""
-    return _Models(spark, sf).known.select("config_id", "client_name", "target", "is_test")
+    return _models(spark, sf).known.select("config_id", "client_name", "target", "is_test")
 
 
 @register("ml_group_folds", _FIT + "SELECT config_id, client_name, target, CAST(fold AS INTEGER) AS fold FROM known")
 def ml_group_folds(spark, sf):
     """Labelled rows of every target with their fold; a client lies wholly in one."""
-    return _Models(spark, sf).known.select("config_id", "client_name", "target", "fold")
+    return _models(spark, sf).known.select("config_id", "client_name", "target", "fold")
 
 
 @register("ml_impute_median", _FIT + "SELECT config_id, " + ", ".join(
@@ -406,6 +413,6 @@ FROM var GROUP BY target, feature""")
 def ml_permutation(spark, sf):
     """RMSE of each target's model on the hold-out clients, as they are and with one feature's
     values permuted among them."""
-    m = _Models(spark, sf)
+    m = _models(spark, sf)
     out = L.permutation_importance(m.held_out(), m.fits, FEATURES)
     return out.select("target", "feature", F.round("base_rmse", 3).alias("base_rmse"), F.round("permuted_rmse", 3).alias("permuted_rmse"))

@@ -14,7 +14,7 @@ from ..operators.segments import differences
 from ..operators.snapshots import SnapshotTable
 from ..session import scratch_path
 from .common import Model, rounded
-from .model_sql import BASELINE, CLIENTS, CONFIGS, GRP, KPIS, RUNS, with_
+from .model_sql import CLIENTS, CONFIGS, GRP, KPIS, RUNS, with_
 from .registry import register
 
 FULL = with_(GRP, CONFIGS, KPIS, CLIENTS, RUNS)

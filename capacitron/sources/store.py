@@ -10,8 +10,6 @@ data for config filters.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..session import scratch_path
 from . import tables as T
 from .files import exists, memo, touch
