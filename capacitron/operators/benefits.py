@@ -90,18 +90,12 @@ def baseline_priority(strict_reference_order: bool = False):
             .when(is_baseline_name(F.col("config_name")), F.lit(3)))
 
 
-def _first_of(prio, value=None) -> F.Column:
-    """The smallest candidate id of the best priority, or the value of that configuration.
+def _first_of(prio) -> F.Column:
+    """The smallest candidate id of the best priority.
 
     One long minimum per priority (0..3), so any long is a valid id, negative hash keys
     included, and the whole stays a HashAggregate."""
-    ids = [F.when(prio == p, F.col("config_id")) for p in range(4)]
-    if value is None:
-        return F.coalesce(*[F.min(i) for i in ids])
-    out = F.when(F.min(ids[0]).isNotNull(), F.min_by(F.col(value), ids[0]))
-    for i in ids[1:]:
-        out = out.when(F.min(i).isNotNull(), F.min_by(F.col(value), i))
-    return out
+    return F.coalesce(*[F.min(F.when(prio == p, F.col("config_id"))) for p in range(4)])
 
 
 def pick_baselines(configs: DataFrame, strict_reference_order: bool = False) -> DataFrame:
@@ -139,11 +133,10 @@ def benefits(configs: DataFrame, kpis: DataFrame, runs: DataFrame | None = None,
              strict_reference_order: bool = False) -> DataFrame:
     """bn_all: benefits of every configuration of every run that has a baseline.
 
-    Plan: KPI rows -> one wide row per configuration (partial aggregate on config_id),
-    joined to the configurations once; the baseline of each run *and its KPI values*
-    come from a single per-run aggregate (``min`` / ``min_by`` per priority, a HashAggregate
-    with map-side combine); configurations then join their run's
-    baseline row on run_id.  Four exchanges; no join back to the KPI table.
+    Plan: KPI rows -> one wide row per configuration (partial aggregate on config_id), whose
+    exchange serves two joins: with the configurations, and with the few ids that are some
+    run's baseline (four long minima per run, a HashAggregate with map-side combine).
+    Configurations then join their run's baseline row on run_id.
     """
     book = book or BenefitBook()
     names = book.kpis
@@ -151,10 +144,8 @@ def benefits(configs: DataFrame, kpis: DataFrame, runs: DataFrame | None = None,
     cfgk = (configs.select("config_id", "run_id", "config_name", "battery_capacity_kwh",
                            "battery_power_kw", "is_baseline")
             .join(wide, "config_id", "left"))
-    cand = cfgk.withColumn("_p", baseline_priority(strict_reference_order)).filter(F.col("_p").isNotNull())
-    base = cand.groupBy("run_id").agg(
-        _first_of(F.col("_p")).alias("baseline_config_id"),
-        *[_first_of(F.col("_p"), k).alias(f"base__{k}") for k in names])
+    base = pick_baselines(configs, strict_reference_order).withColumn("config_id", F.col("baseline_config_id")) \
+        .join(wide, "config_id", "left").select("run_id", "baseline_config_id", *[F.col(k).alias(f"base__{k}") for k in names])
     cfg = cfgk if include_baseline else cfgk.filter(~F.col("is_baseline"))
     cfg = cfg.select(*[F.col(c) for c in ("config_id", "run_id", "config_name", "battery_capacity_kwh",
                                           "battery_power_kw", "is_baseline")],

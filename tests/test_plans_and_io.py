@@ -44,12 +44,18 @@ def test_series_features_single_exchange(spark):
     assert p.count("Exchange hashpartitioning") == 1, p
 
 
-def test_series_percentiles_never_buffer_a_group(spark):
-    """Default mode: no per-group percentile buffer (ObjectHashAggregate) in the plan."""
+def test_series_percentiles_never_buffer_a_heavy_group(spark, monkeypatch):
+    """Heavy keys: no percentile buffer in the plan that takes them; the aggregate with one is
+    behind an anti join that leaves them out."""
     s = T.series_events(spark, SF_SMALL)
-    df = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES)
-    p = df._jdf.queryExecution().executedPlan().toString()
-    assert "percentile(" not in p and "ObjectHashAggregate" not in p
+    args = (SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES, "config_id", None, "", False)
+    heavy = SER._extract(s, *args, "distributed", "distributed")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in heavy and "percentile_approx(" in heavy
+    monkeypatch.setattr(SER, "HEAVY", 20)
+    both = SER.extract(s, SER.SIMULATION_COLUMN_SPECS, SER.DF_FEATURE_NAMES)
+    logical = both._jdf.queryExecution().optimizedPlan().toString()
+    light = logical.split("percentile(load_kwh", 1)[1]
+    assert "LeftAnti" in light
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
