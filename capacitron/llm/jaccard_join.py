@@ -251,10 +251,9 @@ def _near_pivots(sets: DataFrame, measure: _Measure) -> DataFrame:
     return written(measure.links(pairs), "near-links")
 
 
-def _between_groups(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the regions that hold more than one group (by the links so far): ``key, node, n,
+def _between_groups(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """Members of the regions that hold more than one group (``node, component``): ``key, node, n,
     place``, their group, the region's largest group, and whether few pairs are left in it."""
-    group = connected_components(links, "a", "b")
     named = shared.join(group.withColumnRenamed("component", "_g"), "node", "left").withColumn("_g", F.coalesce("_g", "node"))
     size = named.groupBy("key", "_g").agg(F.count(F.lit(1)).alias("_c"))
     region = size.groupBy("key").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_c")).alias("_q"),
@@ -279,8 +278,6 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
     A member that has been a pivot has met the whole region.  Members of the region's largest
     group (by the links so far) need not meet each other.  So a region is finished when every
     other member has been a pivot."""
-    if members.isEmpty():
-        return links
     texts = measure.texts(members)                             # texts are read once for all rounds
     done, pivots_now = None, PIVOTS
     first = None                           # (key, node, low, high): bounds of the distance to the first pivot
@@ -322,6 +319,16 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
         done = written(now if done is None else done.union(now), "met")
 
 
+def _joined_groups(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of groups and further links: only links between groups are followed, so what the
+    groups hold already is not gone through again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = written(group.union(ends.join(group, "node", "left_anti").select("node", F.col("node").alias("component"))), "groups")
+    between = links.join(known.toDF("a", "_ga"), "a").join(known.toDF("b", "_gb"), "b").where("_ga <> _gb").select("_ga", "_gb").distinct()
+    merged = connected_components(between, "_ga", "_gb").toDF("component", "_c")
+    return known.join(merged, "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+
+
 def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """``(rows, members)``: each row of ``docs`` with its set (``doc_id, text_hash, n, node``),
     and each linked node with its component of nodes."""
@@ -343,10 +350,13 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
         .mapInArrow(_regions(held, width), "key long, node long, n int, place int") \
         .repartition("key").sortWithinPartitions("key", "node")
     shared = written(regions.mapInArrow(_shared_regions, "key long, node long, n int, place int"), "regions")
-    members = _between_groups(shared, links)
-    links = written(links.union(measure.links(_few_pairs(members))).distinct(), "links")
-    links = _large_regions(members.where("NOT _few").select("key", "node", "n", "place"), links, measure)
-    return nodes, connected_components(links, "a", "b")
+    group = written(connected_components(links, "a", "b"), "near-groups")
+    members = _between_groups(shared, group)
+    more = written(measure.links(_few_pairs(members)), "links")
+    large = members.where("NOT _few").select("key", "node", "n", "place")
+    if not large.isEmpty():
+        more = _large_regions(large, written(links.union(more).distinct(), "links"), measure)
+    return nodes, _joined_groups(group, more)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
