@@ -53,11 +53,15 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def min_hash_bands(shingles: np.ndarray, bands: int) -> list[int]:
-    """Numbers that near sets often share: each mixes two min-hashes (none for the empty set)."""
+    """Numbers that near sets often share: each mixes two min-hashes (none for the empty set).
+
+    The numbers of a set are sorted and even, so the least of each equal range of them is a
+    min-hash (of the next range where one is empty)."""
     if not len(shingles):
         return []
-    factors = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C14) | np.uint64(1)
-    least = (shingles * factors[:, None]).min(axis=1)          # an odd factor permutes the numbers
+    width = (1 << 64) // (2 * bands)
+    edges = np.array([k * width for k in range(2 * bands)], np.uint64)
+    least = shingles[np.searchsorted(shingles, edges) % len(shingles)]
     return (_mix(least[::2] * np.uint64(0xBF58476D1CE4E5B9) + least[1::2]) + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
 
 
