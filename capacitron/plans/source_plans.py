@@ -63,12 +63,13 @@ def snk_csv_export(spark, sf):
 
 @register("snk_json_records")
 def snk_json_records(spark, sf):
-    """Feature rows as JSON records: NaN -> null, nulls written (ignoreNullFields=false)."""
+    """Feature rows as JSON records: NaN -> null, nulls written (ignoreNullFields=false).  The text
+    repeats every field name in every record, so its files are compressed."""
     from .feature_plans import _matrix
     mat = _matrix(spark, sf)
     cols = [F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in mat.dtypes]
     path = scratch_path(spark, f"json-{uuid.uuid4().hex[:8]}")
-    mat.select(*cols).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    mat.select(*cols).write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
     return spark.read.schema(mat.schema).json(path)
 
 
