@@ -45,3 +45,27 @@ def test_built_trees_hold_few_files(spark, tmp_path):
     assert n > 1000 and sum(len(f) for _, _, f in os.walk(root)) < 100
     sizes = FI.list_files(spark, root).agg(F.min("length"), F.count_distinct("path"), F.count("*")).first()
     assert sizes[0] > 0 and sizes[1] == sizes[2] > n
+
+
+def test_built_sheets_hold_every_kpi_at_large_keys(spark, tmp_path):
+    """Order keys beyond 2^31 / 100, and configurations of a run that share a name and so a sheet."""
+    from capacitron.sources import tables as T
+    more = 300_000_000
+    for name in T.SOURCE_TABLES:
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        for c in {"l_orderkey", "o_orderkey"} & set(df.columns):
+            df = df.withColumn(c, F.col(c) + F.lit(more).cast("long"))
+        if name == "lineitem":
+            df = df.withColumn("l_quantity", F.when(F.col("l_linenumber").isin(2, 3), 20.0).otherwise(F.col("l_quantity")))
+        df.write.parquet(f"{tmp_path}/sf/{name}.parquet")
+    sf = f"{tmp_path}/sf"
+    root = TR.materialize_tree(spark, sf, f"{tmp_path}/tree")
+    configs = T.battery_configs(spark, sf).join(T.runs(spark, sf).select("run_id", "run_name"), "run_id")
+    # a sheet's last value of a KPI: that of the configuration with the largest id, one more for the first KPI of line 2
+    value = F.col("kpi_value") + F.when((F.col("config_id") % 10 == 2) & (F.col("kpi_id") % 10 == 1), 1).otherwise(0)
+    place = F.when((F.col("config_id") % 10 == 2) & (F.col("kpi_id") % 10 == 1), F.lit(1 << 62)).otherwise(F.col("kpi_id"))
+    want = T.kpi_summary(spark, sf).join(configs.select("config_id", "run_name", "config_name"), "config_id") \
+        .groupBy("run_name", "config_name", "kpi_name").agg(F.max_by(value, place).alias("kpi_value"))
+    got = TR.kpi_sheets(spark, root).select(F.regexp_extract("run_name", "^Run_[0-9]+", 0).alias("run_name"), "config_name", "kpi_name", "kpi_value")
+    assert want.count() > 10_000 and got.count() == want.count()
+    assert got.join(want, ["run_name", "config_name", "kpi_name", "kpi_value"]).count() == want.count()
