@@ -11,6 +11,8 @@ as one version, which readers start from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,11 @@ class SnapshotTable:
             others = [c for c in new.columns if c not in self.keys]
             known = old.select(*self.keys, F.struct(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in others]).alias("_old"))
             joined = new.withColumn("_new", F.struct(*others)).join(known, self.keys, "left")
-            new = joined.where(~F.col("_new").eqNullSafe(F.col("_old"))).select(*new.columns)
+            changed = joined.where(~F.col("_new").eqNullSafe(F.col("_old"))).select(*new.columns)
+            # written as found, so that the rows are joined once and not for every look at them
+            path = f"{self.root}/found-{uuid.uuid4().hex}"
+            changed.write.option("compression", "zstd").parquet(path)
+            new = self.spark.read.schema(changed.schema).parquet(path)
             if new.isEmpty():
                 return None
         return self._write(new, "merge")

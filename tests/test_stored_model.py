@@ -45,3 +45,21 @@ def test_json_records_are_compressed(spark):
     new, = set(glob.glob(f"{checkpoint_dir(spark)}/json-*")) - before
     assert glob.glob(f"{new}/*.json.gz") and not glob.glob(f"{new}/*.json")
     assert got.count() == q["ft_matrix"](spark, SF_SMALL).count()
+
+
+def test_merges_go_through_new_rows_once(spark, tmp_path):
+    from capacitron.operators.snapshots import SnapshotTable
+    table, seen = SnapshotTable(spark, str(tmp_path / "table"), ["k"]), spark.sparkContext.accumulator(0)
+
+    def rows(shift):
+        def counted(it):
+            for pdf in it:
+                seen.add(len(pdf))
+                yield pdf
+        return spark.range(1000).selectExpr("id AS k", f"id + {shift} AS v").mapInPandas(counted, "k long, v long")
+    table.merge(rows(0))
+    seen.value = 0
+    assert table.merge(rows(1)) == 2 and seen.value == 1000
+    assert table.merge(rows(1)) is None and seen.value == 2000
+    assert table.versions() == [(1, False), (2, False)]
+    assert table.read().where("v = k + 1").count() == 1000
