@@ -69,3 +69,22 @@ def test_built_sheets_hold_every_kpi_at_large_keys(spark, tmp_path):
     got = TR.kpi_sheets(spark, root).select(F.regexp_extract("run_name", "^Run_[0-9]+", 0).alias("run_name"), "config_name", "kpi_name", "kpi_value")
     assert want.count() > 10_000 and got.count() == want.count()
     assert got.join(want, ["run_name", "config_name", "kpi_name", "kpi_value"]).count() == want.count()
+
+
+def test_readers_of_one_kind_pass_over_the_others(spark, tmp_path):
+    """Files are named in a column of their own, whose statistics the scan of one kind can use, and
+    what a header decides is found per file, not per line."""
+    root = TR.materialize_tree(spark, SF_SMALL, str(tmp_path / "tree"))
+    plan = TR.timeseries(spark, root)._jdf.queryExecution().toString()
+    assert "StringStartsWith(name,flex_timeseries)" in plan
+    direct = TR.kpi_csv_direct(spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert direct.count("sequence(0") == 2                     # own lines, and those of further pieces
+
+
+@pytest.mark.parametrize("glob", ["kpi_summary*.csv", "*.{json,yml,yaml}", "kpi_?.csv", "a*b*.csv", "kpi.csv"])
+def test_name_globs(spark, glob):
+    names = ["kpi_summary.csv", "kpi_summary_a.csv", "xkpi_summary.csv", "kpi_a.csv", "kpi.csv", "akpi.csv", "a.json", ".yml", "b.yaml", "ab.csv", "axxby.csv", "kpi_summary.cs"]
+    import fnmatch
+    each = [glob.replace("{json,yml,yaml}", e) for e in ("json", "yml", "yaml")]
+    got = {r.name for r in spark.createDataFrame([(n,) for n in names], "name string").where(FI._named_like(glob)).collect()}
+    assert got == {n for n in names if any(fnmatch.fnmatchcase(n, e) for e in each)}
