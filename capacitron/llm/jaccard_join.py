@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import finished, written
 from .shingles import BUCKETS, Shingler, bucket_counts, min_hash_bands, ordered, parity_distance, parity_map, set_id
 
 WIDTH = 5
@@ -45,6 +45,8 @@ REGION, PIVOTS = 32, 16
 BANDS = 4
 #: Partners of one set that are verified together.
 PORTION = 512
+#: Pivots and members that meet in a task at once, and earlier regions that a member carries.
+PIVOT_BLOCK, MEMBER_BLOCK, EARLY = 512, 2048, 64
 
 
 def _need(a, b):
@@ -272,6 +274,109 @@ def _few_pairs(members: DataFrame) -> DataFrame:
     return met.select(*_ordered_pair()).distinct()
 
 
+def _in_order(key: str):
+    """A region's shingle as a number in the global (unsigned) order."""
+    return F.col(key).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _meet(pivots: list, members: list) -> pa.RecordBatch:
+    """Pairs of a block of pivots and a block of members of one region.
+
+    A pair that shares an earlier large region is left to that one (``early`` may be cut short,
+    then some pairs are met again).  A pivot that leads its region meets every member."""
+    p, m = (pa.Table.from_batches(rows).combine_chunks() for rows in (pivots, members))
+    of = {c: (p.column(c).to_numpy(), m.column(c).to_numpy()) for c in ("node", "n", "place", "_g", "low", "high")}
+    (pn, mn), (ps, ms), (pp, mp), (pg, mg), (pl, ml), (ph, mh) = of.values()
+    lead = p.column("lead").to_numpy(zero_copy_only=False)
+    here = p.column("at")[0].as_py()
+    early = [[{k for k in row if k < here} for row in t.column("early").to_pylist()] for t in (p, m)]
+    known = {k: i for i, k in enumerate(set().union(*early[0]) & set().union(*early[1]))}
+    maps = [[np.frombuffer(v.as_buffer(), np.uint8) for v in t.column("map").combine_chunks()] for t in (p, m)]
+    out = []
+    if known:                                                  # members by earlier regions, as columns of bits
+        has = [np.zeros((len(rows), len(known) // 8 + 1), np.uint8) for rows in early]
+        for bits, rows in zip(has, early):
+            for i, row in enumerate(rows):
+                for k in row:
+                    if (j := known.get(k)) is not None:
+                        bits[i, j >> 3] |= 1 << (j & 7)
+    for i in range(len(pn)):
+        near = (mn != pn[i]) & (5 * np.minimum(ms, ps[i]) >= 4 * np.maximum(ms, ps[i]))
+        if not lead[i]:
+            near &= (mg != pg[i]) & (9 * np.minimum(ms - mp, ps[i] - pp[i]) >= 4 * (ms + ps[i]))
+            near &= ~((ml > ph[i] + 0.2 + 1e-9) | (pl[i] > mh + 0.2 + 1e-9))      # NaN, a distance not known, excludes nothing
+            if known:
+                near[near] = ~(has[1][near] & has[0][i]).any(1)
+        at = np.flatnonzero(near)
+        if len(at):
+            out.append((np.full(len(at), pn[i]), mn[at], np.full(len(at), ps[i]), ms[at], _parity_distances(maps[0][i], [maps[1][j] for j in at]),
+                        np.full(len(at), lead[i])))
+    p, m, ps, ms, bound, lead = (np.concatenate(c) for c in zip(*out)) if out else [np.zeros(0, np.int64)] * 6
+    ok = bound <= ps + ms - 2 * _need(ps, ms)
+    keep, first = ok | (lead != 0), p < m
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.where(first, x, y)[keep].astype(np.int64)) for x, y in ((p, m), (m, p), (ps, ms), (ms, ps))]
+        + [pa.array(bound[keep].astype(np.int64)), pa.array(ok[keep].astype(bool))], names=["a", "b", "na", "nb", "bound", "ok"])
+
+
+def _parity_distances(one: np.ndarray, others: list) -> np.ndarray:
+    """Lower bounds of the symmetric differences of a set with many, by maps of equal size at once."""
+    sizes, out = np.array([len(o) for o in others]), np.zeros(len(others), np.int64)
+    for size in np.unique(sizes):
+        for at in np.array_split(at := np.flatnonzero(sizes == size), -(-len(at) * int(size) // (8 << 20))):
+            x, y = one, np.stack([others[j] for j in at])
+            while y.shape[1] > len(x):
+                y = y[:, :y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+            while len(x) > y.shape[1]:
+                x = x[:len(x) // 2] ^ x[len(x) // 2:]
+            out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every block of pivots with its block of members; rows come sorted by block, pivots first."""
+    now, pivots, members = None, [], []
+    for batch in batches:
+        block = np.stack([batch.column(c).to_numpy() for c in ("key", "_pc", "_mc")], 1).astype(np.int64)
+        pivot = batch.column("pivot").to_numpy(zero_copy_only=False)
+        change = (block[1:] != block[:-1]).any(1) | (pivot[1:] != pivot[:-1])
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(block)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if now != tuple(block[a]):
+                if pivots and members:
+                    yield _meet(pivots, members)
+                now, pivots, members = tuple(block[a]), [], []
+            (pivots if pivot[a] else members).append(batch.slice(a, b - a))
+    if pivots and members:
+        yield _meet(pivots, members)
+
+
+def _pivot_pairs(named: DataFrame, pivots: DataFrame, maps: DataFrame, first: DataFrame | None) -> DataFrame:
+    """Pairs ``a, b, na, nb, bound, ok`` of pivots and members of their regions that may be linked
+    (``ok``), and all pairs with the first pivot of a region in the first round.
+
+    Pivots and members meet in blocks inside tasks: what is shuffled follows the members, and
+    only pairs that pass every test become rows."""
+    if first is None:
+        known = named.withColumns({"low": F.lit(float("nan")), "high": F.lit(float("nan"))})
+    else:
+        known = named.join(first, ["key", "node"], "left").withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("low", "high")})
+    wide = known.join(maps, "node")
+    sizes = written(pivots.groupBy("key").agg(F.count(F.lit(1)).alias("_p")).join(named.groupBy("key").agg(F.count(F.lit(1)).alias("_m")), "key")
+                    .select("key", F.expr(f"cast(1 + _p div {PIVOT_BLOCK} as int) AS _ps"), F.expr(f"cast(1 + _m div {MEMBER_BLOCK} as int) AS _ms")), "blocks")
+    columns = ["key", "_pc", "_mc", "pivot", "lead", _in_order("key").alias("at"), "node", "n", "place", "_g", "low", "high", "early", "map"]
+    mine = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(many)).cast("int")
+    one = wide.join(sizes, "key").withColumns({"_mc": mine("_ms", 1), "pivot": F.lit(False), "lead": F.lit(False)}) \
+        .withColumn("_pc", F.explode(F.expr("sequence(0, _ps - 1)"))).select(*columns)
+    other = wide.join(pivots, ["key", "node"]).join(sizes, "key") \
+        .withColumns({"_pc": mine("_ps", 2), "pivot": F.lit(True), "lead": (F.col("_r") == 1) & F.lit(first is None)}) \
+        .withColumn("_mc", F.explode(F.expr("sequence(0, _ms - 1)"))).select(*columns)
+    together = other.union(one).repartition("key", "_pc", "_mc").sortWithinPartitions("key", "_pc", "_mc", F.desc("pivot"))
+    return written(together.mapInArrow(_blocks, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
+
+
 def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> DataFrame:
     """Links inside regions with many pairs between groups, found by rounds of set pivots.
 
@@ -279,34 +384,27 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
     group (by the links so far) need not meet each other.  So a region is finished when every
     other member has been a pivot."""
     texts = measure.texts(members)                             # texts are read once for all rounds
+    early = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(_in_order("key"))), 1, EARLY).alias("early"))
+    maps = written(early.join(measure.sets.select("node", "map"), "node"), "maps")
     done, pivots_now = None, PIVOTS
     first = None                           # (key, node, low, high): bounds of the distance to the first pivot
     while True:
         group = connected_components(links, "a", "b")
-        named = members.join(group.withColumnRenamed("component", "_g"), "node", "left") \
-            .withColumn("_g", F.coalesce("_g", "node"))
+        named = written(members.join(group.withColumnRenamed("component", "_g"), "node", "left")
+                        .withColumn("_g", F.coalesce("_g", "node")), "named")
         most = named.groupBy("key", "_g").count().groupBy("key").agg(F.max_by("_g", F.struct("count", "_g")).alias("_most"))
-        left = named.join(most, "key").where("_g <> _most").select("key", "node", "n", "place")
+        left = named.join(most, "key").where("_g <> _most").select("key", "node")
         left = written(left if done is None else left.join(done, ["key", "node"], "left_anti"), "left")
         if left.isEmpty():
             return links
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
         pivots = written(left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots_now), "pivots")
-        # a linked pair's first common region passes the place test, so the other regions may go
-        met = members.join(pivots.select("key", F.col("node").alias("p"), F.col("n").alias("np"),
-                                         F.col("place").alias("_pp"), "_r"), "key") \
-            .where("node <> p AND 5 * least(n, np) >= 4 * greatest(n, np)") \
-            .where("_r = 1 OR least(n - place, np - _pp) >= (4 * (n + np) + 8) div 9")
-        if first is not None:
-            met = met.join(first.selectExpr("key", "node", "low AS _xl", "high AS _xh"), ["key", "node"], "left") \
-                .join(first.selectExpr("key", "node AS p", "low AS _yl", "high AS _yh"), ["key", "p"], "left") \
-                .where("_xl IS NULL OR _yl IS NULL OR (_xl <= _yh + 0.2 + 1e-9 AND _yl <= _xh + 0.2 + 1e-9)")
-        bounds = measure.bounds(met.select(*_ordered_pair()).distinct())
-        measured = measure.exact(bounds.where("ok").drop("bound", "ok"), texts)
+        bounds = _pivot_pairs(named, pivots, maps, first)
+        measured = measure.exact(bounds.where("ok").select("a", "b", "na", "nb").distinct(), texts)
         if first is None:
             # distances to the first pivot of each region: exact, or at least a lower bound
             exact = measured.selectExpr("a", "b", "1 - shared / (na + nb - shared) AS d")
-            distance = bounds.join(exact, ["a", "b"], "left") \
+            distance = bounds.select("a", "b", "na", "nb", "bound").distinct().join(exact, ["a", "b"], "left") \
                 .selectExpr("a", "b", "coalesce(d, 2 * bound / (na + nb + bound)) AS low", "coalesce(d, 1D) AS high")
             ends = distance.union(distance.select("b", "a", "low", "high")).toDF("node", "p", "low", "high")
             lead = pivots.where("_r = 1").select("key", F.col("node").alias("p"))
@@ -314,7 +412,7 @@ def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> D
                             .select("key", "node", "low", "high")
                             .union(lead.selectExpr("key", "p", "0D", "0D")), "first-pivot")
         links = written(links.union(measured.where(_LINKED).select("a", "b")).distinct(), "links")
-        pivots_now *= 16                                        # few rounds, however many are left
+        pivots_now *= 256                                       # few rounds, however many are left
         now = pivots.select("key", "node")
         done = written(now if done is None else done.union(now), "met")
 
@@ -346,13 +444,16 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     sets = written(sets.select("node", "n", "map", "cells", "_d.*"), "sets")
     measure = _Measure(rows, sets, width)
     links = _near_pivots(sets, measure)
+    finished(spark)
     regions = rows.where("doc_id IS NOT NULL").select("text") \
         .mapInArrow(_regions(held, width), "key long, node long, n int, place int") \
         .repartition("key").sortWithinPartitions("key", "node")
     shared = written(regions.mapInArrow(_shared_regions, "key long, node long, n int, place int"), "regions")
+    finished(spark)
     group = written(connected_components(links, "a", "b"), "near-groups")
     members = _between_groups(shared, group)
     more = written(measure.links(_few_pairs(members)), "links")
+    finished(spark)
     large = members.where("NOT _few").select("key", "node", "n", "place")
     if not large.isEmpty():
         more = _large_regions(large, written(links.union(more).distinct(), "links"), measure)

@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession) -> None:
+    """After a large step whose rows are written: Spark deletes shuffle files when the driver
+    collects its garbage, which few jobs on large tables seldom make it do."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder, for use inside tasks (file, hdfs, s3, ...)."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -206,3 +206,36 @@ def test_cut_texts(spark):
     exp = [(x[0], d[1] if d[1] is None else x[4].decode()) for x, d in zip(removed(docs, 200), docs) if x[4] or not x[1]]
     assert bag(got.select("doc_id", "text").collect()) == bag(exp)
     assert not got.where("n_chars <> char_length(text) AND doc_id <> 5").count()
+
+
+def test_region_members_meet_in_blocks(spark, monkeypatch):
+    """Members of large regions meet inside tasks: no row for a pair that fails the tests, one for
+    a pair of many common regions, and the pairs are those of brute force."""
+    monkeypatch.setattr(jaccard_join, "PIVOT_BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "MEMBER_BLOCK", 11)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2 ** 63, 145).astype(np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(base, range(k, k + 5 * (1 + i % 2))), rng.integers(0, 2 ** 63, 5 * (1 + i % 2)).astype(np.uint64)]))
+            for i, k in enumerate(rng.integers(0, 130, 60))]
+    rows, maps = [], []
+    for i, s in enumerate(sets):
+        s = np.sort(s)
+        prefix = s[:len(s) - -(-8 * len(s) // 10) + 1].view(np.int64).tolist()
+        rows += [(k, i, len(s), place, i) for place, k in enumerate(prefix)]
+        maps.append((i, [k ^ -(1 << 63) for k in prefix][:jaccard_join.EARLY], bytearray(shingles.parity_map(s))))
+    named = spark.createDataFrame(rows, "key long, node long, n int, place int, _g long")
+    pivots = named.selectExpr("key", "node", "2 AS _r")
+    pairs = jaccard_join._pivot_pairs(named, pivots, spark.createDataFrame(maps, "node long, early array<long>, map binary"), None).where("ok").collect()
+    bound = {(i, j): shingles.parity_distance(maps[i][2], maps[j][2]) for i in range(60) for j in range(i)}
+    exact = {(j, i) for i, j in bound if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert exact <= {(r.a, r.b) for r in pairs}
+    assert all(r.bound == bound[r.b, r.a] for r in pairs)
+    assert max(collections.Counter((r.a, r.b) for r in pairs).values()) == 2       # each of a pair is a pivot once
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    from capacitron.llm import components as cc
+    edges = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "u string, v string")
+    few = dict(connected_components(edges, "u", "v").collect())
+    monkeypatch.setattr(cc, "FEW_EDGES", 0)
+    assert few == dict(connected_components(edges, "u", "v").collect()) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
