@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import finished, written
+from .shared import finished, freed, written
 from .shingles import BUCKETS, Shingler, bucket_counts, min_hash_bands, ordered, parity_distance, parity_map, set_id
 
 WIDTH = 5
@@ -92,7 +92,7 @@ def _bucket_ranks(counts: DataFrame) -> np.ndarray:
     parts = counts.count()
     while parts > 1:
         parts = -(-parts // 64)
-        counts = written(counts.repartition(parts).mapInArrow(_add, "counts binary"), "bucket-counts")
+        counts = written(counts.repartition(parts).mapInArrow(freed(_add), "counts binary"), "bucket-counts")
     total = np.frombuffer(counts.first()[0], "<i8")
     rank = np.empty(BUCKETS, np.uint64)
     rank[np.argsort(total, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
@@ -203,7 +203,7 @@ class _Measure:
     def texts(self, nodes: DataFrame) -> DataFrame:
         """``node, zip``: the text of one holder of each of some sets."""
         holders = self.sets.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-        packed = self.rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_zip, "doc_id long, text_hash long, zip binary")
+        packed = self.rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(freed(_zip), "doc_id long, text_hash long, zip binary")
         return written(packed.join(holders, ["doc_id", "text_hash"]).select("node", "zip").dropDuplicates(["node"]), "texts")
 
     def bounds(self, pairs: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ class _Measure:
         m = self.sets
         some = pairs.join(m.select(F.col("node").alias("a"), F.col("map").alias("ma")), "a") \
             .join(m.select(F.col("node").alias("b"), F.col("map").alias("mb")), "b")
-        return written(some.mapInArrow(_plausible, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
+        return written(some.mapInArrow(freed(_plausible), "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
 
     def exact(self, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """``a, b, na, nb, shared``; the partners of a set in portions, each behind that set's text."""
@@ -224,8 +224,7 @@ class _Measure:
         leads = dealt.select("a", "_part").distinct().join(texts.withColumnRenamed("node", "a"), "a") \
             .select("a", "_part", null.alias("b"), null.alias("na"), null.alias("nb"), "zip")
         together = leads.union(partners).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
-        return written(together.select("a", "b", "na", "nb", "zip").mapInArrow(
-            _intersections(self.width), "a long, b long, na long, nb long, shared long"), "measured")
+        return written(together.select("a", "b", "na", "nb", "zip").mapInArrow(freed(_intersections(self.width)), "a long, b long, na long, nb long, shared long"), "measured")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         return self.exact(self.bounds(pairs).where("ok").drop("bound", "ok")).where(_LINKED).select("a", "b")
@@ -374,7 +373,7 @@ def _pivot_pairs(named: DataFrame, pivots: DataFrame, maps: DataFrame, first: Da
         .withColumns({"_pc": mine("_ps", 2), "pivot": F.lit(True), "lead": (F.col("_r") == 1) & F.lit(first is None)}) \
         .withColumn("_mc", F.explode(F.expr("sequence(0, _ms - 1)"))).select(*columns)
     together = other.union(one).repartition("key", "_pc", "_mc").sortWithinPartitions("key", "_pc", "_mc", F.desc("pivot"))
-    return written(together.mapInArrow(_blocks, "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
+    return written(together.mapInArrow(freed(_blocks), "a long, b long, na long, nb long, bound long, ok boolean"), "bounds")
 
 
 def _large_regions(members: DataFrame, links: DataFrame, measure: _Measure) -> DataFrame:
@@ -434,7 +433,7 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
                        F.col("text").cast("string").alias("text"))
     schema = "doc_id long, text_hash long, n long, node long, map binary, cells array<long>, counts binary"
-    first = written(rows.mapInArrow(_nodes(width), schema), "nodes")
+    first = written(rows.mapInArrow(freed(_nodes(width)), schema), "nodes")
     nodes = first.where("counts IS NULL").select("doc_id", "text_hash", "n", "node")
     rank = _bucket_ranks(first.where("counts IS NOT NULL").select("counts"))
     held = spark.sparkContext.broadcast(rank.astype("<u8").tobytes())      # 512 KB at any size
@@ -446,9 +445,9 @@ def similar_sets(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     links = _near_pivots(sets, measure)
     finished(spark)
     regions = rows.where("doc_id IS NOT NULL").select("text") \
-        .mapInArrow(_regions(held, width), "key long, node long, n int, place int") \
+        .mapInArrow(freed(_regions(held, width)), "key long, node long, n int, place int") \
         .repartition("key").sortWithinPartitions("key", "node")
-    shared = written(regions.mapInArrow(_shared_regions, "key long, node long, n int, place int"), "regions")
+    shared = written(regions.mapInArrow(freed(_shared_regions), "key long, node long, n int, place int"), "regions")
     finished(spark)
     group = written(connected_components(links, "a", "b"), "near-groups")
     members = _between_groups(shared, group)

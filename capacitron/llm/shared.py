@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,19 @@ def finished(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def freed(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``: a worker is kept for later tasks, so what its task has freed goes
+    back to the machine at the end, instead of staying beside the next task's memory."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):        # the C library of Linux has it
+                trim(0)
+    return whole
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder, for use inside tasks (file, hdfs, s3, ...)."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

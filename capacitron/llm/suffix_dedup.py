@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sort import suffix_array
-from .shared import written
+from .shared import freed, written
 
 LENGTH, GRAM = 200, 64
 #: Fragments are suffix-sorted in shards of about so many bytes, always whole groups of no more.
@@ -307,14 +307,13 @@ def _repeated_in(one: DataFrame, length: int, gram: int) -> DataFrame:
     fit, hot = groups.where(F.col("_bytes") <= SHARD_BYTES), groups.where(F.col("_bytes") > SHARD_BYTES)
     sorted_ = one.join(fit.select("anchor"), "anchor").select("anchor", "mark", "part") \
         .repartition("anchor").sortWithinPartitions("anchor") \
-        .mapInArrow(_sorted_shards(length), "anchor long, mark binary, starts array<struct<a:int,b:int>>")
+        .mapInArrow(freed(_sorted_shards(length)), "anchor long, mark binary, starts array<struct<a:int,b:int>>")
     copies = one.where("several").select("anchor", "mark", F.array(
         F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b"))).alias("starts"))
     starts = sorted_.where(F.size("starts") > 0).union(copies)
     if hot.isEmpty():
         return starts
-    divided = written(one.join(hot.select("anchor"), "anchor").select("anchor", "mark", "left", "right", "part").mapInArrow(
-        _divided(length, gram), "anchor long, mark binary, of_anchor long, of_mark binary, low int, size int, left int, right int, part binary"),
+    divided = written(one.join(hot.select("anchor"), "anchor").select("anchor", "mark", "left", "right", "part").mapInArrow(freed(_divided(length, gram)), "anchor long, mark binary, of_anchor long, of_mark binary, low int, size int, left int, right int, part binary"),
         "divided-fragments")
     again = written(divided.groupBy("anchor", "mark").agg(
         (F.count(F.lit(1)) > 1).alias("several"), *[F.first(c).alias(c) for c in ("size", "left", "right", "part")]), "distinct-fragments")
@@ -354,15 +353,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A text that many rows have is searched once, in the row of the smallest key."""
     rows = _keyed(docs).where(F.octet_length("text") >= length)
     texts = written(rows.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")), "texts")
-    found = rows.select("t", "text").mapInArrow(
-        _anchor_rows(length, gram), "route long, anchor long, t long, low int, high int, sure boolean")
+    found = rows.select("t", "text").mapInArrow(freed(_anchor_rows(length, gram)), "route long, anchor long, t long, low int, high int, sure boolean")
     again = found.repartition("route").sortWithinPartitions("route", "t", "low") \
-        .mapInArrow(_repeated, "anchor long, t long, low int, high int")
+        .mapInArrow(freed(_repeated), "anchor long, t long, low int, high int")
     again = written(again.groupBy("t").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("spans")), "anchors")
-    packed = rows.select("t", "key", "text").mapInArrow(_zip, "t long, key long, zip binary")
+    packed = rows.select("t", "key", "text").mapInArrow(freed(_zip), "t long, key long, zip binary")
     wanted = texts.select("t", "key").join(again, "t")
-    parts = written(packed.join(wanted, ["t", "key"]).select("t", "zip", "spans").mapInArrow(
-        _fragments(length), "anchor long, mark binary, t long, low int, size int, part binary"), "fragments")
+    parts = written(packed.join(wanted, ["t", "key"]).select("t", "zip", "spans").mapInArrow(freed(_fragments(length)), "anchor long, mark binary, t long, low int, size int, part binary"), "fragments")
     place = F.xxhash64("t", "low")
     one = parts.groupBy("anchor", "mark").agg((F.min(place) < F.max(place)).alias("several"), F.max("size").alias("size"),
                                               F.first("part", ignorenulls=True).alias("part"))
@@ -423,9 +420,8 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows are occurrences of each other; an empty table gives an empty result; other columns are
     ignored."""
     spans = repeated_spans(docs, length, gram)
-    packed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("key").mapInArrow(_zip, "t long, doc_id long, zip binary")
-    return packed.join(spans, "t", "left").mapInArrow(
-        _digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    packed = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id")).drop("key").mapInArrow(freed(_zip), "t long, doc_id long, zip binary")
+    return packed.join(spans, "t", "left").mapInArrow(freed(_digest_rows), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -439,9 +435,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rest = [c for c in names if c != "text"]
     packed = _keyed(docs, F.struct(*rest).alias("_row")).drop("key")
     row = packed.schema["_row"].dataType.simpleString()
-    packed = packed.mapInArrow(_zip, f"t long, _row {row}, zip binary")
-    cut = packed.join(spans, "t", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(
-        _text_rows, f"_row {row}, text string, n_bytes long, n_removed long")
+    packed = packed.mapInArrow(freed(_zip), f"t long, _row {row}, zip binary")
+    cut = packed.join(spans, "t", "left").withColumn("_null", F.col("zip").isNull()).mapInArrow(freed(_text_rows), f"_row {row}, text string, n_bytes long, n_removed long")
     cut = cut.where("n_bytes = 0 OR n_removed < n_bytes")
 
     def column(c):

@@ -239,3 +239,31 @@ def test_few_edges_take_no_rounds(spark, monkeypatch):
     few = dict(connected_components(edges, "u", "v").collect())
     monkeypatch.setattr(cc, "FEW_EDGES", 0)
     assert few == dict(connected_components(edges, "u", "v").collect()) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_a_task_gives_its_memory_back(spark):
+    """A worker that has held 300 MB in small pieces is small again in its next task."""
+    from capacitron.llm.shared import freed
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            held = [np.ones(12_500) for _ in range(3000)]
+            last = np.ones(10)                                  # lies above the pieces
+            del held
+            yield pa.RecordBatch.from_arrays([pa.array([int(last.sum())])], names=["n"])
+
+    def size(batches):
+        import os
+        import pyarrow as pa
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([resident()])], names=["pid", "mb"])
+
+    one = spark.range(1).coalesce(1)
+    assert one.mapInArrow(freed(run), "n long").collect()[0].n == 10
+    assert one.mapInArrow(size, "pid long, mb long").collect()[0].mb < 300
