@@ -18,6 +18,10 @@ Two words are near when they differ by one inserted, deleted or replaced code po
   code point less in both alignments; a pair found in any list is verified once.
 
 Lists are told by 64-bit hashes of length, place and gram; a clash costs a verification only.
+
+All joins are sorted on both sides (``_met``): Spark takes an exploded table to be as small as the
+one it is made of, and a compressed file as small in memory, and would send either one whole to
+the driver and to every executor.
 """
 
 from __future__ import annotations
@@ -82,6 +86,11 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, noi
 
 # --- grams --------------------------------------------------------------------------------------
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the vocabulary: sorted, whatever Spark takes their sizes to be."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _longest(length):
     """Code points of the longest gram in words of a length."""
     return F.least(F.lit(GRAM), F.greatest(F.lit(1), (length / 2).cast("int")))
@@ -102,7 +111,7 @@ def _index(words: DataFrame) -> DataFrame:
     each = words.withColumn("place", F.explode(F.sequence(F.lit(0), long_ - least)))
     pieces = _pieces(each, long_, F.col("place"), F.col("place")).select("word", "length", "place", "size", "piece")
     counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
-    known = pieces.join(counts, "piece")
+    known = _met(pieces, counts, "piece")
     # the shortest infrequent piece of a place, or the longest: every piece before it is frequent
     gram = F.coalesce(F.min(F.when(F.col("times") <= LIST, F.struct("size", "times", "piece"))),
                       F.max(F.struct("size", "times", "piece")))
@@ -130,7 +139,7 @@ def near_words(words: DataFrame) -> DataFrame:
     before = _pieces(shorter, F.col("short"), at, at)          # in front of an inserted one
     behind = _pieces(shorter.where("at > 0"), F.col("short"), at - 1, at)
     probes = equal.select("piece", "word").union(before.select("piece", "word")).union(behind.select("piece", "word"))
-    pairs = probes.join(index, "piece").where("word <> other").select("word", "other").distinct()
+    pairs = _met(probes, index, "piece").where("word <> other").select("word", "other").distinct()
     near = pairs.where(F.levenshtein("word", "other", 1) == 1)
     return near.union(near.select("other", "word")).distinct()
 
@@ -142,21 +151,21 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     times its own or more.  Its root is where following forms ends, the word itself without any.
     Numbers grow along forms, so there are no circles and few steps; each step is a join."""
     words = written(words.select("word", "n"), "words")
-    near = near_words(words).join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    near = _met(near_words(words), words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), "other")).alias("b"))
-    found = words.join(best, "word", "left").withColumn("_ok", -F.col("b.m") >= ratio * F.col("n"))
+    found = _met(words, best, "word", "left").withColumn("_ok", -F.col("b.m") >= ratio * F.col("n"))
     found = written(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                                  F.when(F.col("_ok"), F.col("b.other")).alias("form"),
                                  F.when(F.col("_ok"), -F.col("b.m")).alias("form_n")), "forms")
     step = found.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:                                                # each round doubles the steps followed
         on = step.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        after = written(step.join(on, "root", "left").select("word", F.coalesce("_next", "root").alias("root"),
+        after = written(_met(step, on, "root", "left").select("word", F.coalesce("_next", "root").alias("root"),
                                                              F.col("_next").isNotNull().alias("moved")), "roots")
         step = after.drop("moved")
         if after.where("moved").isEmpty():
             break
-    return found.join(step, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _met(found, step, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, noise: int = 199, ratio: int = 5) -> DataFrame:

@@ -167,6 +167,15 @@ def test_spelling_variants(spark, monkeypatch, length, count, noise, gram_list):
     assert bag(got.select("word", "form", "root", "n", "n_near", "form_n").collect()) == bag(exp)
 
 
+def test_joins_of_the_spelling_index_are_sorted(spark):
+    """Exploded tables look as small as what they are made of: none may go to the driver whole."""
+    words = spark.createDataFrame([("abcdefgh", 90), ("abcdefg", 9), ("abcdefx", 1)], "word string, n long")
+    stored = words.select("word", F.char_length("word").alias("length"))
+    for df in (spelling._index(stored), spelling.near_words(words), spelling.variants(words)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], fx.SCHEMA)
     assert fill_middle.fill_in_middle(empty).count() == 0
