@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slot_label, slot_of
+from .joins import grown
 
 SLOTS_PER_WEEK = 672
 
@@ -62,18 +63,18 @@ def weekday_scale(load: DataFrame, pv: DataFrame, consumed_share, key="site_id")
     pw = pvs.groupBy(key, "weekday").agg(F.sum("self_kwh").alias("pv_wd"))
     # ≤ 7 rows per site: a bounded window gives the site's PV total without a join
     pw = pw.withColumn("pv_total", F.sum("pv_wd").over(Window.partitionBy(key)))
-    fac = (pw.join(shares, [key, "weekday"], "left")
+    fac = (grown(pw, shares, [key, "weekday"], "left")
            .select(key, "weekday",
                    F.when(F.col("pv_wd") > 0,
                           F.col("pv_total") * F.coalesce("share", F.lit(0.0)) / F.col("pv_wd"))
                    .otherwise(F.lit(0.0)).alias("factor")))
-    return (pvs.join(fac, [key, "weekday"])
+    return (grown(pvs, fac, [key, "weekday"])
             .select(key, "timestamp_utc", (F.col("self_kwh") * F.col("factor")).alias("pv_scaled_kwh")))
 
 
 def merge_load_pv(load: DataFrame, scaled: DataFrame, key="site_id") -> DataFrame:
     """pv_merge / jn_load_pv: load ⟕ scaled PV on (site, timestamp), missing PV -> 0."""
-    j = load.join(scaled, [key, "timestamp_utc"], "left")
+    j = grown(load, scaled, [key, "timestamp_utc"], "left")
     pv = F.coalesce(F.col("pv_scaled_kwh"), F.lit(0.0))
     return j.select(key, "timestamp_utc", "grid_load_kwh",
                     (F.col("grid_load_kwh") + pv).alias("consumption_kwh"), pv.alias("pv_load_kwh"))

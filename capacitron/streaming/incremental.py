@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import series as S
+from ..operators.joins import grown
 
 
 class BatchedStore:
@@ -102,8 +103,8 @@ def submission_scorer(load: DataFrame, pv: DataFrame, registry, names):
         models = [registry.load(n) for n in names]
         s = normalise_pv(batch).withColumn("site_id", F.col("submission_id"))
         sites = s.select("site_id", "pv_consumed_share")
-        ld = load.join(sites.select("site_id"), "site_id", "left_semi")
-        merged = P.merge_load_pv(ld, P.weekday_scale(ld, pv.join(sites, "site_id"), F.col("pv_consumed_share")))
+        ld = grown(load, sites.select("site_id"), "site_id", "left_semi")
+        merged = P.merge_load_pv(ld, P.weekday_scale(ld, grown(pv, sites, "site_id"), F.col("pv_consumed_share")))
         series = merged.select(F.col("site_id").alias("config_id"), F.col("timestamp_utc").alias("timestamp"),
                                F.col("grid_load_kwh").alias("load_kwh"), F.col("pv_load_kwh").alias("generation_kwh"))
         feats = S.extract(series, FT.MATRIX_SERIES_SPEC, FT.MATRIX_DF_FEATURES, key="config_id", prefix="ts__")
@@ -111,7 +112,7 @@ def submission_scorer(load: DataFrame, pv: DataFrame, registry, names):
                              *[F.col(c).alias(c if c.startswith("ts__") else f"ts__{c}") for c in feats.columns if c != "config_id"])
         own = s.select("submission_id", "site_id", F.col("battery_capacity").alias("battery_capacity_kwh"),
                        F.col("battery_power").alias("battery_power_kw"), "pv_consumed_share")
-        out = own.join(feats, "site_id", "left").drop("site_id").withColumn("has_profile", F.coalesce("has_profile", F.lit(False)))
+        out = grown(own, feats, "site_id", "left").drop("site_id").withColumn("has_profile", F.coalesce("has_profile", F.lit(False)))
         return out.withColumns({f"pred_{i['name']}": F.when(F.col("has_profile"), L.scored(m, out.columns)) for m, i in models}).withColumn(
             "model_versions", F.lit(", ".join(f"{i['name']} v{i['version']}" for _, i in models)))
     return score
